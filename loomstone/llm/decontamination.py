@@ -23,50 +23,61 @@ SMALL = 2_000_000  # seeds that are broadcast; above, the join shuffles
 
 
 def tokens(text: Column) -> Column:
-    """Hashes of the tokens of a text."""
+    """Hashes of the tokens of a text. The guard is always true; it keeps filters from being pushed below, which would
+    cut the text again for each of them."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+    return F.when(F.rand(0) >= 0, F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def seeds(df: DataFrame, short: list[int]) -> DataFrame:
-    """A row for each window and mask of ``toks``: pos (from 0) and seed; ``short`` lists lengths matched whole."""
-    n = F.size("toks")
+def windows(length: Column, span: int) -> Column:
+    """Start positions of the windows of ``span`` tokens."""
+    return F.when(length >= span, F.sequence(F.lit(0), length - span)).otherwise(F.array().cast("array<int>"))
+
+
+def seeds(df: DataFrame) -> DataFrame:
+    """A row for each window and mask of ``toks``: pos (from 0) and seed."""
     at = lambda k: F.get("toks", F.col("pos") + F.lit(k))
     masked = [F.xxhash64(F.lit(m), *(at(k) for k in mask)) for m, mask in enumerate(MASKS)]
-    full = df.where(n >= SPAN).withColumn("pos", F.explode(F.sequence(F.lit(0), n - SPAN))).withColumn("seed", F.explode(F.array(*masked)))
-    for k in short:
-        whole = df.where(n >= k).withColumn("pos", F.explode(F.sequence(F.lit(0), n - k))).withColumn("seed", F.xxhash64(F.lit(-k), *(at(j) for j in range(k))))
-        full = full.unionByName(whole)
-    return full
+    return df.withColumn("pos", F.explode(windows(F.size("toks"), SPAN))).withColumn("seed", F.explode(F.array(*masked)))
+
+
+def whole(df: DataFrame, k: int) -> DataFrame:
+    """A row for each window of ``k`` tokens, all of which count."""
+    seed = F.xxhash64(F.lit(-k), *(F.get("toks", F.col("pos") + F.lit(j)) for j in range(k)))
+    return df.withColumn("pos", F.explode(windows(F.size("toks"), k))).withColumn("seed", seed)
+
+
+def equal_tokens() -> Column:
+    """How many of the first ``over`` tokens of the item from ``a`` equal those of the document over them.
+
+    Written out position by position: whole-stage code, no array is made."""
+    same = F.lit(0)
+    for k in range(SPAN + 2 * REACH):
+        item, doc = F.get("item_toks", F.col("a") + F.lit(k)), F.get("toks", F.col("pos") - F.col("item_pos") + F.col("a") + F.lit(k))
+        same = same + F.when((F.col("over") > k) & (item == doc), 1).otherwise(0)
+    return same
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified (doc_id, item_id) with the most equal tokens of a hit, once a pair."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("toks")).where("item_id is not null")
-    short = [r[0] for r in items.where(F.size("toks").between(MIN_ITEM, SPAN - 1)).select(F.size("toks")).distinct().collect()]
-    wanted = seeds(items.where(F.size("toks") >= SPAN), []) if not short else seeds(items.where(F.size("toks") >= SPAN), []).unionByName(_whole(items, short))
+    short = sorted(r[0] for r in items.where(F.size("toks").between(MIN_ITEM, SPAN - 1)).select(F.size("toks")).distinct().collect())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
+    wanted, found = seeds(items), seeds(rows)
+    for k in short:
+        wanted, found = wanted.unionByName(whole(items.where(F.size("toks") == k), k)), found.unionByName(whole(rows, k))
     wanted = wanted.select("seed", "item_id", F.col("pos").alias("item_pos"), F.col("toks").alias("item_toks"))
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
-    hits = seeds(rows, sorted(short)).join(wanted, "seed")
+    hits = found.join(wanted, "seed")
     # item position p lies over document position pos + p - item_pos
     hits = hits.withColumn("a", F.expr(f"greatest(0, item_pos - {REACH}, item_pos - pos)"))
     hits = hits.withColumn("b", F.expr(f"least(size(item_toks), item_pos + {SPAN + REACH}, item_pos - pos + size(toks))"))
-    hits = hits.withColumn("over", F.expr("b - a"))
-    hits = hits.withColumn("same", F.expr("size(filter(zip_with(slice(item_toks, a + 1, over), slice(toks, pos - item_pos + a + 1, over), (x, y) -> x = y), z -> z))"))
+    hits = hits.withColumn("over", F.expr("b - a")).withColumn("same", equal_tokens())
     good = hits.where(F.col("same") >= F.lit(SHARE) * F.col("over"))
     return good.groupBy("doc_id", "item_id").agg(F.max("same").cast("long").alias("n_same"))
 
 
-def _whole(items: DataFrame, short: list[int]) -> DataFrame:
-    out = None
-    for k in sorted(short):
-        own = items.where(F.size("toks") == k).withColumn("pos", F.lit(0)).withColumn("seed", F.xxhash64(F.lit(-k), *(F.get("toks", F.lit(j)) for j in range(k))))
-        out = own if out is None else out.unionByName(own)
-    return out
-
-
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (ascending) per row of ``docs``; a null doc_id is never contaminated."""
     found = leaks(docs, benchmark).groupBy("doc_id").agg(F.count("*").alias("n_items"), F.sort_array(F.collect_list("item_id")).alias("item_ids"))
