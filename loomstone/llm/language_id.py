@@ -149,6 +149,11 @@ class Model:
         total = np.stack([np.bincount(own, weights=logp[:, k], minlength=len(texts)) for k in range(len(self.langs))], 1)
         return -total / np.maximum(n, 1)[:, None], n, letters
 
+    def rejects(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether even the best language is far worse than on its own text."""
+        best = h.argmin(1)
+        return h.min(1) > self.mean[best] + MARGIN + Z * self.deviation[best] / np.sqrt(np.maximum(n, 1) / SPAN)
+
 
 def hashed(gram: np.ndarray) -> np.ndarray:
     """A bijective 32-bit hash of n-gram codes."""
@@ -208,8 +213,7 @@ def _predict(model):
                 best = h.argmin(1)
                 least = h[np.arange(len(part)), best]
                 p = 1 / np.exp(-(h - least[:, None]) * np.minimum(n, SEEN_AT_MOST)[:, None]).sum(1)
-                far = least > m.mean[best] + MARGIN + Z * m.deviation[best] / np.sqrt(np.maximum(n, 1) / SPAN)
-                none = letters == 0
+                far, none = m.rejects(h, n), letters == 0
                 lang += ["und" if x else m.langs[b] for x, b in zip(none, best)]
                 score += np.where(none, 0.0, p).tolist()
                 ce += [None if x else float(v) for x, v in zip(none, least)]
