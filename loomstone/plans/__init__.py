@@ -1,6 +1,6 @@
 """Registered queries: importing this package fills the registry."""
 
-from . import graphs, logs, retrieval, store, text  # noqa: F401
+from . import flows, graphs, logs, retrieval, store, text  # noqa: F401
 from .registry import ORACLE, QUERIES
 
 __all__ = ["ORACLE", "QUERIES"]

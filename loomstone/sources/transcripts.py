@@ -79,7 +79,7 @@ def rollout_messages(lines: DataFrame) -> DataFrame:
     rows = lines.where(F.ltrim("line").startswith("{")).withColumn("d", F.from_json("line", ROLLOUT)).where("d.type is not null")
     meta = rows.where("d.type = 'session_meta'").groupBy("session_id").agg(
         F.min_by("d.payload.id", "rowid").alias("thread"), F.min_by("d.payload.cwd", "rowid").alias("cwd"),
-        F.bool_or(F.expr("d.payload.parent_thread_id is not null or d.payload.agent_path is not null or d.payload.thread_source = 'subagent'")).alias("internal"),
+        F.bool_or(F.expr("d.payload.parent_thread_id is not null or d.payload.agent_path is not null or coalesce(d.payload.thread_source, '') = 'subagent'")).alias("internal"),
     ).where("thread is not null and cwd is not null and not internal")
     said = rows.where("d.type = 'response_item' and d.payload.type = 'message' and d.payload.role in ('user', 'assistant')")
     text = F.expr("array_join(transform(filter(d.payload.content, b -> b.type in ('input_text', 'output_text')), b -> b.text), ' ')")
