@@ -22,11 +22,16 @@ MASKS = ((0, 1, 3, 6, 7, 9, 10, 11), (0, 1, 2, 4, 5, 7, 10, 11), (0, 2, 3, 4, 7,
 SMALL = 2_000_000  # seeds that are broadcast; above, the join shuffles
 
 
+def guarded(c: Column) -> Column:
+    """``c`` behind a condition that always holds but isn't known to: filters above aren't pushed below it, where they
+    would evaluate it again and again."""
+    return F.when(F.monotonically_increasing_id() >= 0, c)
+
+
 def tokens(text: Column) -> Column:
-    """Hashes of the tokens of a text. The guard is always true; it keeps filters from being pushed below, which would
-    cut the text again for each of them."""
+    """Hashes of the tokens of a text."""
     words = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+")
-    return F.when(F.rand(0) >= 0, F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
+    return guarded(F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
 def windows(length: Column, span: int) -> Column:
@@ -47,17 +52,6 @@ def whole(df: DataFrame, k: int) -> DataFrame:
     return df.withColumn("pos", F.explode(windows(F.size("toks"), k))).withColumn("seed", seed)
 
 
-def equal_tokens() -> Column:
-    """How many of the first ``over`` tokens of the item from ``a`` equal those of the document over them.
-
-    Written out position by position: whole-stage code, no array is made."""
-    same = F.lit(0)
-    for k in range(SPAN + 2 * REACH):
-        item, doc = F.get("item_toks", F.col("a") + F.lit(k)), F.get("toks", F.col("pos") - F.col("item_pos") + F.col("a") + F.lit(k))
-        same = same + F.when((F.col("over") > k) & (item == doc), 1).otherwise(0)
-    return same
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Verified (doc_id, item_id) with the most equal tokens of a hit, once a pair."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), tokens(F.col("text")).alias("toks")).where("item_id is not null")
@@ -73,8 +67,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     # item position p lies over document position pos + p - item_pos
     hits = hits.withColumn("a", F.expr(f"greatest(0, item_pos - {REACH}, item_pos - pos)"))
     hits = hits.withColumn("b", F.expr(f"least(size(item_toks), item_pos + {SPAN + REACH}, item_pos - pos + size(toks))"))
-    hits = hits.withColumn("over", F.expr("b - a")).withColumn("same", equal_tokens())
-    good = hits.where(F.col("same") >= F.lit(SHARE) * F.col("over"))
+    # Only the two slices leave the join; the guard keeps the comparison, which runs outside generated code, out of it.
+    hits = hits.select("doc_id", "item_id", guarded(F.expr("slice(item_toks, a + 1, b - a)")).alias("x"), guarded(F.expr("slice(toks, pos - item_pos + a + 1, b - a)")).alias("y"))
+    same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z))
+    good = hits.withColumn("same", same).where(F.col("same") >= F.lit(SHARE) * F.size("x"))
     return good.groupBy("doc_id", "item_id").agg(F.max("same").cast("long").alias("n_same"))
 
 
