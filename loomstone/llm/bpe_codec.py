@@ -27,7 +27,7 @@ from .common import documents
 
 VOCABULARY = "word_bpe_49k.json"
 SHORT = 64
-MEMO = 400_000
+MEMO = 250_000
 #: Fixed by the vocabulary's own pre-tokenizer: words are letter runs, single digits, other runs, and clitics.
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
@@ -132,10 +132,11 @@ _LOADED: dict[int, Bpe] = {}
 
 
 def _encoder(broadcast) -> Bpe:
-    """One encoder a worker process: its memo outlives a task."""
+    """One encoder a worker process; its memo lasts for a task."""
     key = hash(broadcast.value)
     if key not in _LOADED:
         _LOADED[key] = Bpe(json.loads(broadcast.value))
+    _LOADED[key].memo.clear()
     return _LOADED[key]
 
 
@@ -157,6 +158,7 @@ def _encode(model, with_ids: bool):
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string()), pa.array(ids, pa.list_(pa.int64())), pa.array(decoded, pa.string())],
                 schema=schema,
             )
+        bpe.memo.clear()
 
     return run
 

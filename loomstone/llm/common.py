@@ -10,6 +10,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Freed batches go back to the system at once: executors hold few workers' worth of memory.
+pa.set_memory_pool(pa.system_memory_pool())
+
 U64 = np.uint64
 BASE = U64(0x9E3779B97F4A7C15)  # odd, so it has an inverse modulo 2**64
 INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -28,6 +31,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        small_batches(spark)
         self.spark = spark
         self.base = f"{shared_dir(spark)}/loomstone-{uuid.uuid4().hex}"
         jvm = spark.sparkContext._jvm
@@ -107,7 +111,26 @@ def fold_shares(df: DataFrame, mod: int, alias: str) -> DataFrame:
     return df.withColumn(alias, F.expr(f"crc32(encode(coalesce(cast(doc_id as string), ''), 'UTF-8')) % {mod}"))
 
 
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that executors exchange with Python by rows and, where Spark can, by bytes: whole texts are long."""
+    for key, most in BATCH.items():
+        try:
+            now = spark.conf.get(key).lower()
+        except Exception as e:
+            if "SQL_CONF_NOT_FOUND" not in str(e):
+                raise
+            continue  # a Spark without this setting
+        number = now.rstrip("bkmg")
+        now = int(number) * {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}.get(now[len(number) : len(number) + 1], 1)
+        if now <= 0 or now > most:
+            spark.conf.set(key, most)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

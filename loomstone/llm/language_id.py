@@ -86,8 +86,15 @@ def _pieces(texts: list[str | None]):
 
 
 def _count(batches):
-    """(lang, gram, n) of this partition."""
+    """(lang, gram, n) of this partition. Codes are gathered to a few million before they are counted."""
     total: dict[str, np.ndarray] = {}
+    held: dict[str, list[np.ndarray]] = {}
+
+    def flush(lang: str) -> None:
+        if lang not in total:
+            total[lang] = np.zeros(FULL, np.uint32)
+        total[lang] += np.bincount(np.concatenate(held.pop(lang)), minlength=FULL).astype(np.uint32)
+
     for batch in batches:
         langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         by: dict[str, list[str]] = {}
@@ -95,15 +102,15 @@ def _count(batches):
             by.setdefault(lang, []).append(text)
         for lang, own in by.items():
             for _, _, part in _pieces(own):
-                got = np.bincount(spell(part)[0], minlength=FULL)
-                if lang in total:
-                    total[lang] += got
-                else:
-                    total[lang] = got
+                held.setdefault(lang, []).append(spell(part)[0])
+                if sum(map(len, held[lang])) > 1 << 22:
+                    flush(lang)
+    for lang in list(held):
+        flush(lang)
     schema = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
     for lang, n in total.items():
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at])], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], schema=schema)
 
 
 class Model:

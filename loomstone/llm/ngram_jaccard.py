@@ -111,7 +111,7 @@ def _frequent(batches):
                 seen.add(d)
                 held.append(s)
                 size += len(s)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield flush()
                 seen, held, size = set(), [], 0
     if held:

@@ -36,7 +36,7 @@ from .ngram_jaccard import grouped
 
 WINDOW, GRAM = 100, 16
 REACH = WINDOW - GRAM + 1
-CHUNK, SEGMENT = 1 << 21, 1 << 22
+CHUNK, SEGMENT = 1 << 20, 1 << 21
 HOT = 20_000
 NO_ID = -(1 << 63)
 
@@ -232,7 +232,7 @@ def _contexts(batches):
             k = len(need)
             for c, v in zip(cols, (need["trig"].view(np.int64).tolist() if k else [], (need["hot"] > 0).tolist(), [did[i]] * k, [th[i]] * k, at.tolist(), lo.tolist(), hi.tolist(), text)):
                 c += v
-            if len(cols[0]) > 20_000:
+            if len(cols[0]) > 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CONTEXT)], schema=_CONTEXT)
                 cols = [[] for _ in _CONTEXT]
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CONTEXT)], schema=_CONTEXT)
@@ -306,7 +306,7 @@ def _compare(batches):
         if t.num_rows > 1:
             held.append(t)
             n += t.num_rows
-        if n > 30_000:
+        if n > 20_000:
             yield flush(held)
             held, n = [], 0
     if held:

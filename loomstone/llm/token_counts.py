@@ -26,7 +26,7 @@ from .bpe_codec import byte_alphabet
 from .common import documents
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO = 400_000
+MEMO = 250_000
 _WORDS = regex.compile(r"\p{L}+|\p{N}+|[^\s\p{L}\p{N}]+")
 
 

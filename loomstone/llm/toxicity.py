@@ -35,7 +35,7 @@ REPORTS = ("said", "says", "say", "wrote", "called", "quoted", "claimed", "repor
 SEED_WEIGHT = 3.0
 SHORTEST, LONGEST = 3, 8  # letters of a learned beginning
 CLAUSE = 1.0  # a clause with less isn't matched
-MEMO = 400_000
+MEMO = 250_000
 _TOKENS = regex.compile(r"\p{L}+(?:['’]\p{L}+)?|[.!?;:\n]")
 
 
