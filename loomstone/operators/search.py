@@ -2,11 +2,29 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.constants import BM25_B, BM25_K1
 from loomstone.functions import text as T
+from loomstone.functions.stem import stems
+
+
+def query_phrases(text: str) -> list[list[str]]:
+    """The phrases of a query as typed: every token of letters, digits and ``_./:-`` is one; its parts must be adjacent."""
+    return [p for t in re.findall(r"[A-Za-z0-9_./:-]+", text) if (p := re.findall(r"[^\W_]+", t.lower()))]
+
+
+def is_code_token(text: str) -> bool:
+    """Whether a query looks like an identifier: an underscore, a dotted name or a camel-case hump."""
+    return bool(re.search(r"_|\w\.\w|[a-z][A-Z]", text))
+
+
+def stemmed(docs: DataFrame, content: str) -> DataFrame:
+    """The content as stemmed terms without diacritics, joined by spaces: an index over it finds other word forms."""
+    return docs.withColumn(content, stems(F.col(content)))
 
 
 def postings(docs: DataFrame, key: list[str], content: str) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from loomstone import constants as C
 from loomstone.functions import text as T
+from loomstone.functions.stem import folded, stem
 from loomstone.operators import beliefs as B
 from loomstone.operators import graph as G
 from loomstone.operators import search as S
@@ -39,6 +41,13 @@ def bm25_search(v):
     return scored(v).select("session_id", "rowid", R6(F.col("rank")).alias("rank"), "n_hit")
 
 
+@query("bm25_stemmed")
+def bm25_stemmed(v):
+    """The same ranking over stemmed terms without diacritics."""
+    docs = S.stemmed(v.msg, "content")
+    return S.bm25(docs, ["session_id", "rowid"], "content", [stem(folded(t)) for t in TERMS]).select("session_id", "rowid", R6(F.col("rank")).alias("rank"))
+
+
 @query("search_and_or", f"SELECT session_id, rowid, round(rank, 6) AS rank FROM (SELECT *, min(CASE WHEN n_hit = 3 THEN 0 ELSE 1 END) OVER () AS s FROM {MSG}) WHERE CASE WHEN n_hit = 3 THEN 0 ELSE 1 END = s")
 def search_and_or(v):
     return S.and_or(scored(v), 3).select("session_id", "rowid", R6(F.col("rank")).alias("rank"))
@@ -157,6 +166,27 @@ def fold_decisions(v):
     return rows.select("id", F.when(F.col("b").isNull(), "insert").otherwise("reinforce").alias("decision"), F.col("b").alias("target"))
 
 
+@query("fold_sequence")
+def fold_sequence(v):
+    """The fold with later claims of a batch also folding into earlier ones: sequential, so one pass per subject.
+
+    Only pairs that reach the threshold take part; rows without any are inserted and never leave their partition."""
+    rows = v.beliefs.where("status in ('superseded', 'dormant')").select("id", F.col("subject").alias("block"), T.overlap_tokens(F.col("claim")).alias("toks"))
+    pairs = M.covering_pairs(rows, rows, C.WRITE_CONTAINMENT).where("b < a")
+    linked = pairs.join(rows.select(F.col("id").alias("a"), "block"), "a")
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        into: dict[int, int] = {}
+        for a, part in pdf.sort_values(["a", "score", "b"], ascending=[True, False, True]).groupby("a", sort=False):
+            into[a] = next((b for b in part["b"] if b not in into), -1)
+            if into[a] < 0:
+                del into[a]
+        return pd.DataFrame({"id": list(into), "target": list(into.values())})
+
+    folded_rows = linked.groupBy("block").applyInPandas(fold, "id long, target long")
+    return rows.select("id").join(folded_rows, "id", "left").select("id", F.when(F.col("target").isNull(), "insert").otherwise("reinforce").alias("decision"), "target")
+
+
 @query("suppress_cross", f"""SELECT id FROM beliefs m WHERE subject = 'user-model' AND status = 'active' AND NOT EXISTS (SELECT 1 FROM claim_toks a, claim_toks b WHERE a.id = m.id AND b.subject = 'user' AND b.status = 'active'
     AND len(a.t) > 0 AND len(b.t) > 0 AND {CONTAIN} / len(a.t) >= 0.60)""")
 def suppress_cross(v):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from loomstone import constants as C
@@ -54,6 +55,19 @@ def scrub_full(v):
     return planted(v).select("doc_id", R.scrub(F.col("text")).alias("text"))
 
 
+@query("scrub_tree")
+def scrub_tree(v):
+    """String leaves of JSON documents."""
+
+    @F.pandas_udf("string")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(R.scrub_tree)
+
+    rows = v.table("documents").where("text is not null")
+    payload = F.to_json(F.struct(F.struct(F.concat(F.lit("sk-"), F.sha2("text", 256)).alias("key"), "lang").alias("inner"), "doc_id"))
+    return rows.select("doc_id", run(payload).alias("payload"))
+
+
 @query("scrub_pointers", """SELECT doc_id, regexp_full_match(value, '(?:op://[^\\s,=]+|(?i:vault)(?:://|:)[^\\s,=]+|\\$\\{[A-Za-z_][A-Za-z0-9_]*\\}|\\$[A-Za-z_][A-Za-z0-9_]*|<[^<>\\s]+>)') AS pointer
     FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'op://vault/' || source WHEN 1 THEN '${' || source || '}' WHEN 2 THEN '<' || lang || '>' WHEN 3 THEN 'vault:' || source ELSE 'x' || source END AS value FROM documents)""")
 def scrub_pointers(v):

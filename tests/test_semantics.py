@@ -221,3 +221,20 @@ def test_phrase_and_grep(spark):
     assert {(r["id"], r["n"]) for r in S.phrase(S.postings(docs, ["id"], "t"), ["id"], ["a", "b"]).collect()} == {(1, 2)}
     msg = frame(spark, [("s", i, "needle" if i == 3 else "x") for i in range(7)], "session_id string, rowid long, content string")
     assert [r["rowid"] for r in S.grep(msg, "Needle", 1, True).orderBy("rowid").collect()] == [2, 3, 4]
+
+
+def test_porter_stems_and_query_parsing():
+    from loomstone.functions.stem import folded, stem
+
+    # Examples of the published algorithm.
+    pairs = "caresses caress ponies poni cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat hopping hop falling fall filing file happy happi sky sky relational relat conditional condit generalization gener oscillators oscil adoption adopt probate probat controlling control rate rate cease ceas"
+    words = pairs.split()
+    assert [stem(w) for w in words[::2]] == words[1::2]
+    assert folded("Élan") == "elan"
+    assert S.query_phrases('find a/b.py "x"') == [["find"], ["a", "b", "py"], ["x"]]
+    assert S.is_code_token("do_it") and S.is_code_token("a.b") and S.is_code_token("camelCase") and not S.is_code_token("plain words")
+
+
+def test_stemmed_search_finds_other_forms(spark):
+    docs = frame(spark, [(1, "motoring about"), (2, "a motor"), (3, "nothing"), (4, None)], "id long, t string")
+    assert {r["id"] for r in S.bm25(S.stemmed(docs, "t"), ["id"], "t", ["motor"]).collect()} == {1, 2}
