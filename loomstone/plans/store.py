@@ -355,8 +355,10 @@ def resolve_subject(v):
     """Exact slug, else the only suffix match, else the only substring match. The known slugs are a dimension of one row a source."""
     known = v.table("documents").select(F.col("source").alias("s")).distinct()
     raw = known.select(F.col("s").alias("raw")).union(v.spark.createDataFrame([("rc7",), ("1",), ("none",)], "raw string")).distinct()
-    # A match holds the raw text as an infix: join on trigrams would need three letters, and names can be shorter.
-    pairs = raw.join(known, F.col("s").contains(F.col("raw")), "left")
+    # An equi-join on the infixes of the known slugs, which are short names: no pair of unrelated rows meets.
+    cuts = F.expr("flatten(transform(sequence(1, char_length(s)), i -> transform(sequence(1, char_length(s) - i + 1), n -> substring(s, i, n))))")
+    infixes = known.select("s", F.explode(cuts).alias("raw")).distinct()
+    pairs = raw.join(infixes, "raw", "left")
     tail = F.col("s").endswith(F.col("raw"))
     rows = pairs.groupBy("raw").agg(F.count_if(F.col("s") == F.col("raw")).alias("exact"), F.count_if(tail).alias("n_suffix"), F.min(F.when(tail, F.col("s"))).alias("suffix"), F.count("s").alias("n_sub"), F.min("s").alias("sub"))
     return rows.select("raw", F.when(F.col("exact") == 1, F.col("raw")).when(F.col("n_suffix") == 1, F.col("suffix")).when(F.col("n_sub") == 1, F.col("sub")).alias("slug"))
