@@ -41,35 +41,43 @@ NOISE = frozenset(
     "consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup comment comments commentlist disqus respond reply replies discussion social share "
     "sharing related recommended breadcrumb breadcrumbs pagination pager toolbar widget widgets login search skip copyright tags".split()
 )
-KEEP = frozenset("article post content main entry story body page".split())
+#: A header of these is part of the text, and with these words a name tells of a layout, not of furniture.
+OWN_HEADER, LAYOUT = frozenset("article post entry story".split()), frozenset("has with no without".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES_P = BLOCK - {"html", "body"}
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
-def noisy(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
-    """Whether an element is page furniture."""
+def noisy(tag: str, attrs: dict[str, str], in_article: bool, by_name: bool = True) -> bool:
+    """Whether an element is page furniture: by tag and role, and by the words of its class and id."""
     if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
         return True
     if tag == "header":
         return not in_article
-    if tag in ("html", "body", "main", "article", "p", *HEADINGS):
+    if not by_name or tag in ("html", "body", "main", "article", "p", *HEADINGS):
         return False
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
         words = set(_WORD.findall(name))
-        if words & NOISE and not (words & KEEP and not words & {"comment", "comments", "ad", "ads", "sidebar", "footer", "nav"}):
+        found = words & NOISE
+        if found and not words & LAYOUT and not (found == {"header"} and words & OWN_HEADER):
             return True
     return False
 
 
 class Page:
-    """Text blocks of a page in order, each with the element it is in; elements with their paths."""
+    """Text blocks of a page in order, each with the element it is in; elements with their paths.
 
-    def __init__(self, html: str):
+    Where names of classes would leave no text at all, they are not believed: only tags and roles count then.
+    """
+
+    def __init__(self, html: str, by_name: bool = True):
+        self.by_name = by_name
         #: (tag, parent, path, furniture)
         self.elements: list[tuple[str, int, str, bool]] = [("", -1, "", False)]
         self.blocks: list[tuple[int, str, int]] = []  # element, text, characters inside links
         self._parse(html)
+        if by_name and self.blocks and all(self.elements[e][3] for e, _, _ in self.blocks):
+            self.__init__(html, False)
 
     def _parse(self, html: str) -> None:
         stack, parts, linked, at = [0], [], 0, 0
@@ -147,7 +155,7 @@ class Page:
             parent = stack[-1]
             ptag, _, ppath, furniture = self.elements[parent]
             if not furniture:
-                furniture = noisy(tag, attrs, "article" in names or "main" in names)
+                furniture = noisy(tag, attrs, "article" in names or "main" in names, self.by_name)
             label = tag
             if attrs.get("class"):
                 label += "." + ".".join(sorted({re.sub(r"\d+", "", c.lower()) for c in attrs["class"].split()} - {""}))

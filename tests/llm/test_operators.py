@@ -273,6 +273,14 @@ def test_html_consensus_beats_a_page_of_comments(spark):
     assert got[9] == "short story"
 
 
+def test_html_names_of_layouts_and_furniture():
+    page = lambda cls, text: f"<body><div class='page-header'><p>site header</p></div><div class='{cls}'><div class='post-header'><h1>Title</h1></div><p>{text}</p></div><div class='post-comments'><p>{'comment ' * 60}</p></div></body>"
+    for cls in ("content", "layout has-sidebar", "story12"):
+        assert html_extraction.Page(page(cls, "the story " * 20)).extract(None) == "Title " + ("the story " * 20).strip()
+    assert html_extraction.Page("<div class='sidebar-wrap'><nav>menu</nav><p>all there is</p></div>").extract(None) == "all there is"
+    assert html_extraction.Page("<nav>menu only</nav>").extract(None) == ""
+
+
 # 8
 
 
