@@ -118,24 +118,20 @@ class Model:
 
     def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
         self.langs = sorted(counts)
-        dense = np.zeros((len(self.langs), FULL), np.float32)
+        at = np.unique(np.concatenate([np.zeros(0, np.int64), *(counts[k][0] for k in self.langs)])).astype(np.int64)
+        at = at[np.argsort(hashed(at), kind="stable")]
+        size = SIZE ** (ORDER - 1), len(self.langs)
+        self.hashes, self.rows = hashed(at), np.zeros((len(at), len(self.langs)), np.float32)
+        self.tri, self.back = np.zeros(size, np.float32), np.zeros(size, np.float32)
         self.mean, self.deviation = np.zeros(len(self.langs)), np.zeros(len(self.langs))
-        seen = np.zeros(FULL, bool)
-        lower = []
         for k, lang in enumerate(self.langs):
             gram, n = counts[lang]
-            p, tri, back = kneser_ney(gram, n)
-            dense[k] = np.log(p)
-            lower.append((np.log(tri), np.log(back)))
-            seen[gram] = True
-            h = -dense[k][gram]
+            p, tri, back = kneser_ney(gram, n, at)
+            self.rows[:, k], self.tri[:, k], self.back[:, k] = np.log(p), np.log(tri), np.log(back)
+            order = np.argsort(at)
+            h = -np.log(p[order[np.searchsorted(at, gram, sorter=order)]])
             self.mean[k] = (h * n).sum() / n.sum()
             self.deviation[k] = np.sqrt(max(((h - self.mean[k]) ** 2 * n).sum() / n.sum(), 1e-9))
-        at = np.flatnonzero(seen)
-        order = np.argsort(hashed(at), kind="stable")
-        self.hashes, self.rows = hashed(at)[order], dense[:, at[order]].T.copy()
-        self.tri = np.stack([x[0] for x in lower], 1).astype(np.float32) if lower else np.zeros((0, 0), np.float32)
-        self.back = np.stack([x[1] for x in lower], 1).astype(np.float32) if lower else np.zeros((0, 0), np.float32)
 
     def index(self) -> np.ndarray:
         """Row of each n-gram code, -1 where it was never seen: the hash array opened for direct access."""
@@ -171,31 +167,37 @@ def unhashed(h: np.ndarray) -> np.ndarray:
     return (h * np.uint32(pow(2654435761, -1, 1 << 32))).astype(np.int64)
 
 
-def kneser_ney(gram: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interpolated Kneser-Ney: p(order 4), p(order 3) and the back-off weight of each context of three symbols."""
+def kneser_ney(gram: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Interpolated Kneser-Ney from the distinct n-grams and their counts: the probabilities at the codes ``at``, those of
+    order 3, and the back-off weight of each context of three symbols. Only the orders below are dense."""
 
     def discount(c):
         n1, n2 = (c == 1).sum(), (c == 2).sum()
         return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
 
+    def weights(total, types, d):
+        return np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
+
     def interpolate(c, below):
         d, total = discount(c), c.sum(-1, keepdims=True)
-        types = (c > 0).sum(-1, keepdims=True)
-        back = np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
-        return np.where(total > 0, np.maximum(c - d, 0) / np.maximum(total, 1), 0.0) + back * below, back
-
-    shape = (SIZE,) * ORDER
-    c4 = np.zeros(FULL, np.float64)
-    c4[gram] = n
-    c4 = c4.reshape(shape)
-    c3 = (c4 > 0).sum(0).astype(np.float64)
+        back = weights(total, (c > 0).sum(-1, keepdims=True), d)
+        return np.where(total > 0, np.maximum(c - d, 0) / np.maximum(total, 1), 0.0) + back * below
+
+    low = SIZE ** (ORDER - 1)
+    # Continuation counts: in how many contexts a shorter n-gram ends a seen one.
+    c3 = np.bincount(gram % low, minlength=low).astype(np.float64).reshape((SIZE,) * 3)
     c2 = (c3 > 0).sum(0).astype(np.float64)
     c1 = (c2 > 0).sum(0).astype(np.float64)
-    p1, _ = interpolate(c1, 1.0 / SIZE)
-    p2, _ = interpolate(c2, p1[None, :])
-    p3, _ = interpolate(c3, p2[None, :, :])
-    p4, back = interpolate(c4, p3[None])
-    return p4.reshape(-1), p3.reshape(-1), back.reshape(-1)
+    tri = interpolate(c3, interpolate(c2, interpolate(c1, 1.0 / SIZE)[None, :])[None]).reshape(-1)
+    d = discount(n)
+    total, types = np.bincount(gram // SIZE, weights=n, minlength=low), np.bincount(gram // SIZE, minlength=low)
+    back = weights(total, types, d)
+    order = np.argsort(gram)
+    place = np.minimum(np.searchsorted(gram, at, sorter=order), len(gram) - 1)
+    own = np.where(gram[order[place]] == at, n[order[place]], 0.0)
+    context = at // SIZE
+    p = np.maximum(own - d, 0) / np.maximum(total[context], 1) + back[context] * tri[at % low]
+    return p, tri, back
 
 
 def train(docs: DataFrame) -> Model:

@@ -176,7 +176,7 @@ def test_classifiers_without_labels_and_with_edges(spark):
 def test_language_models_are_normalised():
     rng = np.random.default_rng(6)
     gram = np.unique(rng.integers(0, language_id.FULL, 5000))
-    p, tri, back = language_id.kneser_ney(gram, rng.integers(1, 9, len(gram)).astype(float))
+    p, tri, back = language_id.kneser_ney(gram, rng.integers(1, 9, len(gram)).astype(float), np.arange(language_id.FULL))
     assert np.allclose(p.reshape(-1, language_id.SIZE).sum(1), 1)
     at = int(gram[0] // language_id.SIZE) * language_id.SIZE
     unseen = np.setdiff1d(np.arange(at, at + language_id.SIZE), gram)[0]
