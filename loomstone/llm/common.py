@@ -140,7 +140,7 @@ def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
     Alternating large-star and small-star rounds; every round is cut in the shared folder. Per node only
     a minimum is gathered, so hubs pre-aggregate before the shuffle.
     """
-    cur = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    cur, before = scratch.keep(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"), None
     nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
     for _ in range(most):
         both = cur.union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -148,12 +148,12 @@ def components(scratch: Scratch, edges: DataFrame, most: int = 60) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low2 = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low2, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        nxt = small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        nxt = scratch.keep(nxt, "edges")
-        changed = nxt.exceptAll(cur).limit(1).count() + cur.exceptAll(nxt).limit(1).count()
+        nxt = scratch.keep(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
+        # Equal digests of two rounds: nothing moves any more, every node hangs on its smallest reachable node.
+        now = tuple(nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         scratch.drop(cur)
         cur = nxt
-        if not changed:
-            # Every node now hangs on its smallest reachable node.
+        if now == before:
             return nodes.join(cur.withColumnRenamed("u", "node"), "node", "left").select("node", F.coalesce("v", "node").alias("comp"))
+        before = now
     raise RuntimeError(f"components did not settle in {most} rounds")

@@ -10,7 +10,7 @@ from .common import Scratch, fold_shares
 from .decontamination import SMALL, leaks
 from .language_id import _pieces, train
 from .ngram_jaccard import jaccard_components
-from .suffix_dedup import NO_ID, _remove, keyed, repeated_spans
+from .suffix_dedup import _remove, ids_repeat, keyed, repeated_spans
 
 
 def _kept_languages(model):
@@ -41,7 +41,7 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
     """The document with the least doc_id of each group of linked ones; of rows with one doc_id one stays; null ids stay."""
     groups = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
     place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(groups, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = docs.join(groups, docs["doc_id"] == groups["kept_id"], "left_semi")
     kept = kept.select(F.struct("*").alias("row"), F.col("doc_id"), place.alias("place")).where("place = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
 
@@ -49,9 +49,9 @@ def one_of_each_group(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """Documents with repeated passages cut from their texts; n_chars, where present, is counted anew. No row goes."""
     rest = [c for c in docs.columns if c != "text"]
-    spans = repeated_spans(docs).withColumnsRenamed({"did": "s_did", "th": "s_th"})
-    rows = docs.select(F.struct(*rest).alias("rest"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.expr("xxhash64(text)").alias("th"), "text")
-    rows = rows.join(spans, (F.col("did") == F.col("s_did")) & (F.col("th") == F.col("s_th")), "left").select("rest", "text", "lists")
+    repeated = ids_repeat(docs)
+    spans = repeated_spans(docs, repeated)
+    rows = keyed(docs, repeated, F.struct(*rest).alias("rest")).join(spans, ["did", "th"], "left").select("rest", "text", "lists")
     fields = rows.schema["rest"].dataType
     run = _remove(True)
 
@@ -72,7 +72,7 @@ def not_in_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     found = scratch.keep(leaks(docs, benchmark).select(F.col("doc_id").alias("leak_id")).where("leak_id is not null").distinct(), "leaks")
     small = found.count() <= SMALL
-    return docs.join(F.broadcast(found) if small else found, F.col("doc_id") == F.col("leak_id"), "left_anti")
+    return docs.join(F.broadcast(found) if small else found, docs["doc_id"] == found["leak_id"], "left_anti")
 
 
-__all__ = ["in_a_language", "keyed", "not_in_benchmark", "one_of_each_group", "without_repeats"]
+__all__ = ["in_a_language", "not_in_benchmark", "one_of_each_group", "without_repeats"]

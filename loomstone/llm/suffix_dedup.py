@@ -126,6 +126,23 @@ _ENTRY = np.dtype([("trig", "<u8"), ("phrase", "<u8"), ("did", "<i8"), ("th", "<
 _SPANS = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
 
 
+def pack(e: np.ndarray) -> bytes:
+    """Entries field by field: equal fields side by side compress well in a shuffle."""
+    return b"".join(np.ascontiguousarray(e[k]).tobytes() for k in _ENTRY.names)
+
+
+def unpack(blocks: list[bytes]) -> np.ndarray:
+    out = []
+    for b in blocks:
+        e, pos = np.empty(len(b) // _ENTRY.itemsize, _ENTRY), 0
+        for k in _ENTRY.names:
+            size = len(e) * _ENTRY[k].itemsize
+            e[k] = np.frombuffer(b, _ENTRY[k], len(e), pos)
+            pos += size
+        out.append(e)
+    return np.concatenate(out)
+
+
 def _first_of_phrase(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Entries sorted by (trigger, phrase, corpus order) and which of them are the first of their phrase."""
     e = e[np.lexsort((e["at"], e["th"], e["did"], e["phrase"], e["trig"]))]
@@ -173,7 +190,7 @@ def _parse(buckets: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     pa.array([*(int(home[a]) for a, _ in runs), *(abs(x[0] * 31 + x[1]) % buckets for x in spans)], pa.int32()),
-                    pa.array([*(e[a:b].tobytes() for a, b in runs), *[None] * k], pa.binary()),
+                    pa.array([*(pack(e[a:b]) for a, b in runs), *[None] * k], pa.binary()),
                     pa.array([*[None] * len(runs), *(x[0] for x in spans)], pa.int64()),
                     pa.array([*[None] * len(runs), *(x[1] for x in spans)], pa.int64()),
                     pa.array([*[None] * len(runs), *(x[2] for x in spans)], pa.binary()),
@@ -195,7 +212,7 @@ def _dictionary(batches):
         rows = [(d, h, s, None) for d, h, s in zip(t.column("did").to_pylist(), t.column("th").to_pylist(), t.column("spans").to_pylist()) if s is not None]
         parts = [x for x in t.column("entries").to_pylist() if x]
         if parts:
-            e, first = _first_of_phrase(np.frombuffer(b"".join(parts), _ENTRY))
+            e, first = _first_of_phrase(unpack(parts))
             rows += [(*x, None) for x in _repeat_rows(e[~first])]
             e = e[first]
             _, at, n = np.unique(e["trig"], return_inverse=True, return_counts=True)
@@ -338,16 +355,22 @@ def _pack(batches):
         yield _spans_batch(spans_by_doc(did, th, s, s + WINDOW))
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """did, th: the corpus order of rows; text not null."""
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), F.expr("xxhash64(text)").alias("th"), F.coalesce("text", F.lit("")).alias("text"))
+def ids_repeat(docs: DataFrame) -> bool:
+    """Whether a doc_id occurs twice; nulls count as one id. Reads ids only."""
+    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+
+
+def keyed(docs: DataFrame, repeated: bool, *more) -> DataFrame:
+    """did, th: the corpus order of rows; text not null. Where ids don't repeat, th is 0 and costs nothing to move."""
+    th = F.expr("xxhash64(text)") if repeated else F.lit(0).cast("long")
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("did"), th.alias("th"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
+def repeated_spans(docs: DataFrame, repeated: bool) -> DataFrame:
     """did, th, lists: the packed spans (int64 pairs) of each document that has bytes to remove."""
     spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    rows = keyed(docs)
+    scratch = Scratch(spark)
+    rows = keyed(docs, repeated)
     buckets = max(32, 4 * rows.rdd.getNumPartitions())
     parsed = rows.mapInArrow(_parse(buckets), "bucket int, entries binary, did long, th long, spans binary")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
@@ -398,8 +421,9 @@ def suffix_dedup(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
     Characters cut by the edge of a removed run are left out of ``kept``; the digest is over the bytes.
     """
-    spans = repeated_spans(docs)
-    rows = keyed(docs).join(spans, ["did", "th"], "left").select(F.expr(f"nullif(did, {NO_ID})").alias("doc_id"), "text", "lists")
+    repeated = ids_repeat(docs)
+    spans = repeated_spans(docs, repeated)
+    rows = keyed(docs, repeated).join(spans, ["did", "th"], "left").select(F.expr(f"nullif(did, {NO_ID})").alias("doc_id"), "text", "lists")
     return rows.mapInArrow(_remove(with_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string")
 
 

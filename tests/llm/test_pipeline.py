@@ -12,7 +12,7 @@ from tests.llm.test_operators import brute_components, brute_spans
 def test_stages_over_the_smallest_tables(spark, tmp_path):
     docs = corpus_pipeline.documents(spark, DATA)
     # Columns whose names the operators use inside.
-    docs = docs.withColumns({"n": F.lit(1), "th": F.lit("x"), "place": F.lit(None).cast("string")})
+    docs = docs.withColumns({"n": F.lit(1), "th": F.lit("x"), "place": F.lit(None).cast("string"), "leak_id": F.lit(3), "kept_id": F.lit(4), "did": F.lit(1), "rest": F.lit("r"), "lists": F.lit(0)})
     nulls = docs.limit(1).withColumns({"doc_id": F.lit(10**6), "text": F.lit(None).cast("string"), "lang": F.lit(None).cast("string")})
     docs = docs.unionByName(nulls)
     columns = docs.columns
