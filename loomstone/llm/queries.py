@@ -8,6 +8,7 @@ from .fingerprints import op6_fingerprints
 from .html_extraction import op7_html_extraction
 from .language_id import op4_language_id
 from .ngram_jaccard import op1_ngram_jaccard
+from .oracle import ORACLE_SQL
 from .quality import op8_quality
 from .suffix_dedup import op10_suffix_dedup
 from .token_counts import op5_token_counts
@@ -26,4 +27,4 @@ QUERIES = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
