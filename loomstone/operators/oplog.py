@@ -67,3 +67,21 @@ def replace_conflicts(ops: DataFrame, key: list[str]) -> DataFrame:
 def deferred(ops: DataFrame, known: DataFrame) -> DataFrame:
     """Operations that refer to a uid (column ref) that no accepted operation or belief has made known (column uid)."""
     return ops.join(known.select(F.col("uid").alias("ref")).distinct(), "ref", "left_anti")
+
+
+def append(log: DataFrame, new: DataFrame, machine: str) -> DataFrame:
+    """New local operations (n, op_id, class, op, project_key, payload) with the next sequence numbers and clock values.
+
+    The log's greatest values are one row; places inside the batch come from its own order n, so a batch of any size
+    costs one aggregate. Payloads are scrubbed before they are signed or stored."""
+    from loomstone.functions.scrub import scrub
+
+    top = log.agg(F.coalesce(F.max(F.when(F.col("machine_id") == machine, F.col("machine_seq"))), F.lit(0)).alias("s"), F.coalesce(F.max("lamport"), F.lit(0)).alias("l"))
+    rows = new.crossJoin(F.broadcast(top))
+    return rows.select("op_id", F.lit(machine).alias("machine_id"), (F.col("s") + F.col("n")).alias("machine_seq"), (F.col("l") + F.col("n")).alias("lamport"), "class", "op", "project_key", scrub(F.col("payload")).alias("payload"))
+
+
+def put_or_remove(ops: DataFrame, key: list[str], value: list[str]) -> DataFrame:
+    """Last put of each key, unless a removal comes after it."""
+    last = last_writer(ops, key, ["op", *value])
+    return last.where("op = 'put'").drop("op")

@@ -64,6 +64,15 @@ def and_or(scored: DataFrame, n_terms: int, scope: Column | None = None) -> Data
     return rows.join(F.broadcast(rows.agg(F.min("stage").alias("stage"))), "stage")
 
 
+def snippet(content: Column, term: str, width: int = 16) -> Column:
+    """A window of ``width`` terms around the first match, which stands in brackets; null without a match."""
+    t = T.search_terms(content)
+    at = F.array_position(t, term).cast("int")
+    lo = F.greatest(F.lit(1), at - width // 2)
+    shown = F.transform(F.slice(t, lo, F.lit(width)), lambda x: F.when(x == term, F.concat(F.lit("["), x, F.lit("]"))).otherwise(x))
+    return F.when(at > 0, F.array_join(shown, " "))
+
+
 def phrase(posted: DataFrame, key: list[str], words: list[str]) -> DataFrame:
     """Rows that hold the words next to each other, with how often."""
     out = posted.where(F.col("term") == words[0]).select(*key, F.col("pos").alias("at"))

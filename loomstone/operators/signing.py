@@ -72,3 +72,19 @@ def replay(ops: DataFrame) -> DataFrame:
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]] * len(entries), "place": range(len(entries)), "entry": [e for _, e in entries]})
 
     return ops.select("bucket", "lamport", "machine_id", "machine_seq", "k", "op", "entry").groupBy("bucket").applyInPandas(fold, "bucket string, place long, entry string")
+
+
+def page_token(key: bytes, last: int, expires: int) -> str:
+    """An opaque cursor: the last key served and an expiry, signed together."""
+    body = f"{last}.{expires}"
+    return f"{body}.{hmac.new(key, body.encode(), hashlib.sha256).hexdigest()}"
+
+
+def read_token(key: bytes, token: str, now: int) -> int:
+    """The last key of a token; a forged or expired one is refused."""
+    last, expires, mac = token.split(".")
+    if not hmac.compare_digest(mac, page_token(key, int(last), int(expires)).rsplit(".", 1)[1]):
+        raise ValueError("cursor was not issued here")
+    if now > int(expires):
+        raise ValueError("cursor has expired")
+    return int(last)

@@ -84,6 +84,13 @@ def skill_lww(v):
     return O.last_writer(v.accepted.where("class = 'skill'"), ["k"], ["op_id", "payload"])
 
 
+@query("skill_merge", """SELECT k, op_id FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY lamport DESC, machine_id DESC, machine_seq DESC) AS rn FROM accepted WHERE class = 'skill') WHERE rn = 1 AND event_id % 6 <> 0""")
+def skill_merge(v):
+    """Puts and removals (every sixth): the last one decides."""
+    ops = v.accepted.where("class = 'skill'").withColumn("op", F.when(F.col("event_id") % 6 == 0, "remove").otherwise("put"))
+    return O.put_or_remove(ops, ["k"], ["op_id"])
+
+
 @query("remote_lww", "SELECT class, project_key, machine_id, arg_max(op_id, lamport * 1000000 + machine_seq) AS op_id FROM accepted GROUP BY 1, 2, 3")
 def remote_lww(v):
     return O.last_writer(v.accepted, ["class", "project_key", "machine_id"], ["op_id"])
@@ -288,6 +295,7 @@ def skill_quality(v):
     return rows.select("doc_id", (size <= 16384).alias("small_enough"), (~((size > 4000) & (size > 2000 + 4096))).alias("not_bloated"), (~F.lower("text").contains("thtion the")).alias("no_answer"))
 
 
+# Phrases by which people correct an agent.
 CORRECTION = r"(?:^no\b[,.! ]|\bnot what i (?:asked|meant|said|wanted)|\bi (?:already )?told you|\bas i said|\bi said\b|\byou ignored|\byou didn'?t (?:read|listen|do|follow)|\bwhy did you|\bthat'?s (?:still )?wrong|\bstill (?:wrong|broken|failing)|\bundo (?:that|this)|\brevert (?:that|this)|\bdon'?t do that|\bstop\b[,.! ]|\bfalsch\b)"
 #: The test texts hold no corrections, so a second lexicon stands in for them.
 STAND_IN = r"(?:\bthe a|\bund der\b|^ou |\bque la\b)"

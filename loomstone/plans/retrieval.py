@@ -84,6 +84,12 @@ def phrase_search(v):
     return S.phrase(S.postings(v.msg, ["session_id", "rowid"], "content"), ["session_id", "rowid"], ["of", "the"])
 
 
+@query("fts_snippet", """SELECT session_id, rowid, array_to_string(list_transform(t[greatest(1, i - 8):greatest(1, i - 8) + 15], lambda x: CASE WHEN x = 'the' THEN '[the]' ELSE x END), ' ') AS snippet
+    FROM (SELECT session_id, rowid, t, list_position(t, 'the') AS i FROM (SELECT session_id, rowid, regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+') AS t FROM msg)) WHERE i > 0""")
+def fts_snippet(v):
+    return v.msg.select("session_id", "rowid", S.snippet(F.col("content"), "the").alias("snippet")).where("snippet is not null")
+
+
 @query("session_grep", """SELECT session_id, rowid, n, hit FROM (SELECT *, bool_or(hit) OVER (PARTITION BY session_id ORDER BY rowid ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near
     FROM (SELECT session_id, rowid, row_number() OVER (PARTITION BY session_id ORDER BY rowid) AS n, contains(content, 'ond') AS hit FROM msg)) WHERE near""")
 def session_grep(v):
@@ -201,9 +207,11 @@ DREAM = f"(SELECT id, subject, list_filter(list_distinct(regexp_extract_all(lowe
 JACC = "len(list_intersect(a.t, b.t))::DOUBLE / len(list_distinct(list_concat(a.t, b.t)))"
 
 
-@query("dream_candidates", f"SELECT a.id AS a, b.id AS b, round({JACC}, 6) AS score FROM {DREAM} a JOIN {DREAM} b ON a.subject = b.subject AND a.id < b.id WHERE len(a.t) > 0 AND len(b.t) > 0 AND {JACC} >= 0.4 ORDER BY {JACC} DESC, a.id, b.id LIMIT 12")
+@query("dream_candidates", f"SELECT a.id AS a, b.id AS b, round({JACC}, 6) AS score FROM {DREAM} a JOIN {DREAM} b ON a.subject = b.subject AND a.id < b.id WHERE len(a.t) > 0 AND len(b.t) > 0 AND {JACC} >= 0.4 AND (a.id + b.id) % 5 <> 0 ORDER BY {JACC} DESC, a.id, b.id LIMIT 12")
 def dream_candidates(v):
+    """The best pairs that nobody has reviewed yet (a fifth of all pairs counts as reviewed)."""
     pairs = M.jaccard_pairs(claims(v, T.dream_tokens), C.DREAM_JACCARD)
+    pairs = pairs.join(pairs.where("(a + b) % 5 = 0").select("a", "b"), ["a", "b"], "left_anti")
     return pairs.orderBy(F.desc("score"), "a", "b").limit(C.DREAM_CAP).select("a", "b", R6(F.col("score")).alias("score"))
 
 

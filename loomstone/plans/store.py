@@ -320,6 +320,22 @@ def match_status(v):
     return v.entries.groupBy("doc_id").agg(F.when(n == 0, "match_not_found").when(n == 1, "matched").otherwise("match_ambiguous").alias("status"))
 
 
+@query("memory_edit", """SELECT doc_id, pos, CASE WHEN hit AND n = 1 THEN 'replaced' ELSE entry END AS entry FROM (SELECT *, count(*) FILTER (hit) OVER (PARTITION BY doc_id) AS n FROM (SELECT *, contains(lower(entry), 'thtion') AS hit FROM entries))""")
+def memory_edit(v):
+    """Replacement in every file of the only entry that holds a text; no match or several leave the file as it is."""
+    hit = F.lower("entry").contains("thtion")
+    n = v.entries.where(hit).groupBy("doc_id").agg(F.count("*").alias("n")).where("n = 1").withColumn("one", F.lit(True)).drop("n")
+    rows = v.entries.join(n, "doc_id", "left")
+    return rows.select("doc_id", "pos", F.when(hit & F.col("one"), "replaced").otherwise(F.col("entry")).alias("entry"))
+
+
+@query("memory_add", "SELECT doc_id, min(pos) AS pos, count(*) - 1 AS dropped FROM entries GROUP BY doc_id, lower(entry)")
+def memory_add(v):
+    """Adding entries one after another: the first of those that are equal without case stays."""
+    rows = v.entries.groupBy("doc_id", F.lower("entry").alias("key")).agg(F.min("pos").alias("pos"), (F.count("*") - 1).alias("dropped"))
+    return rows.select("doc_id", "pos", "dropped")
+
+
 @query("themes", """SELECT id, array_to_string(list_sort(list_distinct(regexp_extract_all(lower(claim), '[a-z0-9_]{3,}')))[1:5], ' ') AS themes FROM beliefs""")
 def themes(v):
     return v.beliefs.select("id", F.array_join(F.slice(F.array_sort(T.overlap_tokens(F.col("claim"))), 1, 5), " ").alias("themes"))

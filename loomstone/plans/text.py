@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomstone import constants as C
 from loomstone.functions import scrub as R
 from loomstone.functions import text as T
+from loomstone.operators import oplog as O
 from loomstone.operators import signing as G
 from loomstone.sources import transcripts as S
 
@@ -117,9 +118,13 @@ def trace_events(v):
 # Signatures and ordered replays
 
 
-@query("op_append")
+@query("op_append", """SELECT 'new' || doc_id AS op_id, (SELECT max(machine_seq) FROM log WHERE machine_id = 'm1') + row_number() OVER (ORDER BY doc_id) AS machine_seq, (SELECT max(lamport) FROM log) + row_number() OVER (ORDER BY doc_id) AS lamport,
+    64 AS mac_length FROM documents""")
 def op_append(v):
-    return G.signed(v.log, b"key")
+    """Local operations with the next sequence numbers, scrubbed and signed. Their order n is dense, as a journal's is."""
+    new = v.table("documents").select(F.concat(F.lit("new"), F.col("doc_id").cast("string")).alias("op_id"), (F.col("doc_id") + 1).alias("n"), F.lit("belief").alias("class"), F.lit("insert").alias("op"), F.lit("k0").alias("project_key"), F.to_json(F.struct("doc_id", "lang")).alias("payload"))
+    rows = G.signed(O.append(v.log, new, "m1"), b"key")
+    return rows.select("op_id", "machine_seq", "lamport", F.char_length("mac").alias("mac_length"))
 
 
 @query("verify_mac", "SELECT op_id, event_id % 10 <> 0 AS valid FROM log")

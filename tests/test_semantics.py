@@ -238,3 +238,19 @@ def test_porter_stems_and_query_parsing():
 def test_stemmed_search_finds_other_forms(spark):
     docs = frame(spark, [(1, "motoring about"), (2, "a motor"), (3, "nothing"), (4, None)], "id long, t string")
     assert {r["id"] for r in S.bm25(S.stemmed(docs, "t"), ["id"], "t", ["motor"]).collect()} == {1, 2}
+
+
+def test_page_tokens():
+    token = K.page_token(b"k", 17, 100)
+    assert K.read_token(b"k", token, 99) == 17
+    for bad in (token.replace("17", "18", 1), K.page_token(b"other", 17, 100)):
+        with pytest.raises(ValueError, match="not issued"):
+            K.read_token(b"k", bad, 99)
+    with pytest.raises(ValueError, match="expired"):
+        K.read_token(b"k", token, 101)
+
+
+def test_later_removal_wins(spark):
+    rows = [(1, "a", "put", 1), (1, "b", "remove", 2), (2, "c", "remove", 1), (2, "d", "put", 2)]
+    df = frame(spark, rows, "k int, op_id string, op string, lamport long").withColumns({"machine_id": F.lit("m"), "machine_seq": F.col("lamport")})
+    assert {(r["k"], r["op_id"]) for r in O.put_or_remove(df, ["k"], ["op_id"]).collect()} == {(2, "d")}
