@@ -3,7 +3,8 @@
 Fixed masks of SPAN tokens ignore some positions; a hash over the other positions survives substitutions at the ignored
 ones. Hashes of all windows of the benchmark items meet hashes of all windows of all documents. Around each
 hit the texts are laid over each other and compared token by token: a hit is a leak if at least SHARE of the
-tokens are equal on the hit's span and REACH tokens to either side (as far as the item and the document go).
+tokens are equal on the hit's span and REACH tokens to either side (as far as the item and the document go), or
+at least CLOSE on the span and NEAR tokens to either side, which finds shorter quotations that are nearly literal.
 Items of MIN_ITEM to SPAN - 1 tokens are matched whole; shorter ones tell nothing and are skipped.
 
 Tokens are runs of letters and digits, lower case. Null and empty texts and items have none.
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import documents
 
-SPAN, REACH, SHARE, MIN_ITEM = 12, 6, 0.8, 5
+SPAN, MIN_ITEM = 12, 5
+REACH, SHARE, NEAR, CLOSE = 6, 0.8, 2, 0.9
 #: Positions that count, of SPAN.
 MASKS = ((0, 1, 3, 6, 7, 9, 10, 11), (0, 1, 2, 4, 5, 7, 10, 11), (0, 2, 3, 4, 7, 8, 9, 11))
 SMALL = 2_000_000  # seeds that are broadcast; above, the join shuffles
@@ -68,9 +70,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     hits = hits.withColumn("a", F.expr(f"greatest(0, item_pos - {REACH}, item_pos - pos)"))
     hits = hits.withColumn("b", F.expr(f"least(size(item_toks), item_pos + {SPAN + REACH}, item_pos - pos + size(toks))"))
     # Only the two slices leave the join; the guard keeps the comparison, which runs outside generated code, out of it.
-    hits = hits.select("doc_id", "item_id", guarded(F.expr("slice(item_toks, a + 1, b - a)")).alias("x"), guarded(F.expr("slice(toks, pos - item_pos + a + 1, b - a)")).alias("y"))
-    same = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda z: z))
-    good = hits.withColumn("same", same).where(F.col("same") >= F.lit(SHARE) * F.size("x"))
+    hits = hits.select(
+        "doc_id", "item_id", guarded(F.expr("slice(item_toks, a + 1, b - a)")).alias("x"), guarded(F.expr("slice(toks, pos - item_pos + a + 1, b - a)")).alias("y"),
+        F.expr(f"greatest(0, item_pos - {NEAR} - a)").alias("lo"), F.expr(f"least(b - a, item_pos + {SPAN + NEAR} - a)").alias("hi"),
+    )
+    equal = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda x, y: x == y), lambda z: z))
+    near = F.col("hi") - F.col("lo")
+    hits = hits.withColumn("same", equal(F.col("x"), F.col("y"))).withColumn("close", equal(F.slice("x", F.col("lo") + 1, near), F.slice("y", F.col("lo") + 1, near)))
+    good = hits.where((F.col("same") >= F.lit(SHARE) * F.size("x")) | (F.col("close") >= F.lit(CLOSE) * near))
     return good.groupBy("doc_id", "item_id").agg(F.max("same").cast("long").alias("n_same"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontamination import MASKS, MIN_ITEM, REACH, SHARE, SPAN
+from .decontamination import CLOSE, MASKS, MIN_ITEM, NEAR, REACH, SHARE, SPAN
 
 OP1 = r"""WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -26,8 +26,9 @@ b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),
 short AS (SELECT DISTINCT len(t) AS k FROM b WHERE len(t) BETWEEN {MIN_ITEM} AND {SPAN - 1}),
 ds AS ({_seeds("d", "doc_id")} UNION ALL SELECT doc_id, i, t, 'w' || k || ':' || array_to_string(t[i:i + k - 1], ' ') FROM (SELECT doc_id, t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM d, short WHERE len(t) >= k)),
 bs AS ({_seeds("b", "item_id")} UNION ALL SELECT item_id, 1, t, 'w' || len(t) || ':' || array_to_string(t, ' ') FROM b WHERE len(t) BETWEEN {MIN_ITEM} AND {SPAN - 1}),
-hits AS (SELECT doc_id, item_id, greatest(1, bs.i - {REACH}, bs.i - ds.i + 1) AS lo, least(len(bs.t), bs.i + {SPAN + REACH - 1}, bs.i - ds.i + len(ds.t)) AS hi, ds.i - bs.i AS shift, ds.t AS dt, bs.t AS bt FROM ds JOIN bs USING (seed)),
-good AS (SELECT DISTINCT doc_id, item_id FROM hits WHERE len(list_filter(generate_series(lo, hi), lambda p: bt[p] = dt[p + shift])) >= {SHARE} * (hi - lo + 1))
+hits AS (SELECT doc_id, item_id, greatest(1, bs.i - {REACH}, bs.i - ds.i + 1) AS lo, least(len(bs.t), bs.i + {SPAN + REACH - 1}, bs.i - ds.i + len(ds.t)) AS hi, bs.i AS place, ds.i - bs.i AS shift, ds.t AS dt, bs.t AS bt FROM ds JOIN bs USING (seed)),
+good AS (SELECT DISTINCT doc_id, item_id FROM hits WHERE len(list_filter(generate_series(lo, hi), lambda p: bt[p] = dt[p + shift])) >= {SHARE} * (hi - lo + 1)
+    OR len(list_filter(generate_series(greatest(lo, place - {NEAR}), least(hi, place + {SPAN + NEAR - 1})), lambda p: bt[p] = dt[p + shift])) >= {CLOSE} * (least(hi, place + {SPAN + NEAR - 1}) - greatest(lo, place - {NEAR}) + 1))
 SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS item_ids FROM d LEFT JOIN good USING (doc_id) GROUP BY 1"""
 
 #: Windows of 100 bytes as 200 hex digits; touching windows join to runs, what lies between is kept.

@@ -125,10 +125,17 @@ def test_decontamination_tolerates_substitutions_and_spares_clean(spark):
             text = f"{text}, {' '.join(parts).upper()}! {words(rng, 20, 10**6)}"
             want[i] = [k]
         rows.append((i, text))
+    # A quotation of 16 words is found, one of 8 isn't.
+    rows.append((98, " ".join(items[2][1].split()[:16]) + " " + words(rng, 30, 10**6) if len(items[2][1].split()) >= 20 else ""))
+    rows.append((99, words(rng, 30, 10**6) + " " + " ".join(items[3][1].split()[:8]) + " " + words(rng, 30, 10**6)))
+    if len(items[2][1].split()) >= 20:
+        want[98] = [2]
+    if len(items[3][1].split()) == 8:
+        want[99] = [3]
     rows += [(100, None), (101, ""), (102, "short")]
     got = decontamination.decontaminate(frame(spark, rows, "doc_id long, text string"), frame(spark, items, "item_id long, text string")).collect()
     assert {r["doc_id"]: r["item_ids"] for r in got if r["contaminated"]} == want
-    assert len(got) == 63
+    assert len(got) == 65
     assert decontamination.decontaminate(frame(spark, rows, "doc_id long, text string"), frame(spark, [], "item_id long, text string")).where("contaminated").count() == 0
 
 
