@@ -56,11 +56,11 @@ def co_derived(evidence: DataFrame, least: int = 2, most: int = 8) -> DataFrame:
 
 def khop(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(id, depth): shortest depth of every node within ``hops`` of the seeds (column id)."""
-    links = adj.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct()
-    seen = seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long"))
-    front = seen
+    links = cut(adj.select(F.col("src").alias("id"), F.col("dst").alias("to")).distinct())
+    seen = front = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0).cast("long")))
     for d in range(1, hops + 1):
-        front = front.join(links, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d).cast("long"))
+        # Each frontier is written once: plans stay of one hop's size, whatever the number of hops.
+        front = cut(front.join(links, "id").select(F.col("to").alias("id")).distinct().join(seen, "id", "left_anti").withColumn("depth", F.lit(d).cast("long")))
         seen = seen.unionByName(front)
     return seen
 
@@ -69,21 +69,21 @@ def best_paths(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(seed, id, score, length): the greatest product of weights from each seed over at most ``hops`` edges.
 
     Bellman-Ford rounds; equal scores go to the shorter path."""
-    links = adj.groupBy(F.col("src").alias("id"), F.col("dst").alias("to")).agg(F.greatest(F.max("weight"), F.lit(1e-9)).alias("w"))
+    links = cut(adj.groupBy(F.col("src").alias("id"), F.col("dst").alias("to")).agg(F.greatest(F.max("weight"), F.lit(1e-9)).alias("w")))
     best = seeds.select(F.col("id").alias("seed"), "id").distinct().withColumns({"score": F.lit(1.0), "length": F.lit(0).cast("long")})
     for _ in range(hops):
         step = best.join(links, "id").select("seed", F.col("to").alias("id"), (F.col("score") * F.col("w")).alias("score"), (F.col("length") + 1).alias("length"))
-        best = best.unionByName(step).groupBy("seed", "id").agg(F.max(F.struct("score", (-F.col("length")).alias("l"))).alias("m")).selectExpr("seed", "id", "m.score score", "-m.l length")
+        best = cut(best.unionByName(step).groupBy("seed", "id").agg(F.max(F.struct("score", (-F.col("length")).alias("l"))).alias("m")).selectExpr("seed", "id", "m.score score", "-m.l length"))
     return best
 
 
 def simple_paths(adj: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """(path, hops): acyclic paths from the seeds, as ids joined by '>'."""
-    links = adj.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct()
+    links = cut(adj.select(F.col("src").alias("at"), F.col("dst").alias("to")).distinct())
     cur = seeds.select(F.col("id").alias("at"), F.array("id").alias("path")).distinct()
     out = None
     for h in range(1, hops + 1):
-        cur = cur.join(links, "at").where("not array_contains(path, to)").select(F.col("to").alias("at"), F.expr("concat(path, array(to))").alias("path"))
+        cur = cut(cur.join(links, "at").where("not array_contains(path, to)").select(F.col("to").alias("at"), F.expr("concat(path, array(to))").alias("path")))
         rows = cur.select(F.array_join(F.col("path").cast("array<string>"), ">").alias("path"), F.lit(h).cast("long").alias("hops"))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -66,11 +66,10 @@ class Views:
 
     @cached_property
     def _events(self) -> DataFrame:
-        # One row; the count is folded into the plan as a broadcast of eight bytes.
-        n = self.table("documents").agg(F.count("*").alias("n"))
-        return self.table("events").crossJoin(F.broadcast(n)).withColumn("belief_id", F.expr("(event_id * 7919 + user_id * 104729) % n")).withColumn(
-            "session_id", F.expr("concat('u', user_id, '-', date_format(ts, 'yyyy-MM-dd'))")
-        )
+        # A count from the file footers, put into the plan as a literal.
+        n = max(self.table("documents").count(), 1)
+        rows = self.table("events").withColumn("belief_id", F.expr(f"(event_id * 7919 + user_id * 104729) % {n}L"))
+        return rows.withColumn("session_id", F.expr("concat('u', user_id, '-', date_format(ts, 'yyyy-MM-dd'))"))
 
     @cached_property
     def evidence(self) -> DataFrame:
