@@ -20,9 +20,11 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
+DEEPEST = 512  # deeper elements become siblings, as in browsers
 SMALL = 200_000  # hosts whose winners are broadcast; above, the join shuffles
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
 _ATTR = re.compile(r"""([a-zA-Z:_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
@@ -100,8 +102,9 @@ class Page:
 
         inline: list[int] = []
         block, pos, n = 0, 0, len(html)
+        last = html.rfind(">")  # what follows it holds no tag, at most an open comment
         while pos < n:
-            m = _TAG.search(html, pos)
+            m = _TAG.search(html, pos) if pos <= last else _OPEN.search(html, pos)
             end = m.start() if m else n
             if end > pos:
                 text = html[pos:end]
@@ -111,7 +114,7 @@ class Page:
             if not m:
                 break
             pos = m.end()
-            tag = m[2] or m[5]
+            tag = (m[2] or m[5]) if m.re is _TAG else None
             if not tag:
                 if m[0].startswith("<![CDATA["):
                     parts.append(entities.escape(m[0][9:].removesuffix("]]>")))
@@ -168,6 +171,8 @@ class Page:
                 continue
             if rest.rstrip().endswith("/") and tag not in BLOCK:
                 continue
+            if len(stack) >= DEEPEST:
+                continue
             stack.append(me)
             names.append(tag)
             if tag in BLOCK:

@@ -288,6 +288,13 @@ def test_html_names_of_layouts_and_furniture():
     assert html_extraction.Page("<nav>menu only</nav>").extract(None) == ""
 
 
+def test_html_that_is_broken_on_purpose():
+    for html in ("<" * 100_000, '<a href="' * 20_000, "<div>" * 20_000 + "deep", "<p>x" * 20_000, "<!-- open " * 20_000, "<script>" * 1000, "<b>" * 3000 + "x" + "</b>" * 3000):
+        html_extraction.Page(html).extract(None)
+    assert html_extraction.Page("<div>" * 1000 + "deep" + "</div>" * 1000).extract(None) == "deep"
+    assert html_extraction.Page("<p>seen</p><!-- never closed <p>hidden").extract(None) == "seen"
+
+
 # 8
 
 
