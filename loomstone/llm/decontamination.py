@@ -1,17 +1,22 @@
 """Operator 2: benchmark decontamination by spaced-seed hashing, DataFrame functions only.
 
+With the texts laid over each other, a window of SPAN tokens is a leak if at least SHARE of the tokens are equal on it and
+REACH tokens to either side (as far as the item and the document go), or at least CLOSE on it and NEAR tokens to
+either side, which finds shorter quotations that are nearly literal. Items of MIN_ITEM to SPAN - 1 tokens are leaks where
+SHARE of the whole item is equal; shorter ones tell nothing and are skipped.
+
 Fixed masks of SPAN tokens ignore some positions; a hash over the other positions survives substitutions at the ignored
-ones. Hashes of all windows of the benchmark items meet hashes of all windows of all documents. Around each
-hit the texts are laid over each other and compared token by token: a hit is a leak if at least SHARE of the
-tokens are equal on the hit's span and REACH tokens to either side (as far as the item and the document go), or
-at least CLOSE on the span and NEAR tokens to either side, which finds shorter quotations that are nearly literal.
-Items of MIN_ITEM to SPAN - 1 tokens are matched whole; shorter ones tell nothing and are skipped.
+ones. COVER has enough masks that every stretch that passes leaves a seed whole, wherever its substitutions are. Hashes
+of all windows of the benchmark items meet those of all documents, and every window whose stretch holds the hit is tested.
 
 Tokens are runs of letters and digits, lower case. Null and empty texts and items have none.
 """
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +24,10 @@ from .common import documents
 
 SPAN, MIN_ITEM = 12, 5
 REACH, SHARE, NEAR, CLOSE = 6, 0.8, 2, 0.9
-#: Positions that count, of SPAN.
+#: Positions that count, of SPAN: every stretch of SPAN to SPAN + 2 * REACH tokens with SHARE of them equal has a window
+#: where one of these is whole (a test goes through all placements).
+COVER = ((0, 1, 3, 7, 10, 11), (0, 5, 6, 8, 9, 11), (0, 1, 2, 4, 5, 10), (2, 3, 4, 5, 7, 11), (1, 2, 3, 6, 8, 9), (4, 6, 7, 8, 9, 10))
+#: Those of the SQL, which finds no more than these and only windows that were hit.
 MASKS = ((0, 1, 3, 6, 7, 9, 10, 11), (0, 1, 2, 4, 5, 7, 10, 11), (0, 2, 3, 4, 7, 8, 9, 11))
 SMALL = 2_000_000  # seeds that are broadcast; above, the join shuffles
 
@@ -41,17 +49,19 @@ def windows(length: Column, span: int) -> Column:
     return F.when(length >= span, F.sequence(F.lit(0), length - span)).otherwise(F.array().cast("array<int>"))
 
 
-def seeds(df: DataFrame) -> DataFrame:
-    """A row for each window and mask of ``toks``: pos (from 0) and seed."""
-    at = lambda k: F.get("toks", F.col("pos") + F.lit(k))
-    masked = [F.xxhash64(F.lit(m), *(at(k) for k in mask)) for m, mask in enumerate(MASKS)]
-    return df.withColumn("pos", F.explode(windows(F.size("toks"), SPAN))).withColumn("seed", F.explode(F.array(*masked)))
+def cover(k: int) -> tuple[tuple[int, ...], ...]:
+    """Masks for windows of ``k`` tokens. Below SPAN: with e substitutions, two of e + 2 groups of positions stay whole."""
+    if k >= SPAN:
+        return COVER
+    groups = k - math.ceil(SHARE * k) + 2
+    return tuple(tuple(j for j in range(k) if j * groups // k in pair) for pair in combinations(range(groups), 2))
 
 
-def whole(df: DataFrame, k: int) -> DataFrame:
-    """A row for each window of ``k`` tokens, all of which count."""
-    seed = F.xxhash64(F.lit(-k), *(F.get("toks", F.col("pos") + F.lit(j)) for j in range(k)))
-    return df.withColumn("pos", F.explode(windows(F.size("toks"), k))).withColumn("seed", seed)
+def seeds(df: DataFrame, k: int = SPAN) -> DataFrame:
+    """A row for each window of ``k`` tokens of ``toks`` and each of its masks: pos (from 0) and seed."""
+    at = lambda j: F.get("toks", F.col("pos") + F.lit(j))
+    masked = [F.xxhash64(F.lit(100 * k + m), *(at(j) for j in mask)) for m, mask in enumerate(cover(k))]
+    return df.withColumn("pos", F.explode(windows(F.size("toks"), k))).withColumn("seed", F.explode(F.array(*masked)))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -61,23 +71,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens(F.col("text")).alias("toks"))
     wanted, found = seeds(items), seeds(rows)
     for k in short:
-        wanted, found = wanted.unionByName(whole(items.where(F.size("toks") == k), k)), found.unionByName(whole(rows, k))
+        wanted, found = wanted.unionByName(seeds(items.where(F.size("toks") == k), k)), found.unionByName(seeds(rows, k))
     wanted = wanted.select("seed", "item_id", F.col("pos").alias("item_pos"), F.col("toks").alias("item_toks"))
     if wanted.count() <= SMALL:
         wanted = F.broadcast(wanted)
     hits = found.join(wanted, "seed")
-    # item position p lies over document position pos + p - item_pos
-    hits = hits.withColumn("a", F.expr(f"greatest(0, item_pos - {REACH}, item_pos - pos)"))
-    hits = hits.withColumn("b", F.expr(f"least(size(item_toks), item_pos + {SPAN + REACH}, item_pos - pos + size(toks))"))
+    # Item position p lies over document position pos + p - item_pos. [a, b) holds the stretches of all windows to be tested.
+    hits = hits.withColumn("a", F.expr(f"greatest(0, item_pos - {2 * REACH}, item_pos - pos)"))
+    hits = hits.withColumn("b", F.expr(f"least(size(item_toks), item_pos + {SPAN + 2 * REACH}, item_pos - pos + size(toks))"))
     # Only the two slices leave the join; the guard keeps the comparison, which runs outside generated code, out of it.
     hits = hits.select(
         "doc_id", "item_id", guarded(F.expr("slice(item_toks, a + 1, b - a)")).alias("x"), guarded(F.expr("slice(toks, pos - item_pos + a + 1, b - a)")).alias("y"),
-        F.expr(f"greatest(0, item_pos - {NEAR} - a)").alias("lo"), F.expr(f"least(b - a, item_pos + {SPAN + NEAR} - a)").alias("hi"),
+        F.expr("b - a").alias("n"), F.expr("item_pos - a").alias("at"),
     )
-    equal = lambda x, y: F.size(F.filter(F.zip_with(x, y, lambda x, y: x == y), lambda z: z))
-    near = F.col("hi") - F.col("lo")
-    hits = hits.withColumn("same", equal(F.col("x"), F.col("y"))).withColumn("close", equal(F.slice("x", F.col("lo") + 1, near), F.slice("y", F.col("lo") + 1, near)))
-    good = hits.where((F.col("same") >= F.lit(SHARE) * F.size("x")) | (F.col("close") >= F.lit(CLOSE) * near))
+    # Bit j: the tokens at j are equal.
+    hits = hits.withColumn("bits", guarded(F.expr("aggregate(zip_with(x, y, (x, y) -> if(x = y, 1L, 0L)), 0L, (s, z) -> shiftleft(s, 1) + z)"))).drop("x", "y")
+    hits = hits.where(F.bit_count("bits") >= F.lit(SHARE) * F.least("n", F.lit(SPAN)))
+
+    def equal(lo: str, hi: str) -> str:
+        return f"bit_count(shiftright(bits, n - ({hi})) & (shiftleft(1L, ({hi}) - ({lo})) - 1L))"
+
+    far = f"greatest(0, r - {REACH})", f"least(n, r + {SPAN + REACH})"
+    near = f"greatest(0, r - {NEAR})", f"least(n, r + {SPAN + NEAR})"
+    passes = " OR ".join(f"{equal(lo, hi)} >= {share}D * ({hi} - {lo})" for (lo, hi), share in ((far, SHARE), (near, CLOSE)))
+    tested = f"sequence(greatest(0, at - {REACH}), greatest(0, least(at + {REACH}, n - {SPAN})))"
+    good = hits.withColumn("same", F.expr(f"array_max(transform({tested}, r -> if({passes}, {equal(*far)}, null)))")).where("same is not null")
     return good.groupBy("doc_id", "item_id").agg(F.max("same").cast("long").alias("n_same"))
 
 

@@ -1,7 +1,9 @@
 """The ten operators against brute force, exact round trips or held-out accuracy, and their edge cases."""
 
 import hashlib
+import itertools
 import json
+import math
 import random
 import re
 import unicodedata
@@ -139,6 +141,48 @@ def test_decontamination_tolerates_substitutions_and_spares_clean(spark):
     assert decontamination.decontaminate(frame(spark, rows, "doc_id long, text string"), frame(spark, [], "item_id long, text string")).where("contaminated").count() == 0
 
 
+def brute_leaks(docs, items):
+    """All alignments of all pairs, without seeds."""
+    d = decontamination
+    found = set()
+    for i, doc in docs:
+        for k, item in items:
+            x, y = doc.split(), item.split()
+            span = min(d.SPAN, len(y))
+            for shift in range(-len(y), len(x)):
+                lo, hi = max(0, -shift), min(len(y), len(x) - shift)
+                same = [y[p] == x[p + shift] for p in range(lo, hi)]
+                for p in range(hi - lo - span + 1 if span >= d.MIN_ITEM else 0):
+                    far, near = (same[max(0, p - r) : p + span + r] for r in (d.REACH, d.NEAR))
+                    if sum(far) >= d.SHARE * len(far) or sum(near) >= d.CLOSE * len(near):
+                        found.add((i, k))
+    return found
+
+
+def test_decontamination_equals_alignment_without_masks(spark):
+    rng = random.Random(11)
+    items = [(k, words(rng, n, 10**6)) for k, n in enumerate([4, 5, 6, 7, 8, 9, 10, 11, 12, 12, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 30, 45])]
+    docs = []
+    for _ in range(500):
+        parts = rng.choice(items)[1].split()
+        for j in rng.sample(range(len(parts)), rng.randint(0, len(parts) // 4 + 1)):
+            parts[j] = "changed"
+        a, b = rng.randint(0, 30), rng.randint(0, 30)
+        docs.append(" ".join(words(rng, a, 10**6).split() + parts[rng.choice([0, 0, 0, 2]) :] + words(rng, b, 10**6).split()))
+    docs = list(enumerate(docs))
+    got = decontamination.leaks(frame(spark, docs, "doc_id long, text string"), frame(spark, items, "item_id long, text string")).collect()
+    want = brute_leaks(docs, items)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and 100 < len(want) < 490
+
+
+def test_decontamination_masks_leave_a_seed_in_every_stretch():
+    for n in range(decontamination.MIN_ITEM, decontamination.SPAN + 2 * decontamination.REACH + 1):
+        k = min(n, decontamination.SPAN)
+        masks = [sum(1 << j + o for j in m) for m in decontamination.cover(k) for o in range(n - k + 1)]
+        for gone in itertools.combinations([1 << j for j in range(n)], n - math.ceil(decontamination.SHARE * n)):
+            assert any(not m & sum(gone) for m in masks)
+
+
 # 3
 
 
