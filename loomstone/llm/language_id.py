@@ -6,9 +6,12 @@ holds; that bounds the broadcast. Counts are taken over every training document
 tasks. The models are kept as one sorted array of n-gram hashes with a row of log-probabilities, a column per
 language; what is not in the array backs off along the lower orders.
 
-The language with the least length-normalised cross-entropy wins (ties: the first by name). Rejection is
-calibrated on the training counts: a language's own symbols have a mean and a deviation of cross-entropy, and a text
-of n symbols is rejected if it exceeds mean + MARGIN + Z deviations of a mean over n / SPAN symbols.
+The language with the least length-normalised cross-entropy wins (ties: the first by name). Rejection is calibrated per
+language on HELD_OUT of the training texts under models that haven't counted them: a text of n symbols is rejected
+beyond bound + WIDE * spread / sqrt(n). The bound lies midway between a high quantile of the language's own texts and a
+low one of texts of the other languages that would fall to it if their own were not learned, but not below the former.
+The final models count every training text. With fewer than LEAST own texts held out, a fixed bound stands
+in: mean + MARGIN + Z deviations of a mean over n / SPAN symbols, from the training counts.
 
 Null texts and texts without a letter are ``und``, score 0, rejected. With nothing to learn from, everything is ``und``.
 """
@@ -28,6 +31,8 @@ ORDER, SIZE, CLASSES = 4, 48, 21
 FULL = SIZE**ORDER
 CHUNK = 1 << 20
 MARGIN, Z, SPAN = 2.0, 8.0, 4.0
+HELD_OUT, LEAST, OWN, OTHER, WIDE = 4, 20, 0.999, 0.05, 3.0  # one in HELD_OUT
+STEP, FAR = 0.01, 4000  # bins of cross-entropy over the mean
 SEEN_AT_MOST = 64  # symbols that a score counts in full: it stays short of 0 and 1 for longer texts
 
 _SYMBOL: np.ndarray | None = None
@@ -86,18 +91,18 @@ def _pieces(texts: list[str | None]):
 
 
 def _count(batches):
-    """(lang, gram, n) of this partition. Codes are gathered to a few million before they are counted."""
-    total: dict[str, np.ndarray] = {}
-    held: dict[str, list[np.ndarray]] = {}
+    """(lang, held, gram, n) of this partition. Codes are gathered to a few million before they are counted."""
+    total: dict[tuple[str, bool], np.ndarray] = {}
+    held: dict[tuple[str, bool], list[np.ndarray]] = {}
 
-    def flush(lang: str) -> None:
+    def flush(lang: tuple[str, bool]) -> None:
         if lang not in total:
             total[lang] = np.zeros(FULL, np.uint32)
         total[lang] += np.bincount(np.concatenate(held.pop(lang)), minlength=FULL).astype(np.uint32)
 
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        by: dict[str, list[str]] = {}
+        langs, texts = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), batch.column(1).to_pylist()
+        by: dict[tuple[str, bool], list[str]] = {}
         for lang, text in zip(langs, texts):
             by.setdefault(lang, []).append(text)
         for lang, own in by.items():
@@ -107,10 +112,10 @@ def _count(batches):
                     flush(lang)
     for lang in list(held):
         flush(lang)
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int32()), ("n", pa.int64())])
-    for lang, n in total.items():
+    schema = pa.schema([("lang", pa.string()), ("held", pa.bool_()), ("gram", pa.int32()), ("n", pa.int64())])
+    for (lang, out), n in total.items():
         at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([out] * len(at), pa.bool_()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], schema=schema)
 
 
 class Model:
@@ -124,6 +129,7 @@ class Model:
         self.hashes, self.rows = hashed(at), np.zeros((len(at), len(self.langs)), np.float32)
         self.tri, self.back = np.zeros(size, np.float32), np.zeros(size, np.float32)
         self.mean, self.deviation = np.zeros(len(self.langs)), np.zeros(len(self.langs))
+        self.bound, self.spread = np.full(len(self.langs), np.nan), np.zeros(len(self.langs))
         for k, lang in enumerate(self.langs):
             gram, n = counts[lang]
             p, tri, back = kneser_ney(gram, n, at)
@@ -154,8 +160,25 @@ class Model:
 
     def rejects(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Whether even the best language is far worse than on its own text."""
-        best = h.argmin(1)
-        return h.min(1) > self.mean[best] + MARGIN + Z * self.deviation[best] / np.sqrt(np.maximum(n, 1) / SPAN)
+        best, root = h.argmin(1), np.sqrt(np.maximum(n, 1))
+        fixed = self.mean[best] + MARGIN + Z * self.deviation[best] / root * np.sqrt(SPAN)
+        return h.min(1) > np.where(np.isnan(self.bound[best]), fixed, self.bound[best] + WIDE * self.spread[best] / root)
+
+    def calibrate(self, k: int, mean: float, own: tuple[np.ndarray, ...], other: tuple[np.ndarray, ...]) -> None:
+        """Bound of language ``k`` from (cross-entropy over ``mean``, symbols, texts) of its own texts and those of others."""
+        if own[2].sum() < LEAST:
+            return
+        self.spread[k] = quantile(np.abs(own[0] - quantile(own[0], own[2], 0.5)) * np.sqrt(own[1]), own[2], 0.5) / 0.6745
+        over = lambda x, n, _: x - WIDE * self.spread[k] / np.sqrt(n)
+        most = quantile(over(*own), own[2], OWN)
+        least = quantile(over(*other), other[2], OTHER) if other[2].sum() else most
+        self.bound[k] = mean + max(most, (most + least) / 2)
+
+
+def quantile(x: np.ndarray, count: np.ndarray, q: float) -> float:
+    order = np.argsort(x, kind="stable")
+    total = np.cumsum(count[order])
+    return float(x[order[np.searchsorted(total, q * total[-1])]])
 
 
 def hashed(gram: np.ndarray) -> np.ndarray:
@@ -200,11 +223,52 @@ def kneser_ney(gram: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return p, tri, back
 
 
+def _excess(model):
+    """Histogram of this partition's held-out texts that fall to their own language: cross-entropy over the language's mean, and
+    over that of the language they fall to without it (``own`` is false), by powers of two of the symbols."""
+    schema = pa.schema([("k", pa.int32()), ("own", pa.bool_()), ("size", pa.int32()), ("bin", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        m: Model = model.value
+        found: dict[tuple[int, bool, int, int], int] = {}
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            for lo, hi, part in _pieces(batch.column(1).to_pylist()):
+                h, n, letters = m.score(part)
+                label = np.array([m.langs.index(x) if x in m.langs else -1 for x in langs[lo:hi]])
+                at = np.flatnonzero((h.argmin(1) == label) & (letters > 0))
+                h, n, label = h[at], n[at], label[at]
+                for own in (True, False) if len(m.langs) > 1 else (True,):
+                    best = h.argmin(1)
+                    over = h[np.arange(len(at)), best] - m.mean[best]
+                    bins = np.clip(np.round(over / STEP), -FAR, FAR)
+                    for key in zip(best.tolist(), [own] * len(at), np.log2(n).astype(int).tolist(), bins.astype(int).tolist()):
+                        found[key] = found.get(key, 0) + 1
+                    h[np.arange(len(at)), label] = np.inf
+        yield pa.RecordBatch.from_pylist([dict(zip(schema.names, (*key, n))) for key, n in found.items()], schema=schema)
+
+    return run
+
+
 def train(docs: DataFrame) -> Model:
-    """Models of every non-null lang of ``docs`` (lang, text), counted over all rows."""
-    rows = docs.where("lang is not null and text is not null").select("lang", "text")
-    counted = rows.mapInArrow(_count, "lang string, gram int, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
-    return Model({lang: (part["gram"].to_numpy(np.int64), part["n"].to_numpy(np.float64)) for lang, part in counted.groupby("lang", sort=True)})
+    """Models of every non-null lang of ``docs`` (lang, text), counted over all rows, and their calibration."""
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", (F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0).alias("held"))
+    counted = rows.mapInArrow(_count, "lang string, held boolean, gram int, n long").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n")).toPandas()
+
+    def model(part) -> Model:
+        sums = part.groupby(["lang", "gram"], sort=True)["n"].sum().reset_index()
+        return Model({lang: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)) for lang, own in sums.groupby("lang", sort=True)})
+
+    whole, rest = model(counted), model(counted[~counted["held"].astype(bool)])
+    if rest.langs:
+        shared = docs.sparkSession.sparkContext.broadcast(rest)
+        out = rows.where("held").select("lang", "text").mapInArrow(_excess(shared), "k int, own boolean, size int, bin int, n long")
+        out = out.groupBy("k", "own", "size", "bin").agg(F.sum("n").alias("n")).toPandas()
+        for k, lang in enumerate(rest.langs):
+            seen = [out[(out["k"] == k) & (out["own"] == own)] for own in (True, False)]
+            seen = [(p["bin"].to_numpy(np.float64) * STEP, 1.4 * 2.0 ** p["size"].to_numpy(np.float64), p["n"].to_numpy(np.int64)) for p in seen]
+            whole.calibrate(whole.langs.index(lang), rest.mean[k], *seen)
+    return whole
 
 
 def _predict(model):

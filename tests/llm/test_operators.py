@@ -247,6 +247,16 @@ def test_language_id_held_out_and_edges(spark):
     assert {r["lang_pred"] for r in language_id.language_id(extra).collect()} == {"und"}
 
 
+def test_language_that_was_not_learned_is_rejected(spark):
+    docs = common.documents(spark, DATA.replace("0.001", "0.01"))
+    for gone in ("de", "en", "fr"):
+        left = docs.withColumn("lang", F.when(F.col("lang") != gone, F.col("lang")))
+        out = language_id.language_id(left).join(docs.select("doc_id", "lang", F.length("text").alias("size")), "doc_id").toPandas()
+        out = out[out["held_out"] & (out["size"] > 300)]
+        assert out[out["lang"] == gone]["rejected"].mean() > 0.7
+        assert out[out["lang"] != gone]["rejected"].mean() < 0.02
+
+
 # 5
 
 
