@@ -6,7 +6,7 @@ quality of the text; a logistic regression on it (and its extremes) gives the ca
 
 Labels exist for texts only. The field is first fitted with each line labelled as its text; then lines of bad texts
 that the field holds to be good beyond doubt become good (at least one stays bad), and it is fitted once more.
-Fitting uses at most SAMPLE labelled rows and of each at most LINES lines; scoring uses whole texts.
+Fitting uses at most SAMPLE labelled rows, as whole texts, and so does scoring.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .common import U64, Powers, Scratch, chunks, documents, fold_shares, mix, utf8
 from .labelled import Logistic, labelled_sample
 
-SAMPLE, LINES = 6_000, 48
+SAMPLE = 6_000
 CHUNK = 1 << 20
 STEPS, RATE, RIDGE = 150, 0.1, 1e-3
 #: Byte classes: lower case, upper case, digit, space, bar, exclamation and question, other signs, beyond ASCII.
@@ -172,8 +172,8 @@ def _lines(batches):
             x, size, text = line_features(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
             cut = np.searchsorted(text, np.arange(hi - lo + 1))
             for a, b in zip(cut[:-1], cut[1:]):
-                xs.append(x[a : min(b, a + LINES)].astype(np.float64).tobytes())
-                sizes.append(size[a : min(b, a + LINES)].tobytes())
+                xs.append(x[a:b].astype(np.float64).tobytes())
+                sizes.append(size[a:b].tobytes())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(xs, pa.binary()), pa.array(sizes, pa.binary())], schema=schema)
 
 

@@ -376,6 +376,16 @@ def test_field_marginals_equal_enumeration():
     assert np.allclose(pair.sum((1, 2)), 1) and len(pair) == 4
 
 
+def test_quality_learns_from_all_lines():
+    rng = random.Random(12)
+    texts = [("\n".join(f"A line number {i} of {words(rng, 8)}." for i in range(60)) + "\n" + "BUY!!! NOW | 777 !!!\n" * (40 * (k % 2))) for k in range(8)]
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8), pa.int64()), pa.array([1 - k % 2 for k in range(8)], pa.int32()), pa.array(texts)], names=["doc_id", "y", "text"])
+    sizes = [len(np.frombuffer(b)) for b in next(iter(quality._lines([batch]))).column(3).to_pylist()]
+    assert sizes == [60 + 40 * (k % 2) for k in range(8)]
+
+
 # 9
 
 
