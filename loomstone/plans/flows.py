@@ -113,9 +113,12 @@ def dream_resolution(v):
 
 @query("draw_selection")
 def draw_selection(v, most_nodes: int = 60, most_groups: int = 12):
-    """Whole components for a drawing, largest first, skipping those that don't fit: a fold over the sizes of at most a few hundred."""
+    """Whole components for a drawing, largest first, skipping those that don't fit: a fold over a few hundred candidates.
+
+    Of each size only as many as fit by themselves are candidates; the fold takes no more of them."""
     sizes = G.components(v.beliefs.select("id"), v.edges).groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    top = sizes.orderBy(F.desc("n"), "component").limit(most_nodes)
+    place = F.row_number().over(Window.partitionBy("n").orderBy("component"))
+    top = sizes.where(F.col("n") <= most_nodes).withColumn("place", place).where(F.col("place") <= most_nodes).where(F.col("place") * F.col("n") <= most_nodes)
     listed = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "component", "n"))).alias("r"))
     zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("kept"))
     step = lambda acc, x: F.when(

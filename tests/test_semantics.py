@@ -254,3 +254,18 @@ def test_later_removal_wins(spark):
     rows = [(1, "a", "put", 1), (1, "b", "remove", 2), (2, "c", "remove", 1), (2, "d", "put", 2)]
     df = frame(spark, rows, "k int, op_id string, op string, lamport long").withColumns({"machine_id": F.lit("m"), "machine_seq": F.col("lamport")})
     assert {(r["k"], r["op_id"]) for r in O.put_or_remove(df, ["k"], ["op_id"]).collect()} == {(2, "d")}
+
+
+@pytest.mark.parametrize("size", [61, 35])
+def test_drawing_passes_over_components_that_do_not_fit(spark, size):
+    from types import SimpleNamespace
+
+    from loomstone.plans.flows import draw_selection
+
+    sizes = [size] * 60 + [2] * 30
+    ids = [[1000 * k + j for j in range(n)] for k, n in enumerate(sizes)]
+    edges = [(c[0], i, "x", 1.0) for c in ids for i in c[1:]]
+    v = SimpleNamespace(beliefs=frame(spark, [(i,) for c in ids for i in c], "id long"), edges=frame(spark, edges, EDGE))
+    got = sorted(r["component"] for r in draw_selection(v).collect())
+    first = [0] if size <= 60 else []
+    assert got == first + [1000 * (60 + k) for k in range(12 - len(first))]
