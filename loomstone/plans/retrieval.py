@@ -75,8 +75,10 @@ def search_code(v):
 
 @query("session_search", f"SELECT session_id, rowid, round(rank, 6) AS rank FROM {MSG} WHERE n_hit = 3")
 def session_search(v):
-    """All terms; a literal scan would only follow if no row in scope had any (it doesn't here)."""
-    return scored(v).where("n_hit = 3").select("session_id", "rowid", R6(F.col("rank")).alias("rank"))
+    """All terms; only where no row has them, rows that hold the query literally, without a rank."""
+    full = scored(v).where("n_hit = 3").select("session_id", "rowid", R6(F.col("rank")).alias("rank"), F.lit(3).alias("n_hit"))
+    literal = v.msg.where(F.lower("content").contains(" ".join(TERMS))).select("session_id", "rowid", F.lit(None).cast("double").alias("rank"), F.lit(0).alias("n_hit"))
+    return S.and_or(full.unionByName(literal), 3).select("session_id", "rowid", "rank")
 
 
 @query("phrase_search", "SELECT a.session_id, a.rowid, count(*) AS n FROM msg_tokens a JOIN msg_tokens b ON a.session_id = b.session_id AND a.rowid = b.rowid AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY ALL")

@@ -269,3 +269,15 @@ def test_drawing_passes_over_components_that_do_not_fit(spark, size):
     got = sorted(r["component"] for r in draw_selection(v).collect())
     first = [0] if size <= 60 else []
     assert got == first + [1000 * (60 + k) for k in range(12 - len(first))]
+
+
+def test_literal_scan_follows_only_where_no_row_has_all_terms(spark):
+    from types import SimpleNamespace
+
+    from loomstone.plans.retrieval import session_search
+
+    rows = [("s1", 1, "p1", "xthe AND thtiony"), ("s1", 2, "p1", "the and"), ("s2", 1, "p2", "nothing")]
+    schema = "session_id string, rowid long, project string, content string"
+    found = lambda r: [tuple(x) for x in session_search(SimpleNamespace(msg=frame(spark, r, schema))).select("session_id", "rowid", F.col("rank").isNull()).collect()]
+    assert found(rows) == [("s1", 1, True)]
+    assert found([*rows, ("s3", 1, "p1", "thtion and the")]) == [("s3", 1, False)]
