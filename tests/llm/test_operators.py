@@ -186,13 +186,53 @@ def test_decontamination_masks_leave_a_seed_in_every_stretch():
 # 3
 
 
-def test_grammar_composition():
-    s = toxicity.Scorer({})
-    total = lambda t: s.features(t)[0]
-    assert total("you are an idiot") > total("an idiot") > total("you are not an idiot") > 0
-    assert total("he said you idiot") < total("you idiot")
-    assert total("he said this. you idiot") == pytest.approx(total("you idiot"))
-    assert total("a lovely day") == 0 and total("") == 0
+def weight(text, scorer=None):
+    s = scorer or toxicity.Scorer({})
+    return sum(w for _, w in toxicity.GRAMMAR.clauses([*s.tokens(text), (toxicity.BREAK, 0.0)]))
+
+
+def test_grammar_scores_clauses():
+    assert weight("you are an idiot") > weight("an idiot") > weight("you are not an idiot") > 0
+    assert weight("he said you idiot") < weight("you idiot")
+    assert weight("he said this. you idiot") == pytest.approx(weight("you idiot"))
+    assert weight("i will kill you") > weight("they kill time and then they burn him") > 0
+    # A threat word without an intent or a target is an isolated word; so is one whose target is in another clause.
+    assert weight("the fire may burn paper") == weight("burn paper. you") == weight("a lovely day") == weight("") == 0
+    kinds = lambda t: [k for k, _ in toxicity.GRAMMAR.clauses([*toxicity.Scorer({}).tokens(t), (toxicity.BREAK, 0.0)])]
+    assert kinds("an idiot, you") == [toxicity.AIMED] and kinds("an idiot") == [toxicity.PLAIN]
+    assert kinds("scum! you moron; no idiot here. i will hurt them, he said. he said i will hurt them") == [toxicity.PLAIN, toxicity.AIMED, toxicity.SOFT, toxicity.MENACE, toxicity.SOFT_MENACE]
+
+
+def test_composed_grammar_equals_its_transducers_in_sequence():
+    t, rng = toxicity, random.Random(21)
+    parts = [f() for f in t.PARTS]
+    for _ in range(3000):
+        symbols = rng.choices(t.SYMBOLS, weights=[6, 2, 1, 1, 1, 2, 2, 2], k=rng.randint(0, 14))
+        tokens = [(s, rng.choice([1.0, 3.0]) if s in t.HARM else 0.0) for s in symbols]
+        start, want = 0, []
+        for end in [k for k, s in enumerate(symbols) if s == t.BREAK] + [len(symbols)]:
+            clause, start = tokens[start:end], end + 1
+            weights = [w for _, w in clause]
+            labels = set()
+            for part in parts:  # each reads the whole clause and passes the reweighted tokens to the next
+                q = 0
+                for k, (s, _) in enumerate(clause):
+                    q, factor = part.arcs[q, s]
+                    weights[k] *= factor
+                labels |= part.labels[q]
+            soft = bool(labels & {"negation", "report"})
+            for name, symbol, kind in (("insult", t.INSULT, t.SOFT if soft else t.AIMED if "target" in labels else t.PLAIN), ("threat", t.THREAT, t.SOFT_MENACE if soft else t.MENACE)):
+                if name in labels:
+                    want.append((kind, sum(w for (s, _), w in zip(clause, weights) if s == symbol)))
+        got = list(t.GRAMMAR.clauses([*tokens, (t.BREAK, 0.0)]))
+        assert [k for k, _ in got] == [k for k, _ in want] and np.allclose([w for _, w in got], [w for _, w in want])
+
+
+def test_a_beginning_gives_way_to_the_word_that_explains_it(spark):
+    rng = random.Random(22)
+    rows = [(i, f"{words(rng, 30)} {'foulword' if i % 2 else 'clean'} {rng.choice(['grimble', 'grimbly', 'grimbles', 'grimbled']) if i % 2 else 'x'}", i % 2) for i in range(60)]
+    got = toxicity.learn_lexicon(frame(spark, rows, "doc_id long, text string, y int"))
+    assert "foulword" in got and "^foulw" not in got and "^grimbl" in got
 
 
 def auc(y, s):
