@@ -195,7 +195,7 @@ def test_grammar_scores_clauses():
     assert weight("you are an idiot") > weight("an idiot") > weight("you are not an idiot") > 0
     assert weight("he said you idiot") < weight("you idiot")
     assert weight("he said this. you idiot") == pytest.approx(weight("you idiot"))
-    assert weight("i will kill you") > weight("they kill time and then they burn him") > 0
+    assert weight("i will kill you") > weight("kill you") > 0
     # A threat word without an intent or a target is an isolated word; so is one whose target is in another clause.
     assert weight("the fire may burn paper") == weight("burn paper. you") == weight("a lovely day") == weight("") == 0
     kinds = lambda t: [k for k, _ in toxicity.GRAMMAR.clauses([*toxicity.Scorer({}).tokens(t), (toxicity.BREAK, 0.0)])]
