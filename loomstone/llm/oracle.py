@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .decontamination import CLOSE, MASKS, MIN_ITEM, NEAR, REACH, SHARE, SPAN
+from .decontamination import CLOSE, NEAR, REACH, SHARE, SPAN
 
 OP1 = r"""WITH RECURSIVE words AS (
     SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -15,21 +15,23 @@ reach(id, c) AS (SELECT doc_id, doc_id FROM documents UNION SELECT links.b, reac
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least_id AS component_id FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT id, min(c) AS least_id FROM reach GROUP BY 1) ON id = d.doc_id"""
 
 
-def _seeds(source: str, key: str) -> str:
-    """Windows of SPAN tokens under each mask, as strings of the tokens that count."""
-    parts = [f"'{m}:' || " + " || ' ' || ".join(f"t[i + {k}]" for k in mask) for m, mask in enumerate(MASKS)]
-    return f"SELECT {key}, i, t, unnest([{', '.join(parts)}]) AS seed FROM (SELECT {key}, t, unnest(generate_series(1, len(t) - {SPAN - 1})) AS i FROM {source} WHERE len(t) >= {SPAN})"
-
-
-OP2 = f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents),
+#: Every alignment of a document and an item that has two equal tokens side by side (or one, for items below five) is
+#: tested at every window; a stretch that passes always has such a pair, so this knows nothing of masks.
+OP2 = f"""WITH d AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM documents WHERE doc_id IS NOT NULL),
 b AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS t FROM benchmark WHERE item_id IS NOT NULL),
-short AS (SELECT DISTINCT len(t) AS k FROM b WHERE len(t) BETWEEN {MIN_ITEM} AND {SPAN - 1}),
-ds AS ({_seeds("d", "doc_id")} UNION ALL SELECT doc_id, i, t, 'w' || k || ':' || array_to_string(t[i:i + k - 1], ' ') FROM (SELECT doc_id, t, k, unnest(generate_series(1, len(t) - k + 1)) AS i FROM d, short WHERE len(t) >= k)),
-bs AS ({_seeds("b", "item_id")} UNION ALL SELECT item_id, 1, t, 'w' || len(t) || ':' || array_to_string(t, ' ') FROM b WHERE len(t) BETWEEN {MIN_ITEM} AND {SPAN - 1}),
-hits AS (SELECT doc_id, item_id, greatest(1, bs.i - {REACH}, bs.i - ds.i + 1) AS lo, least(len(bs.t), bs.i + {SPAN + REACH - 1}, bs.i - ds.i + len(ds.t)) AS hi, bs.i AS place, ds.i - bs.i AS shift, ds.t AS dt, bs.t AS bt FROM ds JOIN bs USING (seed)),
-good AS (SELECT DISTINCT doc_id, item_id FROM hits WHERE len(list_filter(generate_series(lo, hi), lambda p: bt[p] = dt[p + shift])) >= {SHARE} * (hi - lo + 1)
-    OR len(list_filter(generate_series(greatest(lo, place - {NEAR}), least(hi, place + {SPAN + NEAR - 1})), lambda p: bt[p] = dt[p + shift])) >= {CLOSE} * (least(hi, place + {SPAN + NEAR - 1}) - greatest(lo, place - {NEAR}) + 1))
-SELECT d.doc_id, count(item_id) > 0 AS contaminated, count(item_id) AS n_items, coalesce(string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id), '') AS item_ids FROM d LEFT JOIN good USING (doc_id) GROUP BY 1"""
+dw AS (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM d),
+bw AS (SELECT item_id, t, unnest(generate_series(1, len(t))) AS i FROM b),
+dg AS (SELECT doc_id, i, t[i] || ' ' || t[i + 1] AS g FROM dw WHERE i < len(t)),
+bg AS (SELECT item_id, i, t[i] || ' ' || t[i + 1] AS g FROM bw WHERE i < len(t) AND len(t) >= 5),
+lone AS (SELECT item_id, i, t[i] AS g FROM bw WHERE len(t) < 5),
+laid AS (SELECT DISTINCT doc_id, item_id, dg.i - bg.i AS shift FROM dg JOIN bg USING (g) UNION SELECT DISTINCT doc_id, item_id, dw.i - lone.i FROM dw JOIN lone ON dw.t[dw.i] = lone.g),
+same AS (SELECT doc_id, item_id, least({SPAN}, len(b.t)) AS k, list_transform(generate_series(greatest(1, 1 - shift), least(len(b.t), len(d.t) - shift)), lambda p: CASE WHEN b.t[p] = d.t[p + shift] THEN 1 ELSE 0 END) AS e
+    FROM laid JOIN d USING (doc_id) JOIN b USING (item_id)),
+good AS (SELECT DISTINCT doc_id, item_id FROM same WHERE list_sum(e) >= {SHARE} * k AND len(list_filter(generate_series(1, len(e) - k + 1), lambda r:
+    list_sum(e[greatest(1, r - {REACH}):least(len(e), r + k - 1 + {REACH})]) >= {SHARE} * (least(len(e), r + k - 1 + {REACH}) - greatest(1, r - {REACH}) + 1)
+    OR list_sum(e[greatest(1, r - {NEAR}):least(len(e), r + k - 1 + {NEAR})]) >= {CLOSE} * (least(len(e), r + k - 1 + {NEAR}) - greatest(1, r - {NEAR}) + 1))) > 0)
+SELECT documents.doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(ids, '') AS item_ids
+FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS ids FROM good GROUP BY 1) g ON g.doc_id = documents.doc_id"""
 
 #: Windows of 100 bytes as 200 hex digits; touching windows join to runs, what lies between is kept.
 OP10 = """WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),

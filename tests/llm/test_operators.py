@@ -152,7 +152,7 @@ def brute_leaks(docs, items):
             for shift in range(-len(y), len(x)):
                 lo, hi = max(0, -shift), min(len(y), len(x) - shift)
                 same = [y[p] == x[p + shift] for p in range(lo, hi)]
-                for p in range(hi - lo - span + 1 if span >= d.MIN_ITEM else 0):
+                for p in range(hi - lo - span + 1 if span else 0):
                     far, near = (same[max(0, p - r) : p + span + r] for r in (d.REACH, d.NEAR))
                     if sum(far) >= d.SHARE * len(far) or sum(near) >= d.CLOSE * len(near):
                         found.add((i, k))
@@ -161,7 +161,7 @@ def brute_leaks(docs, items):
 
 def test_decontamination_equals_alignment_without_masks(spark):
     rng = random.Random(11)
-    items = [(k, words(rng, n, 10**6)) for k, n in enumerate([4, 5, 6, 7, 8, 9, 10, 11, 12, 12, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 30, 45])]
+    items = [(k, words(rng, n, 10**6)) for k, n in enumerate([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 12, 13, 14, 15, 16, 17, 18, 19, 20, 22, 24, 30, 45])]
     docs = []
     for _ in range(500):
         parts = rng.choice(items)[1].split()
@@ -175,8 +175,23 @@ def test_decontamination_equals_alignment_without_masks(spark):
     assert {(r["doc_id"], r["item_id"]) for r in got} == want and 100 < len(want) < 490
 
 
+def test_decontamination_long_texts_in_blocks_with_repeats(spark, monkeypatch):
+    rng = random.Random(31)
+    long_item, short = words(rng, 100_000, 10**6), words(rng, 3, 10**6)
+    quote = " ".join(long_item.split()[70_000:70_030])
+    big = words(rng, 120_000, 10**6)
+    rows = [(1, f"{big} {quote}", "a"), (2, quote, "b"), (2, "other", "c"), (None, quote, "d"), (3, f"{words(rng, 9)} {short.upper()}", None), (4, None, "e"), (5, big, "f")]
+    items = [(7, long_item, 1), (8, short, 2), (8, "second text of the item", 3), (None, big, 4), (9, None, 5)]
+    docs, bench = frame(spark, rows, "doc_id long, text string, seed string"), frame(spark, items, "item_id long, text string, pos int")
+    want = [(None, []), (1, [7]), (2, [7]), (2, [7]), (3, [8]), (4, []), (5, [])]
+    for most in (decontamination.SEEDS, 400_000):
+        monkeypatch.setattr(decontamination, "SEEDS", most)
+        got = [(r["doc_id"], r["item_ids"]) for r in decontamination.decontaminate(docs, bench).collect()]
+        assert sorted(got, key=lambda r: r[0] or 0) == want
+
+
 def test_decontamination_masks_leave_a_seed_in_every_stretch():
-    for n in range(decontamination.MIN_ITEM, decontamination.SPAN + 2 * decontamination.REACH + 1):
+    for n in range(1, decontamination.SPAN + 2 * decontamination.REACH + 1):
         k = min(n, decontamination.SPAN)
         masks = [sum(1 << j + o for j in m) for m in decontamination.cover(k) for o in range(n - k + 1)]
         for gone in itertools.combinations([1 << j for j in range(n)], n - math.ceil(decontamination.SHARE * n)):
