@@ -1,12 +1,15 @@
 """Operator 7: HTML extraction by consensus host paths.
 
-Every page's containers are scored by the text of the paragraphs they hold; the best one votes, with its
-generalised path (tags with digit-free classes, from the root), for its host. Votes are summed in Spark. A second
-pass takes the text of all elements on the host's winning path; pages without one keep their own best container.
+Every page's containers are scored by the text of the blocks right in them. The lowest container that holds all the good
+scorers, widened to the article or main element around it, to headings beside it and to siblings like it, votes with its
+generalised path (tags with digit-free classes, from the root) for its host. Votes are summed in Spark; ties go to the first path by
+name. A second pass takes the text of all elements on the host's winning path; pages without one keep their own container.
 
 Inside the chosen containers menus, headers, footers, sidebars, notices, adverts, forms, reader comments, scripts
-and styles are left out, by tag, role and by words of class and id. Blocks are joined in page order by one space; white
-space inside a block becomes one space. Null html is empty; a page without text gives an empty text.
+and styles are left out, by tag, role, the hidden attribute and the head word of a class or id. Blocks are joined in page order by
+one space; white space inside a block becomes one space. Null html is empty; a page without text gives an empty text. Urls
+without a host vote together; null ids, repeated rows and pages of any length are rows like others, no rows give no rows,
+and other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,17 +18,19 @@ import html as entities
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import Scratch, small_batches
 
 DEEPEST = 512  # deeper elements become siblings, as in browsers
-SMALL = 200_000  # hosts whose winners are broadcast; above, the join shuffles
+SMALL = 64 << 20  # bytes of winners that are broadcast; above, the join shuffles
+SALTS = 64  # parts of a host in that join
+SHARE = 0.1  # of the best score: containers with less don't count
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
 _OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*", re.S)
-_ATTR = re.compile(r"""([a-zA-Z:_-]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?+""")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -34,7 +39,7 @@ BLOCK = frozenset(
     "html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption pre blockquote figure figcaption "
     "header footer nav aside form fieldset address details summary hr center menu dialog search".split()
 )
-CONTAINER = frozenset("body main article section div td center blockquote".split())
+CONTAINER = frozenset("body main article section div td center".split())
 DROPPED = frozenset("head nav footer aside form script style noscript template iframe svg math button select option textarea title menu dialog object canvas audio video map search".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id that mark page furniture.
@@ -45,25 +50,38 @@ NOISE = frozenset(
 )
 #: A header of these is part of the text, and with these words a name tells of a layout, not of furniture.
 OWN_HEADER, LAYOUT = frozenset("article post entry story".split()), frozenset("has with no without".split())
+#: Words that say nothing about what an element is; the word before them does. So do words of one or two letters.
+NEUTRAL = frozenset(
+    "box block section area wrapper wrap container inner outer list lists item items posts links link bar unit slot top bottom left right panel content contents body text row col column group "
+    "module component region main primary secondary default large small desktop mobile sticky fixed icons icon buttons button title heading media articles stories form forms cta holder placeholder thread".split()
+)
+_HIDING = re.compile(r"display\s*:\s*none")
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 CLOSES_P = BLOCK - {"html", "body"}
 SELF_CLOSING = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table", "tbody", "thead", "tfoot"), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 
+def furniture_name(name: str) -> bool:
+    """Whether a class or id names page furniture: its head, the last word that isn't neutral, does. "comments-list" is
+    furniture, "search-results-analysis" an analysis."""
+    words = _WORD.findall(name)
+    if LAYOUT & set(words):
+        return False
+    rest = [w for w in words if len(w) > 2 or w in NOISE]
+    while len(rest) > 1 and rest[-1] in NEUTRAL and rest[-1] not in NOISE:
+        rest.pop()
+    return bool(rest) and rest[-1] in NOISE and not (rest[-1] == "header" and set(words) & OWN_HEADER)
+
+
 def noisy(tag: str, attrs: dict[str, str], in_article: bool, by_name: bool = True) -> bool:
-    """Whether an element is page furniture: by tag and role, and by the words of its class and id."""
-    if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true":
+    """Whether an element is page furniture: by tag, role and hiding, and by class and id."""
+    if tag in DROPPED or attrs.get("role", "").lower() in DROPPED_ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDING.search(attrs.get("style", "")):
         return True
     if tag == "header":
         return not in_article
     if not by_name or tag in ("html", "body", "main", "article", "p", *HEADINGS):
         return False
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split():
-        words = set(_WORD.findall(name))
-        found = words & NOISE
-        if found and not words & LAYOUT and not (found == {"header"} and words & OWN_HEADER):
-            return True
-    return False
+    return any(furniture_name(name) for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".lower().split())
 
 
 class Page:
@@ -137,9 +155,7 @@ class Page:
                 if tag == "hr":
                     flush()
                 continue
-            attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(rest)} if "=" in rest else {}
-            if re.search(r"(?:^|\s)hidden(?:\s|$)", rest):
-                attrs.setdefault("hidden", "")
+            attrs = {a.lower(): b or c or d for a, b, c, d in _ATTR.findall(rest)} if rest else {}
             if tag in BLOCK:
                 flush()
                 if tag in CLOSES_P and "p" in names:
@@ -182,19 +198,56 @@ class Page:
         flush()
 
     def best(self) -> int:
-        """The container with the best score, 0 if there is no text: paragraphs count for the containers around them, less at each step up."""
+        """The container of the main text, 0 if there is no text."""
         score: dict[int, float] = {}
         for e, text, linked in self.blocks:
-            if self.elements[e][3]:
-                continue
-            worth = max(0.0, len(text) - 2.0 * linked) + min(len(text), 25) * 0.1
-            factor, up = 1.0, e
-            while up >= 0 and factor > 0.05:
-                if up == 0 or self.elements[up][0] in CONTAINER:
-                    score[up] = score.get(up, 0.0) + worth * factor
-                    factor *= 0.7
-                up = self.elements[up][1]
-        return max(score, key=lambda e: (score[e], -e), default=0)
+            if not self.elements[e][3]:
+                at = self._container(e)
+                score[at] = score.get(at, 0.0) + max(0.0, len(text) - 2.0 * linked) + min(len(text), 25) * 0.1
+        if not score:
+            return 0
+        most = max(score.values())
+        chains = [self._above(e) for e, x in score.items() if x >= SHARE * most]
+        at = next(e for e in chains[0] if self._is_container(e) and all(e in c for c in map(set, chains[1:])))
+        return self._widened(at)
+
+    def _is_container(self, e: int) -> bool:
+        return e == 0 or self.elements[e][0] in CONTAINER
+
+    def _above(self, e: int) -> list[int]:
+        out = []
+        while e >= 0:
+            out.append(e)
+            e = self.elements[e][1]
+        return out
+
+    def _container(self, e: int) -> int:
+        while not self._is_container(e):
+            e = self.elements[e][1]
+        return e
+
+    def _widened(self, at: int) -> int:
+        """The outermost article around ``at``, else the main element, else up past headings and siblings with the same tag and classes."""
+        chain = self._above(at)
+        for wanted in ("article", "main"):
+            if found := [e for e in chain if self.elements[e][0] == wanted]:
+                return found[-1]
+        label = lambda e: self.elements[e][2].rsplit("/", 1)[-1]
+        for up in chain[1:]:
+            if up == 0 or self.elements[up][0] in ("body", "html"):
+                break
+            child = chain[chain.index(up) - 1]
+            for e, _, _ in self.blocks:
+                if self.elements[e][3]:
+                    continue
+                above = self._above(e)
+                if up not in above or child in above or self.elements[e][0] in HEADINGS:
+                    continue
+                beside = above[above.index(up) - 1] if e != up else up
+                if beside == up or label(beside) != label(child) or self.elements[beside][0] != self.elements[child][0]:
+                    return at
+            at = up if self._is_container(up) else at
+        return at
 
     def text_of(self, roots: set[int]) -> str:
         """The clean blocks below ``roots``, in page order."""
@@ -232,21 +285,22 @@ def _extract(batches):
 
 
 def host_winners(rows: DataFrame) -> DataFrame:
-    """(host, path): the path with most votes of each host; ties go to the first by name."""
+    """(host, path): the path with most votes of each host; ties go to the first by name. Votes are added up before and after the shuffle."""
     votes = rows.select("host", "html").mapInArrow(_vote, "host string, path string, votes long").groupBy("host", "path").agg(F.sum("votes").alias("votes"))
-    best = Window.partitionBy("host").orderBy(F.desc("votes"), "path")
-    return votes.withColumn("place", F.row_number().over(best)).where("place = 1").select("host", "path")
+    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars per row of ``pages`` (page_id, url, html); urls without a host vote together."""
+    """page_id, url, text, n_chars per row of ``pages`` (page_id, url, html)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = rows.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)))
-    winners = host_winners(rows)
-    # The number of hosts bounds the broadcast, so it is counted first.
-    if rows.select("host").distinct().count() <= SMALL:
-        winners = F.broadcast(winners)
-    return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    winners = Scratch(pages.sparkSession).keep(host_winners(rows), "winners")
+    if (winners.agg(F.sum(F.octet_length("host") + F.octet_length("path"))).first()[0] or 0) <= SMALL:
+        rows = rows.join(F.broadcast(winners), "host", "left")
+    else:  # hosts are split, so a hot one isn't one task
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)))
+        rows = rows.join(winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
+    return rows.select("page_id", "url", "html", "path").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
 
 
 def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -397,6 +397,55 @@ def test_html_names_of_layouts_and_furniture():
     assert html_extraction.Page("<nav>menu only</nav>").extract(None) == ""
 
 
+def extracted(html):
+    return html_extraction.Page(html).extract(None)
+
+
+def test_html_loses_nothing_of_an_article():
+    long, short, head = "long text " * 330, "short text " * 72, "Head"
+    want = f"{head} {long.strip()} {short.strip()}"
+    page = "<body><nav>menu</nav>{}<footer>foot</footer></body>"
+    assert extracted(page.format(f"<article><h1>{head}</h1><div>{long}</div><div>{short}</div></article>")) == want
+    assert extracted(page.format(f"<div class=post><h1>{head}</h1><div class=body><div>{long}</div><div>tiny</div></div></div>")) == f"{head} {long.strip()} tiny"
+    assert extracted(page.format(f"<main><p>{head}</p><blockquote>{long}</blockquote><p>{short}</p></main>")) == want
+    assert extracted(page.format(f"<div class=c><p>{head}</p><blockquote><p>{long}</p></blockquote><p>{short}</p></div>")) == want
+    assert extracted(page.format(f"<article data-title='a hidden gem' data-x=hidden><p>{head}</p><p>{long}</p><p>{short}</p></article>")) == want
+    assert extracted(page.format(f"<article><p>{head}</p><div class='search-results-analysis'><p>{long}</p></div><div id=share-price-chart>{short}</div></article>")) == want
+    for gone in ("<div hidden>x</div>", "<div class='nyt-comments-panel'>x</div>", "<p hidden=''>x</p>", "<div style='display: none'>x</div>", "<div class='related-articles'>x</div>", "<section id='cookie-notice'>x</section>"):
+        assert extracted(page.format(f"<article><p>{head}</p>{gone}<p>{long}</p><p>{short}</p></article>")) == want
+
+
+def test_html_constructed_pages_equal_what_they_were_made_of():
+    """Pages put together from article parts and furniture, in random order and nesting, against the parts."""
+    rng = random.Random(41)
+    for _ in range(300):
+        parts, texts = [], []
+        for _ in range(rng.randint(1, 9)):
+            text = " ".join(words(rng, rng.randint(3, 60)).split())
+            wrap = rng.choice(["<p>{}</p>", "<h2>{}</h2>", "<div>{}</div>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li></ul>", "<section><p>{}</p></section>", "<p title='not hidden > here'><b>{}</b></p>", "<table><tr><td>{}</td></tr></table>", "<pre>{}</pre>"])
+            texts.append(text)
+            parts.append(wrap.format(text))
+            if rng.random() < 0.4:
+                junk = words(rng, rng.randint(1, 80))
+                parts.append(rng.choice(["<aside>{}</aside>", "<div class='ad-slot'>{}</div>", "<form><p>{}</p></form>", "<div id=comments><p>{}</p></div>", "<script>{}</script>", "<!-- {} -->", "<nav><a href=x>{}</a></nav>"]).format(junk))
+        tag = rng.choice(["article", "main"])
+        html = f"<html><body><header>{words(rng, 5)}</header><div class=page><{tag}>{chr(10).join(parts)}</{tag}><div class=sidebar>{words(rng, 50)}</div></div><footer>{words(rng, 9)}</footer></body></html>"
+        assert extracted(html) == " ".join(texts)
+
+
+def test_html_votes_ties_hot_host_and_salted_join(spark, monkeypatch):
+    page = "<body><div class='{}'><p>{}</p></div><div class='{}'><p>{}</p></div></body>"
+    rows = [(1, "http://t.org/1", page.format("a", "x" * 50, "b", "y")), (2, "http://t.org/2", page.format("a", "x", "b", "y" * 50))]
+    rows += [(k, f"http://hot.org/{k}", page.format("s", "story " * 9, "r", "r")) for k in range(10, 300)] + [(None, None, None), (3, "http://t.org/2", None), (3, "http://t.org/2", None)]
+    df = frame(spark, [(*r, "h", 1) for r in rows], "page_id long, url string, html string, host string, path int").repartition(7)
+    for most in (html_extraction.SMALL, -1):
+        monkeypatch.setattr(html_extraction, "SMALL", most)
+        got = html_extraction.extract_pages(df).collect()
+        by = {r["page_id"]: r["text"] for r in got}
+        assert len(got) == len(rows) and by[1] == "x" * 50 and by[2] == "x"  # one vote each: the first path by name
+        assert all(by[k] == ("story " * 9).strip() for k in range(10, 300)) and by[None] == by[3] == ""
+
+
 def test_html_that_is_broken_on_purpose():
     for html in ("<" * 100_000, '<a href="' * 20_000, "<div>" * 20_000 + "deep", "<p>x" * 20_000, "<!-- open " * 20_000, "<script>" * 1000, "<b>" * 3000 + "x" + "</b>" * 3000):
         html_extraction.Page(html).extract(None)
