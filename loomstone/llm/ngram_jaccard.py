@@ -4,17 +4,21 @@ Sets of 5-word shingles, joined at 100*|A n B| >= 80*|A u B|, by size-banded til
 signatures: bit counts bound the overlap from above before sorted arrays are intersected exactly.
 
 1. Equal sets become one class (a 128-bit digest of the sorted set); only classes go on.
-2. Each class is dealt to tiles (prefix shingle, size band). Two sets that link have sizes within a factor
-   of 1.25, so they meet in one band or in neighbouring ones. The prefix takes shingles rare-first: shingles
-   found often (a bounded, best-effort table; any fixed order is right) come last, the others in hash order.
-   The full prefix has floor(0.2 n) + 1 shingles and loses nothing. Among l rare shingles at most 0.2 n can be
-   missing in a partner, so a prefix of m misses a link with probability (0.2 n / l)^m at most; m is the
-   smallest with that below 1e-12, and never more than the full prefix.
-3. A tile compares bitmaps (4 or more bits a shingle) and keeps a spanning forest of the pairs whose
-   bound passes; hot tiles are dealt in blocks of bounded size. No task gathers an unbounded tile and
-   no tile emits all of its pairs.
-4. Components of that forest hold every linked pair. Within each, again in blocks, sets recomputed from the
-   texts are intersected exactly, and the components of the verified links are the result.
+2. Two sets that link differ in at most floor(0.2 n) shingles of either, so their prefixes of floor(0.2 n) + 1 shingles
+   in one fixed order share one. Nothing is lost by it. The order takes shingles found often last (a bounded table
+   that changes the work, not the result) and the others by hash. Shingles in the prefix of one class alone lead nowhere and
+   are dropped before anything else moves: packed pairs (shingle, class) meet in buckets; a shingle that a task
+   finds in several classes is known to be shared and sends its bucket no more than a mark.
+3. A class joins the tile (shared shingle, size band). Sets that link have sizes within a factor of 1.25, so they meet in
+   one band or in neighbouring ones. Of tiles with the same members one is kept.
+4. Every member is verified against one member of its tile, the hub: bit counts first, then the exact intersection.
+   Hubs with many members are copied to blocks of them, so what moves is in proportion to the members.
+   Groups of near copies become components here, and tiles inside one component are done.
+5. In the other tiles, dealt in pairs of blocks, members of different components are compared by bitmaps (4 or more bits
+   a shingle), and the pairs whose bound passes are verified exactly like those with hubs.
+
+Components come from verified links only. Words are hashed by xxHash (64 bits), shingles from these; links are verified
+with hashes of another seed than the one candidates were found with.
 """
 
 from __future__ import annotations
@@ -25,46 +29,41 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Powers, Scratch, chunks, components, documents, mix, utf8
+from .common import U64, Scratch, chunks, components, documents, mix, utf8
 
 WORDS, NUM, DEN = 5, 80, 100
 CHUNK = 1 << 20
 HEAVY_ROWS = 1 << 20  # bound of the broadcast table of frequent shingles (16 bytes each)
 HEAVY_LOCAL, HEAVY_LEAST = 4, 48
-MISS = 1e-12
-TILE_ROWS = 1024  # rows of a block of a hot tile
-BLOCK_SHINGLES = 1_000_000  # shingles of a block of a component
-
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_POWERS = Powers()
+TILE_ROWS = 1024  # rows of a block of a tile, members of a block of a hub
+ENTRIES = 1_000_000  # pairs (shingle, class) gathered before they are packed
+FIND, VERIFY = 0, 1  # seeds of the word hashes
+MEMO = 500_000
+
 _C = [U64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 
 
-def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text of a chunk."""
-    n_docs = len(offs) - 1
-    if len(buf) == 0:
-        return [np.zeros(0, U64)] * n_docs
-    space = _SPACE[buf]
-    inside = ~space
-    before = np.empty_like(inside)
-    before[0], before[1:] = False, inside[:-1]
-    edge = offs[:-1][offs[:-1] < len(buf)]
-    before[edge] = False
-    starts = np.flatnonzero(inside & ~before)
-    after = np.empty_like(inside)
-    after[-1], after[:-1] = False, inside[1:]
-    last = offs[1:] - 1
-    after[last[(last >= 0) & (last < len(buf))]] = False
-    ends = np.flatnonzero(inside & ~after) + 1
-    up, down = _POWERS.upto(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum((_LOWER[buf].astype(U64) + U64(1)) * up[: len(buf)], out=total[1:])
-    word = mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
-    first = np.searchsorted(starts, offs)
+class WordHashes(dict):
+    """Hash of each word seen, bounded."""
+
+    def __init__(self, seed: int):
+        self.seed = seed
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
+        return h
+
+
+_HASHES = {seed: WordHashes(seed) for seed in (FIND, VERIFY)}
+
+
+def shingle_sets(texts: list[bytes], seed: int = FIND) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text: words are runs without ASCII white space, A-Z lower-cased."""
+    words = [t.lower().split() for t in texts]
+    first = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
+    word = np.fromiter((h for w in words for h in map(_HASHES[seed].__getitem__, w)), U64, int(first[-1]))
     if len(word) >= WORDS:
         m = len(word) - WORDS + 1
         sh = word[:m].copy()
@@ -72,8 +71,7 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
             sh += word[k : k + m] * _C[k]
         sh = mix(sh)
     out = []
-    for i in range(n_docs):
-        a, b = int(first[i]), int(first[i + 1])
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= WORDS:
             s = np.sort(sh[a : b - WORDS + 1])
             out.append(s[np.concatenate(([True], s[1:] != s[:-1]))])
@@ -85,11 +83,11 @@ def shingle_sets(buf: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _sets(batch: pa.RecordBatch):
+def _sets(batch: pa.RecordBatch, seed: int = FIND):
     """(row of the batch, set) for a batch with a column text."""
     buf, offs = utf8(batch.column(batch.schema.get_field_index("text")))
     for lo, hi in chunks(offs, CHUNK):
-        part = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
+        part = shingle_sets([buf[a:b].tobytes() for a, b in zip(offs[lo:hi].tolist(), offs[lo + 1 : hi + 1].tolist())], seed)
         for i, s in enumerate(part):
             yield lo + i, s
 
@@ -149,27 +147,18 @@ def signature(s: np.ndarray) -> bytes:
 
 
 def prefix(s: np.ndarray, heavy: np.ndarray, ranks: np.ndarray) -> np.ndarray:
-    n = len(s)
-    full = n * (DEN - NUM) // DEN + 1
+    """The first floor(0.2 n) + 1 shingles in the fixed order (rank, hash); rank 0 for shingles that aren't in the table."""
+    m = len(s) * (DEN - NUM) // DEN + 1
     mixed = mix(s ^ U64(0x5851F42D4C957F2D))
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
         rank = np.where(heavy[at] == s, ranks[at], 0)
-    else:
-        rank = np.zeros(n, np.uint8)
-    light = int((rank == 0).sum())
-    far = n * (DEN - NUM) / DEN
-    m = full
-    if light > far > 0:
-        enough = int(np.ceil(np.log(MISS) / np.log(far / light)))
-        if enough <= light:
-            m = min(full, enough)
-    order = np.lexsort((mixed, rank))[:m]
-    return s[order]
+        return s[np.lexsort((mixed, rank))[:m]]
+    return s[np.argsort(mixed)[:m]]
 
 
 def _profile(heavy):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
 
     def run(batches):
         table, ranks = heavy.value
@@ -186,7 +175,7 @@ def _profile(heavy):
             flat = np.concatenate([*keys, np.zeros(0, np.int64)])
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32()), pa.array(flat, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [ids.cast(pa.int64()), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(band(np.array(n, np.int64))), listed, pa.array(sig, pa.binary())],
+                [ids, batch.column(1), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(band(np.array(n, np.int64))), listed, pa.array(sig, pa.binary())],
                 schema=schema,
             )
 
@@ -228,30 +217,6 @@ class Members:
         return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
-def forest(members: Members, left: np.ndarray, right: np.ndarray, exact=None) -> list[tuple[int, int]]:
-    """A spanning forest of the passing pairs (left x right): breadth first, each row is reached once."""
-    size = len(members.n)
-    open_ = np.ones(size, bool)
-    edges = []
-    for root in range(size):
-        if not open_[root]:
-            continue
-        open_[root] = False
-        queue = [root]
-        while queue:
-            x = queue.pop()
-            mask = open_ & ((right if left[x] else False) | (left if right[x] else False))
-            if not mask.any():
-                continue
-            got = members.passing(x, mask)
-            if exact is not None and len(got):
-                got = exact(x, got)
-            open_[got] = False
-            edges += [(x, int(y)) for y in got]
-            queue += got.tolist()
-    return edges
-
-
 def grouped(batches, keys: int):
     """Whole groups (runs of equal first ``keys`` columns) of sorted batches, as tables."""
     held = None
@@ -276,68 +241,146 @@ def grouped(batches, keys: int):
         yield held
 
 
+_SHARED = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("d1", pa.int64()), ("packed", pa.binary())])
+
+
+def _several(key: np.ndarray, d1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs in the order of keys, and whether the key has several of them."""
+    order = np.lexsort((d1, key))
+    key, d1 = key[order], d1[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (d1[1:] != d1[:-1])
+    key, d1 = key[new], d1[new]
+    twin = np.zeros(len(key), bool)
+    same = key[1:] == key[:-1]
+    twin[1:] |= same
+    twin[:-1] |= same
+    return key, d1, twin
+
+
+def _deal_keys(buckets: int):
+    """Pairs (key, class) of this task: those of keys found in several classes as they are, with one mark (class 0) for the
+    key's bucket; the others packed by bucket."""
+
+    def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
+
+        def flush():
+            key, d1, twin = _several(np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held]))
+            if twin.any():
+                k = key[twin].view(np.int64)
+                none = [None] * len(k)
+                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(k), pa.int32()), pa.array(k), pa.array(d1[twin].view(np.int64)), pa.array(none, pa.binary())], schema=_SHARED)
+            marks = np.unique(key[twin])
+            key, d1 = np.concatenate([key[~twin], marks]), np.concatenate([d1[~twin], np.zeros(len(marks), U64)])
+            home = (key % U64(buckets)).astype(np.int32)
+            order = np.argsort(home, kind="stable")
+            key, d1, home = key[order], d1[order], home[order]
+            at = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))).tolist() if len(home) else []
+            packed = [key[a:b].tobytes() + d1[a:b].tobytes() for a, b in zip(at, [*at[1:], len(home)])]
+            n = len(packed)
+            yield pa.RecordBatch.from_arrays([pa.array(home[at] if n else [], pa.int32()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()), pa.array(packed, pa.binary())], schema=_SHARED)
+
+        size = 0
+        for batch in batches:
+            d1 = batch.column(0).to_numpy().view(U64)
+            keys = batch.column(1)
+            at, flat = keys.offsets.to_numpy(), keys.values.to_numpy().view(U64)
+            for i, d in enumerate(d1.tolist()):
+                if at[i] < at[i + 1] and d not in seen:
+                    seen.add(d)
+                    held.append((flat[at[i] : at[i + 1]].copy(), np.full(at[i + 1] - at[i], d, U64)))
+                    size += int(at[i + 1] - at[i])
+            if size > ENTRIES:
+                yield from flush()
+                held, size = [], 0
+                seen.clear()
+        if held:
+            yield from flush()
+
+    return run
+
+
+def _shared_keys(batches):
+    """Per bucket: pairs whose key has several classes, here or by a mark."""
+    schema = pa.schema([("key", pa.int64()), ("d1", pa.int64())])
+    for t in grouped(batches, 1):
+        parts = [np.frombuffer(b, U64).reshape(2, -1) for b in t.column("packed").to_pylist()]
+        both = np.concatenate(parts, 1)
+        key, d1, twin = _several(both[0], both[1])
+        keep = twin & (d1 != 0)
+        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(d1[keep].view(np.int64))], schema=schema)
+
+
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
 
+def _edges(a: list, b: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
+
+
 def _tiles(batches):
-    """Groups (key, band, i, j): candidate edges between classes."""
-    a, b = [], []
+    """Groups (key, band, i, j): pairs of members of different components whose bound passes."""
     for t in grouped(batches, 4):
-        if t.num_rows < 2:
-            continue
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        own, role, blk = t.column("rep").to_numpy(), t.column("role").to_numpy() == 1, t.column("blk").to_numpy()
-        if not role.any():
+        own, role, blk, comp = t.column("node").to_numpy(), t.column("role").to_numpy() == 1, t.column("blk").to_numpy(), t.column("comp").to_numpy()
+        if t.num_rows < 2 or not role.any():
             continue
         m = Members(t.column("n").to_numpy(), t.column("sig").to_pylist())
-        # role 1: of this band; role 0: of the band below, compared with this band only.
-        if i == j:
-            edges = forest(m, role, np.ones(len(role), bool))
-        else:
-            edges = forest(m, (blk == i) & role, blk == j) + forest(m, (blk == i) & ~role, (blk == j) & role)
-        a += [int(own[x]) for x, _ in edges]
-        b += [int(own[y]) for _, y in edges]
-        if len(a) > 50_000:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
-
-
-def _verify(batches):
-    """Groups (comp, i, j) with texts: exactly verified links between classes."""
-    a, b, most = [], [], 50_000
-    for t in grouped(batches, 3):
-        if t.num_rows < 2:
-            continue
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        own, blk = t.column("rep").to_numpy(), t.column("blk").to_numpy()
-        sets = [s for batch in t.select(["text"]).combine_chunks().to_batches() for _, s in _sets(batch)]
-        m = Members(np.array([len(s) for s in sets], np.int64), [signature(s) for s in sets])
-
-        def exact(x, got):
-            mine, keep = sets[x], []
-            for y in got.tolist():
-                theirs = sets[y]
-                at = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
-                both = int((mine[at] == theirs).sum())
-                if DEN * both >= NUM * (len(mine) + len(theirs) - both):
-                    keep.append(y)
-            return np.array(keep, np.int64)
-
-        left, right = (blk == i, blk == j) if i != j else (np.ones(len(blk), bool),) * 2
-        edges = forest(m, left, right, exact)
-        a += [int(own[x]) for x, _ in edges]
-        b += [int(own[y]) for _, y in edges]
-        if len(a) > most:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
-            a, b = [], []
-    yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
+        a, b = [], []
+        place = np.arange(len(own))
+        for x in np.flatnonzero(blk == i).tolist():
+            # role 1: of this band; role 0: of the band below, compared with this band only.
+            mask = (blk == j) & (comp != comp[x]) & (role | role[x])
+            if i == j:
+                mask &= place > x
+            got = m.passing(x, mask) if mask.any() else ()
+            a += [int(own[x])] * len(got)
+            b += [int(own[y]) for y in got]
+            if len(a) > 50_000:
+                yield _edges(a, b)
+                a, b = [], []
+        yield _edges(a, b)
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link: the bound of their bit counts, then the exact intersection."""
+    if DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)) or not len(a):
+        return False
+    x, y = np.frombuffer(signature(a), U64)[None], np.frombuffer(signature(b), U64)[None]
+    least = min(x.shape[1], y.shape[1])
+    x, y = fold(x, least), fold(y, least)
+    over = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
+    if DEN * over < NUM * (len(a) + len(b) - over):
+        return False
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    both = int((a[at] == b).sum())
+    return DEN * both >= NUM * (len(a) + len(b) - both)
+
+
+def _star(batches):
+    """Sorted groups (hub, salt) of texts, the hub's own first: verified links. A row counts if its text has the class's digest."""
+    here, mine = None, None
+    for batch in batches:
+        hub, salt, own, node, d1 = (batch.column(k).to_pylist() for k in range(5))
+        found = _sets(batch, FIND)
+        a, b = [], []
+        for (i, check), (_, s) in zip(found, _sets(batch, VERIFY)):
+            if len(check) and int.from_bytes(xxhash.xxh3_128_digest(check)[:8], "little", signed=True) != d1[i]:
+                continue  # another text with the same doc_id
+            if not own[i]:
+                here, mine = (hub[i], salt[i]), s
+            elif here == (hub[i], salt[i]) and linked(mine, s):
+                a.append(hub[i])
+                b.append(node[i])
+        yield _edges(a, b)
 
 
 def in_blocks(df: DataFrame, blocks: str) -> DataFrame:
     """Rows dealt to pairs (i, j), i <= j, of ``blocks`` blocks; blk is the row's own block."""
     return (
-        df.withColumn("blk", F.expr(f"cast(pmod(xxhash64(rep, 7), {blocks}) as int)"))
+        df.withColumn("blk", F.expr(f"cast(pmod(xxhash64(node, 7), {blocks}) as int)"))
         .withColumn("other", F.explode(F.expr(f"sequence(0, cast({blocks} as int) - 1)")))
         .withColumn("i", F.least("blk", "other"))
         .withColumn("j", F.greatest("blk", "other"))
@@ -345,40 +388,84 @@ def in_blocks(df: DataFrame, blocks: str) -> DataFrame:
     )
 
 
-def jaccard_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text; other columns are ignored).
+def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
+    """The links among ``pairs`` (node, hub): every hub's text meets the texts of its nodes, in blocks of TILE_ROWS of them."""
+    pairs = scratch.keep(pairs.distinct(), "pairs")
+    blocks = pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {TILE_ROWS}) as int)").alias("nb"))
+    members = pairs.join(blocks, "hub").select("hub", F.expr("cast(pmod(xxhash64(node, 11), nb) as int)").alias("salt"), F.lit(1).alias("own"), "node")
+    hubs = blocks.select("hub", F.explode(F.expr("sequence(0, nb - 1)")).alias("salt"), F.lit(0).alias("own"), F.col("hub").alias("node"))
+    rows = members.unionByName(hubs).join(texts, "node").select("hub", "salt", "own", "node", "d1", "text")
+    return scratch.keep(rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "own", "node").mapInArrow(_star, "a long, b long"), "links")
 
-    Null or empty texts have n_shingles 0 and are their own component. Rows with a null doc_id
-    get component_id null and take no part in links. Rows that repeat a doc_id count as one document.
-    """
+
+def jaccard_rows(docs: DataFrame) -> DataFrame:
+    """doc_id, th, n_shingles, component_id, component per row: th is a hash of the text, component a name of the group that tells
+    groups with the same least doc_id apart (null where the set is empty or the doc_id null)."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     heavy = spark.sparkContext.broadcast(frequent_shingles(docs))
-    rows = scratch.keep(docs.mapInArrow(_profile(heavy), "doc_id long, n long, d1 long, d2 long, band int, keys array<long>, sig binary"), "rows")
-    ids = rows.where("n > 0 and doc_id is not null").select("doc_id", "n", "d1", "d2")
-    classes = ids.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.keep(classes, "classes")
-    kept = rows.where("n > 0").join(classes.select(F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"], "left_semi")
-    slim = kept.select(F.col("doc_id").alias("rep"), "band", F.explode("keys").alias("key"))
-    dealt = slim.select("rep", "key", F.explode(F.expr("array(named_struct('band', band, 'role', 1), named_struct('band', band + 1, 'role', 0))")).alias("t")).select("key", "t.band", "t.role", "rep")
-    tiles = dealt.groupBy("key", "band").agg(F.count("*").alias("c"), F.max("role").alias("own")).where("c > 1 and own = 1")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
+    rows = scratch.keep(rows.mapInArrow(_profile(heavy), "doc_id long, th long, n long, d1 long, d2 long, band int, keys array<long>, sig binary"), "rows")
+    ids = rows.where("n > 0 and doc_id is not null")
+    # A class is named by its least doc_id, or by a hash where ids repeat and so may name several classes.
+    repeated = not rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
+    classes = ids.groupBy("d1", "d2", "n", "band").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(classes.select("*", (F.xxhash64("rep", "d1", "d2") if repeated else F.col("rep")).alias("node")), "classes")
+
+    buckets = max(32, 2 * rows.rdd.getNumPartitions(), parts)
+    dealt = scratch.keep(ids.select("d1", "keys").mapInArrow(_deal_keys(buckets), "bucket int, key long, d1 long, packed binary"), "keys")
+    met = dealt.where("packed is not null").select("bucket", "packed").repartition(max(parts, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key long, d1 long")
+    shared = dealt.where("packed is null").select("key", "d1").unionByName(met).distinct()
+    sides = F.explode(F.expr("array(named_struct('band', band, 'role', 1), named_struct('band', band + 1, 'role', 0))"))
+    tiled = shared.join(classes.select("d1", "node", "band"), "d1").select("key", "node", sides.alias("t")).select("key", "t.band", "t.role", "node")
+    tiled = scratch.keep(tiled, "dealt")
+    scratch.drop(dealt)
+    hub = F.min(F.when(F.col("role") == 1, F.struct(F.xxhash64("node", F.lit(3)).alias("h"), F.col("node")))).alias("hub")
+    tiles = tiled.groupBy("key", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "role")).alias("x"), F.sum(F.xxhash64("role", "node").cast("decimal(38,0)")).alias("s"), hub)
+    tiles = tiles.where("c > 1 and hub is not null").groupBy("c", "x", "s").agg(F.min(F.struct("key", "band", F.col("hub.node").alias("hub"))).alias("t"))
+    tiles = tiles.select("t.key", "t.band", "t.hub")
+    members = scratch.keep(tiled.join(tiles, ["key", "band"]), "members")
+    scratch.drop(tiled)
+    known = classes.select("node", "rep", "d1").join(members.select("node").distinct(), "node", "left_semi")
+    texts = scratch.keep(docs.join(known, docs["doc_id"] == known["rep"]).select("node", "d1", "text"), "texts")
+    size = classes.select("node", "n")
+
+    def fitting(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
+        return pairs.where(f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)").select("node", "hub")
+
+    links = verified(scratch, fitting(members.where("node <> hub").select("node", "hub").distinct()), texts, parts)
+    comps = scratch.keep(components(scratch, links), "comps")
+
+    open_ = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    tiles = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and c > 2")
     tiles = tiles.select("key", "band", F.expr(f"cast(ceil(c / {TILE_ROWS}) as int)").alias("nb"))
-    dealt = in_blocks(dealt.join(tiles, ["key", "band"]), "nb")
-    sigs = kept.select(F.col("doc_id").alias("rep"), "n", "sig")
-    dealt = dealt.join(sigs, "rep").select("key", "band", "i", "j", "role", "blk", "rep", "n", "sig")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    found = dealt.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles, "a long, b long")
-    maybe = scratch.keep(components(scratch, scratch.keep(found.distinct(), "maybe")), "comps")
-    sizes = maybe.join(classes.groupBy("rep").agg(F.sum("n").alias("n")).withColumnRenamed("rep", "node"), "node").groupBy("comp").agg(F.sum("n").alias("n"))
-    sizes = sizes.select("comp", F.expr(f"cast(ceil(n / {BLOCK_SHINGLES}) as int)").alias("nb"))
-    texts = docs.join(maybe.select(F.col("node").alias("doc_id"), "comp"), "doc_id").withColumnRenamed("doc_id", "rep").join(sizes, "comp")
-    texts = in_blocks(texts, "nb").select("comp", "i", "j", "blk", "rep", "text")
-    links = texts.repartition(parts, "comp", "i", "j").sortWithinPartitions("comp", "i", "j").mapInArrow(_verify, "a long, b long")
-    comps = components(scratch, scratch.keep(links.distinct(), "links"))
-    named = classes.join(comps.withColumnRenamed("node", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("comp", "rep").alias("component_id"))
-    out = rows.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.expr("case when doc_id is null then null else coalesce(component_id, doc_id) end").alias("component_id"))
+    left = scratch.keep(open_.drop("hub").join(tiles, ["key", "band"]), "left")
+    if not left.isEmpty():
+        sigs = rows.join(classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("node", "n", "sig").dropDuplicates(["node"])
+        placed = in_blocks(left, "nb").join(sigs.join(left.select("node").distinct(), "node", "left_semi"), "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
+        found = placed.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles, "a long, b long")
+        found = found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node"))
+        more = verified(scratch, found, texts, parts)
+        comps = scratch.keep(components(scratch, links.union(more)), "comps")
+    named = classes.join(comps, "node", "left").select("d1", "d2", "n", "rep", F.coalesce("comp", "node").alias("component"))
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = named.join(least, "component").drop("rep")
+    out = rows.select("doc_id", "th", "n", "d1", "d2").join(named, ["d1", "d2", "n"], "left")
+    lone = F.expr("case when doc_id is null then null else coalesce(component_id, doc_id) end")
+    return out.select("doc_id", "th", F.col("n").alias("n_shingles"), lone.alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("component")).alias("component"))
+
+
+def jaccard_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id per row of ``docs`` (doc_id, text); other columns are ignored, whatever their names.
+
+    Null or empty texts have n_shingles 0 and are their own component. Rows with a null doc_id get component_id null and
+    take no part in links. Rows that repeat a doc_id are linked by their own texts: each has the component of its text, and
+    sharing the id links nothing. Equal texts are one class. No rows give no rows.
+    """
+    return jaccard_rows(docs).select("doc_id", "n_shingles", "component_id")
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

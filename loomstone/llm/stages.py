@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, fold_shares
 from .decontamination import SMALL, leaks
 from .language_id import _pieces, train
-from .ngram_jaccard import jaccard_components
+from .ngram_jaccard import jaccard_rows
 from .suffix_dedup import _remove, ids_repeat, keyed, repeated_spans
 
 
@@ -38,12 +38,16 @@ def in_a_language(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """The document with the least doc_id of each group of linked ones; of rows with one doc_id one stays; null ids stay."""
-    groups = jaccard_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
-    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text")))
-    kept = docs.join(groups, docs["doc_id"] == groups["kept_id"], "left_semi")
-    kept = kept.select(F.struct("*").alias("row"), F.col("doc_id"), place.alias("place")).where("place = 1").select("row.*")
-    return kept.unionByName(docs.where("doc_id is null"))
+    """The row with the least (doc_id, hash of text) of each group of linked texts; empty texts and null ids stay. Of rows equal in
+    doc_id and text one stays; rows that repeat a doc_id with texts that aren't linked all stay."""
+    rows = jaccard_rows(docs).where("doc_id is not null")
+    first = F.min(F.struct("doc_id", "th")).alias("f")
+    groups = rows.where("component is not null").groupBy("component").agg(first).select("f.*")
+    groups = groups.unionByName(rows.where("component is null").select("doc_id", "th")).distinct().select(F.col("doc_id").alias("kept_id"), F.col("th").alias("kept_th"))
+    whole = docs.where("doc_id is not null").select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("text_hash"))
+    place = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy(F.lit(0)))
+    kept = whole.join(groups, (F.col("id") == F.col("kept_id")) & (F.col("text_hash") == F.col("kept_th")), "left_semi")
+    return kept.withColumn("place", place).where("place = 1").select("row.*").unionByName(docs.where("doc_id is null"))
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:

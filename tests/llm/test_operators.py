@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomstone.llm import bpe_codec, common, decontamination, fingerprints, html_extraction, language_id, ngram_jaccard, quality, suffix_dedup, token_counts, toxicity
+from loomstone.llm import bpe_codec, common, decontamination, fingerprints, html_extraction, language_id, ngram_jaccard, quality, stages, suffix_dedup, token_counts, toxicity
 from loomstone.llm.queries import QUERIES
 from tests.conftest import DATA
 
@@ -84,17 +84,60 @@ def test_jaccard_hot_tiles_in_blocks(spark, monkeypatch):
     texts = [edited(rng, base, 0.02) for _ in range(60)] + [words(rng, 50) for _ in range(20)]
     want = brute_components(list(enumerate(texts)))
     monkeypatch.setattr(ngram_jaccard, "TILE_ROWS", 8)
-    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", 400)
+    monkeypatch.setattr(ngram_jaccard, "ENTRIES", 100)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs_of(spark, texts)).collect()}
     assert got == want
 
 
 def test_jaccard_nulls_repeats_and_extra_columns(spark):
-    text = words(random.Random(3), 30)
-    df = frame(spark, [(None, text, 1, "k"), (4, text, 1, "k"), (4, text, 2, "k"), (9, text, 3, None)], "doc_id long, text string, n int, key string")
+    rng = random.Random(3)
+    text, other = words(rng, 30), words(rng, 30)
+    rows = [(None, text, 1, "k"), (4, text, 1, "k"), (4, text, 2, "k"), (9, text, 3, None), (4, other, 4, "k"), (2, other, 5, "k"), (7, "", 0, "k"), (7, None, 0, "k"), (9, words(rng, 40), 1, "k")]
+    df = frame(spark, rows, "doc_id long, text string, n int, key string").withColumns({"node": F.lit(1), "th": F.lit("x"), "component": F.lit(2)})
     got = Counter((r["doc_id"], r["component_id"]) for r in ngram_jaccard.jaccard_components(df).collect())
-    assert got == {(None, None): 1, (4, 4): 2, (9, 4): 1}
+    assert got == {(None, None): 1, (4, 4): 2, (9, 4): 1, (4, 2): 1, (2, 2): 1, (7, 7): 2, (9, 9): 1}
     assert ngram_jaccard.jaccard_components(frame(spark, [])).count() == 0
+    kept = stages.one_of_each_group(df)
+    assert kept.columns == df.columns
+    # Of the texts of one doc_id that aren't linked none goes.
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(None, text), (4, text), (2, other), (7, ""), (7, None), (9, rows[-1][1])])
+
+
+def test_jaccard_words_that_a_weak_hash_confuses(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, " ".join([a, "x", "y", "z", "v", "w"])), (2, " ".join([b, "x", "y", "z", "v", "w"]))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2}
+
+
+def test_jaccard_links_at_the_threshold_are_never_lost(spark):
+    """Sets whose overlap is 80 of 100, the shingles that differ chosen from the smallest in the order of the prefix."""
+    rng, rows, want = random.Random(5), [], {}
+    for k in range(120):
+        n = rng.choice([10, 50, 100])
+        base = [f"d{k}w{i}" for i in range(n)]
+        # Cutting words off the end loses as many shingles: n - 4 and n - 4 - cut, at the threshold or just below it.
+        cut = (n - 4) // 5 + (k % 2)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(base[: n - cut]))]
+        want[2 * k + 1] = 2 * k if 100 * (n - 4 - cut) >= 80 * (n - 4) else 2 * k + 1
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(frame(spark, rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want and len(set(want.values())) > 120 / 2
+
+
+def test_jaccard_prefixes_meet_wherever_the_differences_are():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 4, 5, 9, 10, 37, 100):
+        for _ in range(50):
+            s = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+            heavy = np.sort(rng.choice(s, len(s) // 3, replace=False))
+            order = ngram_jaccard.prefix(s, heavy, np.ones(len(heavy), np.uint8))
+            gone = len(s) - math.ceil(0.8 * len(s))  # the partner lacks as many as it may, the first ones
+            partner = np.setdiff1d(s, order[:gone])
+            if 100 * len(partner) >= 80 * len(s):
+                assert np.intersect1d(order, ngram_jaccard.prefix(partner, heavy, np.ones(len(heavy), np.uint8))).size
 
 
 def test_bounds_never_fall_below_the_overlap():
