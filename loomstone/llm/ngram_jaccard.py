@@ -11,14 +11,15 @@ signatures: bit counts bound the overlap from above before sorted arrays are int
    finds in several classes is known to be shared and sends its bucket no more than a mark.
 3. A class joins the tile (shared shingle, size band). Sets that link have sizes within a factor of 1.25, so they meet in
    one band or in neighbouring ones. Of tiles with the same members one is kept.
-4. Every member is verified against one member of its tile, the hub: bit counts first, then the exact intersection.
-   Hubs with many members are copied to blocks of them, so what moves is in proportion to the members.
-   Groups of near copies become components here, and tiles inside one component are done.
+4. Every member meets one member of its tile, the hub. Bit counts come first and move signatures only; of the pairs that
+   pass, texts move for the exact intersection: first one hub for each class, then the other hubs of classes that
+   aren't in one component with them yet. Hubs with many members are copied to blocks of them, so what moves is in proportion
+   to the members. Groups of near copies become components here, and tiles inside one component are done.
 5. In the other tiles, dealt in pairs of blocks, members of different components are compared by bitmaps (4 or more bits
    a shingle), and the pairs whose bound passes are verified exactly like those with hubs.
 
-Components come from verified links only. Words are hashed by xxHash (64 bits), shingles from these; links are verified
-with hashes of another seed than the one candidates were found with.
+Components come from verified links only. Words are hashed by polynomials modulo two primes, shingles from these; links
+are verified with other polynomials than the ones candidates were found with.
 """
 
 from __future__ import annotations
@@ -37,33 +38,70 @@ HEAVY_ROWS = 1 << 20  # bound of the broadcast table of frequent shingles (16 by
 HEAVY_LOCAL, HEAVY_LEAST = 4, 48
 TILE_ROWS = 1024  # rows of a block of a tile, members of a block of a hub
 ENTRIES = 1_000_000  # pairs (shingle, class) gathered before they are packed
-FIND, VERIFY = 0, 1  # seeds of the word hashes
-MEMO = 500_000
-
+FIND, VERIFY = 0, 1  # two hash functions of words
+#: Two primes and a base for each: a word's hash is its polynomial modulo both (62 bits), finalised with its length.
+MODULI = (2147483647, 2147483629)
+BASES = ((1103515245, 1540483477), (1812433253, 668265263))
+FAR = 1 << 22  # bytes after which sums are reduced, so that they stay below 2**64
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
 _C = [U64(pow(0xD6E8FEB86659FD93, k, 1 << 64)) for k in range(WORDS)]
 
 
-class WordHashes(dict):
-    """Hash of each word seen, bounded."""
-
-    def __init__(self, seed: int):
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word, self.seed)
-        return h
-
-
-_HASHES = {seed: WordHashes(seed) for seed in (FIND, VERIFY)}
-
-
-def shingle_sets(texts: list[bytes], seed: int = FIND) -> list[np.ndarray]:
-    """The sorted distinct 64-bit shingle hashes of each text: words are runs without ASCII white space, A-Z lower-cased."""
-    words = [t.lower().split() for t in texts]
-    first = np.concatenate(([0], np.cumsum([len(w) for w in words]))).astype(np.int64)
-    word = np.fromiter((h for w in words for h in map(_HASHES[seed].__getitem__, w)), U64, int(first[-1]))
+class Residues:
+    """Powers of a base and of its inverse modulo a prime, grown on demand by doubling."""
+
+    def __init__(self, base: int, prime: int):
+        self.base, self.prime = base, prime
+        self.tables = [np.ones(1, U64), np.ones(1, U64)]
+
+    def upto(self, n: int) -> list[np.ndarray]:
+        while len(self.tables[0]) < n:
+            size = len(self.tables[0])
+            for k, root in enumerate((self.base, pow(self.base, -1, self.prime))):
+                self.tables[k] = np.concatenate([self.tables[k], self.tables[k] * U64(pow(root, size, self.prime)) % U64(self.prime)])
+        return self.tables
+
+
+_RESIDUES = [[Residues(b, p) for b, p in zip(bases, MODULI)] for bases in BASES]
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    low = _LOWER[buf].astype(U64) + U64(1)
+    out = np.zeros(len(starts), U64)
+    for r in _RESIDUES[seed]:
+        up, down = r.upto(len(buf) + 1)
+        prime, total = U64(r.prime), np.zeros(len(buf) + 1, U64)
+        for at in range(0, len(buf), FAR):
+            part = total[at + 1 : at + FAR + 1]
+            np.cumsum(low[at : at + FAR] * up[at : min(at + FAR, len(buf))], out=part)
+            part += total[at] % prime
+        h = (total[ends] % prime + prime - total[starts] % prime) % prime * down[starts] % prime
+        out = (out << U64(31)) ^ h
+    return mix(out ^ (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
+
+
+def shingle_sets(buf: np.ndarray, offs: np.ndarray, seed: int = FIND) -> list[np.ndarray]:
+    """The sorted distinct 64-bit shingle hashes of each text of a chunk: words are runs without ASCII white space, A-Z lower-cased."""
+    n_docs = len(offs) - 1
+    if len(buf) == 0:
+        return [np.zeros(0, U64)] * n_docs
+    inside = ~_SPACE[buf]
+    before = np.empty_like(inside)
+    before[0], before[1:] = False, inside[:-1]
+    edge = offs[:-1][offs[:-1] < len(buf)]
+    before[edge] = False
+    starts = np.flatnonzero(inside & ~before)
+    after = np.empty_like(inside)
+    after[-1], after[:-1] = False, inside[1:]
+    last = offs[1:] - 1
+    after[last[(last >= 0) & (last < len(buf))]] = False
+    ends = np.flatnonzero(inside & ~after) + 1
+    word = word_hashes(buf, starts, ends, seed)
+    first = np.searchsorted(starts, offs)
     if len(word) >= WORDS:
         m = len(word) - WORDS + 1
         sh = word[:m].copy()
@@ -87,7 +125,7 @@ def _sets(batch: pa.RecordBatch, seed: int = FIND):
     """(row of the batch, set) for a batch with a column text."""
     buf, offs = utf8(batch.column(batch.schema.get_field_index("text")))
     for lo, hi in chunks(offs, CHUNK):
-        part = shingle_sets([buf[a:b].tobytes() for a, b in zip(offs[lo:hi].tolist(), offs[lo + 1 : hi + 1].tolist())], seed)
+        part = shingle_sets(buf[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo], seed)
         for i, s in enumerate(part):
             yield lo + i, s
 
@@ -344,15 +382,28 @@ def _tiles(batches):
         yield _edges(a, b)
 
 
-def linked(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sorted sets link: the bound of their bit counts, then the exact intersection."""
-    if DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)) or not len(a):
-        return False
-    x, y = np.frombuffer(signature(a), U64)[None], np.frombuffer(signature(b), U64)[None]
+def bound(n: int, a: bytes, m: int, b: bytes) -> int:
+    """An upper bound of the overlap of two sets by their sizes and the bits the other's signature lacks."""
+    x, y = np.frombuffer(a, U64)[None], np.frombuffer(b, U64)[None]
     least = min(x.shape[1], y.shape[1])
     x, y = fold(x, least), fold(y, least)
-    over = min(len(a) - int(np.bitwise_count(x & ~y).sum()), len(b) - int(np.bitwise_count(y & ~x).sum()))
-    if DEN * over < NUM * (len(a) + len(b) - over):
+    return min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+
+
+def _bounded(batches):
+    """Pairs (hub, node) whose bound reaches the threshold."""
+    for batch in batches:
+        hub, node, n, sig, hub_n, hub_sig = (c.to_pylist() for c in batch.columns)
+        keep = []
+        for k in range(batch.num_rows):
+            over = bound(n[k], sig[k], hub_n[k], hub_sig[k])
+            keep.append(DEN * over >= NUM * (n[k] + hub_n[k] - over))
+        yield batch.select(["hub", "node"]).filter(pa.array(keep, pa.bool_()))
+
+
+def linked(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets link."""
+    if not len(a) or not len(b):
         return False
     at = np.minimum(np.searchsorted(a, b), len(a) - 1)
     both = int((a[at] == b).sum())
@@ -389,8 +440,7 @@ def in_blocks(df: DataFrame, blocks: str) -> DataFrame:
 
 
 def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, parts: int) -> DataFrame:
-    """The links among ``pairs`` (node, hub): every hub's text meets the texts of its nodes, in blocks of TILE_ROWS of them."""
-    pairs = scratch.keep(pairs.distinct(), "pairs")
+    """The links among ``pairs`` (hub, node), a kept table: every hub's text meets the texts of its nodes, in blocks of TILE_ROWS of them."""
     blocks = pairs.groupBy("hub").agg(F.expr(f"cast(ceil(count(*) / {TILE_ROWS}) as int)").alias("nb"))
     members = pairs.join(blocks, "hub").select("hub", F.expr("cast(pmod(xxhash64(node, 11), nb) as int)").alias("salt"), F.lit(1).alias("own"), "node")
     hubs = blocks.select("hub", F.explode(F.expr("sequence(0, nb - 1)")).alias("salt"), F.lit(0).alias("own"), F.col("hub").alias("node"))
@@ -428,27 +478,42 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     tiles = tiles.select("t.key", "t.band", "t.hub")
     members = scratch.keep(tiled.join(tiles, ["key", "band"]), "members")
     scratch.drop(tiled)
-    known = classes.select("node", "rep", "d1").join(members.select("node").distinct(), "node", "left_semi")
-    texts = scratch.keep(docs.join(known, docs["doc_id"] == known["rep"]).select("node", "d1", "text"), "texts")
-    size = classes.select("node", "n")
+    sigs = rows.join(classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("node", "n", "sig").dropDuplicates(["node"])
+    sigs = scratch.keep(sigs.join(members.select("node").distinct(), "node", "left_semi"), "sigs")
+
+    def texts_of(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select("node").union(pairs.select("hub")).distinct()
+        known = classes.select("node", "rep", "d1").join(nodes, "node", "left_semi")
+        return scratch.keep(docs.join(known, docs["doc_id"] == known["rep"]).select("node", "d1", "text"), "texts")
+
+    pairs = members.where("node <> hub").select("hub", "node").distinct().join(sigs.select("node", "n"), "node")
+    pairs = pairs.join(sigs.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub").where(f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)")
+    pairs = pairs.join(sigs.select("node", "sig"), "node").select("hub", "node", "n", "sig", "hub_n", "hub_sig").mapInArrow(_bounded, "hub long, node long")
+    pairs = scratch.keep(pairs, "pairs")
+    texts = texts_of(pairs)
+    one = scratch.keep(pairs.groupBy("node").agg(F.min_by("hub", F.xxhash64("hub", F.lit(3))).alias("hub")).select("hub", "node"), "pairs")
+    links = verified(scratch, one, texts, parts)
+    comps = scratch.keep(components(scratch, links), "comps")
 
-    def fitting(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.join(size, "node").join(size.select(F.col("node").alias("hub"), F.col("n").alias("hub_n")), "hub")
-        return pairs.where(f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)").select("node", "hub")
+    def of(name: str) -> DataFrame:
+        return comps.select(F.col("node").alias(name), F.col("comp").alias(f"{name}_comp"))
 
-    links = verified(scratch, fitting(members.where("node <> hub").select("node", "hub").distinct()), texts, parts)
-    comps = scratch.keep(components(scratch, links), "comps")
+    rest = pairs.join(one, ["hub", "node"], "left_anti").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
+    rest = scratch.keep(rest.where("coalesce(node_comp, node) <> coalesce(hub_comp, hub)").select("hub", "node"), "pairs")
+    if not rest.isEmpty():
+        links = scratch.keep(links.union(verified(scratch, rest, texts, parts)), "links")
+        comps = scratch.keep(components(scratch, links), "comps")
 
     open_ = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     tiles = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and c > 2")
     tiles = tiles.select("key", "band", F.expr(f"cast(ceil(c / {TILE_ROWS}) as int)").alias("nb"))
     left = scratch.keep(open_.drop("hub").join(tiles, ["key", "band"]), "left")
     if not left.isEmpty():
-        sigs = rows.join(classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("node", "n", "sig").dropDuplicates(["node"])
-        placed = in_blocks(left, "nb").join(sigs.join(left.select("node").distinct(), "node", "left_semi"), "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
+        placed = in_blocks(left, "nb").join(sigs, "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
         found = placed.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles, "a long, b long")
-        found = found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node"))
-        more = verified(scratch, found, texts, parts)
+        found = found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node")).distinct()
+        found = scratch.keep(found.join(pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")), ["hub", "node"], "left_anti"), "pairs")
+        more = verified(scratch, found, texts_of(found), parts)
         comps = scratch.keep(components(scratch, links.union(more)), "comps")
     named = classes.join(comps, "node", "left").select("d1", "d2", "n", "rep", F.coalesce("comp", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
