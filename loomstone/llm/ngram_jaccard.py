@@ -16,7 +16,8 @@ signatures: bit counts bound the overlap from above before sorted arrays are int
    aren't in one component with them yet. Hubs with many members are copied to blocks of them, so what moves is in proportion
    to the members. Groups of near copies become components here, and tiles inside one component are done.
 5. In the other tiles, dealt in pairs of blocks, members of different components are compared by bitmaps (4 or more bits
-   a shingle), and the pairs whose bound passes are verified exactly like those with hubs.
+   a shingle), and pairs whose bound passes are verified exactly like those with hubs: first a spanning forest of the
+   components, then a few pairs for two components, at last all that are left.
 
 Components come from verified links only. Words are hashed by polynomials modulo two primes, shingles from these; links
 are verified with other polynomials than the ones candidates were found with.
@@ -38,6 +39,7 @@ HEAVY_ROWS = 1 << 20  # bound of the broadcast table of frequent shingles (16 by
 HEAVY_LOCAL, HEAVY_LEAST = 4, 48
 TILE_ROWS = 1024  # rows of a block of a tile, members of a block of a hub
 ENTRIES = 1_000_000  # pairs (shingle, class) gathered before they are packed
+PASSES = (1, 16, 0)  # pairs of two components that a pass over open tiles yields; the last yields all
 FIND, VERIFY = 0, 1  # two hash functions of words
 #: Two primes and a base for each: a word's hash is its polynomial modulo both (62 bits), finalised with its length.
 MODULI = (2147483647, 2147483629)
@@ -358,28 +360,53 @@ def _edges(a: list, b: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], schema=_EDGES)
 
 
-def _tiles(batches):
-    """Groups (key, band, i, j): pairs of members of different components whose bound passes."""
-    for t in grouped(batches, 4):
-        i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        own, role, blk, comp = t.column("node").to_numpy(), t.column("role").to_numpy() == 1, t.column("blk").to_numpy(), t.column("comp").to_numpy()
-        if t.num_rows < 2 or not role.any():
-            continue
-        m = Members(t.column("n").to_numpy(), t.column("sig").to_pylist())
-        a, b = [], []
-        place = np.arange(len(own))
-        for x in np.flatnonzero(blk == i).tolist():
-            # role 1: of this band; role 0: of the band below, compared with this band only.
-            mask = (blk == j) & (comp != comp[x]) & (role | role[x])
-            if i == j:
-                mask &= place > x
-            got = m.passing(x, mask) if mask.any() else ()
-            a += [int(own[x])] * len(got)
-            b += [int(own[y]) for y in got]
-            if len(a) > 50_000:
-                yield _edges(a, b)
-                a, b = [], []
-        yield _edges(a, b)
+def _tiles(most: int):
+    """Groups (key, band, i, j): pairs of members of different components whose bound passes.
+
+    ``most`` 1: a spanning forest of the components, which merges them if its pairs link; above: so many pairs for two
+    components; 0: all pairs. A tile without such a pair yields nothing and is done.
+    """
+    schema = pa.schema([*_EDGES, ("key", pa.int64()), ("band", pa.int32())])
+
+    def run(batches):
+        for t in grouped(batches, 4):
+            i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
+            own, role, blk, comp = t.column("node").to_numpy(), t.column("role").to_numpy() == 1, t.column("blk").to_numpy(), t.column("comp").to_numpy()
+            if t.num_rows < 2 or not role.any():
+                continue
+            m = Members(t.column("n").to_numpy(), t.column("sig").to_pylist())
+            _, comp = np.unique(comp, return_inverse=True)
+            root, count = comp.copy(), {}
+            a, b = [], []
+            tile = [pa.scalar(t.column(k)[0].as_py(), f.type) for k, f in (("key", schema.field(2)), ("band", schema.field(3)))]
+            place = np.arange(len(own))
+            for x in np.flatnonzero(blk == i).tolist():
+                # role 1: of this band; role 0: of the band below, compared with this band only.
+                mask = (blk == j) & (root != root[x]) & (role | role[x])
+                if i == j:
+                    mask &= place > x
+                got = m.passing(x, mask) if mask.any() else np.zeros(0, np.int64)
+                if most == 1 and len(got):
+                    met, first = np.unique(root[got], return_index=True)
+                    got = got[first]
+                    root[np.isin(root, met)] = root[x]
+                elif most and len(got):
+                    keep = []
+                    for y in got.tolist():
+                        pair = (min(comp[x], comp[y]), max(comp[x], comp[y]))
+                        count[pair] = count.get(pair, 0) + 1
+                        if count[pair] <= most:
+                            keep.append(y)
+                    got = np.array(keep, np.int64)
+                a += [int(own[x])] * len(got)
+                b += [int(own[y]) for y in got]
+                if len(a) > 50_000:
+                    yield pa.RecordBatch.from_arrays([*_edges(a, b).columns, *(pa.repeat(v, len(a)) for v in tile)], schema=schema)
+                    a, b = [], []
+            if a:
+                yield pa.RecordBatch.from_arrays([*_edges(a, b).columns, *(pa.repeat(v, len(a)) for v in tile)], schema=schema)
+
+    return run
 
 
 def bound(n: int, a: bytes, m: int, b: bytes) -> int:
@@ -504,17 +531,27 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
         links = scratch.keep(links.union(verified(scratch, rest, texts, parts)), "links")
         comps = scratch.keep(components(scratch, links), "comps")
 
-    open_ = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    tiles = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and c > 2")
-    tiles = tiles.select("key", "band", F.expr(f"cast(ceil(c / {TILE_ROWS}) as int)").alias("nb"))
-    left = scratch.keep(open_.drop("hub").join(tiles, ["key", "band"]), "left")
-    if not left.isEmpty():
+    told = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
+    open_tiles = None
+    for most in PASSES:
+        open_ = members if open_tiles is None else members.join(open_tiles, ["key", "band"])
+        open_ = open_.drop("hub").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        tiles = open_.groupBy("key", "band").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi and c > 2")
+        tiles = tiles.select("key", "band", F.expr(f"cast(ceil(c / {TILE_ROWS}) as int)").alias("nb"))
+        left = scratch.keep(open_.join(tiles, ["key", "band"]), "left")
+        if left.isEmpty():
+            break
         placed = in_blocks(left, "nb").join(sigs, "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
-        found = placed.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles, "a long, b long")
+        found = placed.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles(most), "a long, b long, key long, band int")
+        found = scratch.keep(found, "found")
+        open_tiles = found.select("key", "band").distinct()
         found = found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node")).distinct()
-        found = scratch.keep(found.join(pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")), ["hub", "node"], "left_anti"), "pairs")
-        more = verified(scratch, found, texts_of(found), parts)
-        comps = scratch.keep(components(scratch, links.union(more)), "comps")
+        found = scratch.keep(found.join(told, ["hub", "node"], "left_anti"), "pairs")
+        if found.isEmpty():
+            continue
+        links = scratch.keep(links.union(verified(scratch, found, texts_of(found), parts)), "links")
+        comps = scratch.keep(components(scratch, links), "comps")
+        told = told.union(found)
     named = classes.join(comps, "node", "left").select("d1", "d2", "n", "rep", F.coalesce("comp", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "component").drop("rep")
