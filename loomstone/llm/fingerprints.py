@@ -11,12 +11,16 @@ the text), a null doc_id last; after the last comes the first.
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, documents
 
-RANGE_ROWS, RANGES = 512, 200_000  # rows of a range; most ranges: bounds the broadcast of their first rows
+RANGE_ROWS, RANGES = 512, 250_000  # rows of a range; most ranges: bounds the broadcast of their first rows
+SAMPLED = 8  # rows sampled for each range: at most RANGES * SAMPLED * 24 bytes reach the driver
 SMALL = 500_000  # rows of 40 bytes that are broadcast; above, the join shuffles
 
 
@@ -32,23 +36,47 @@ def wide(canon: Column) -> Column:
     return F.concat(F.lpad(F.lower(F.hex(F.xxhash64(canon))), 16, "0"), F.lpad(F.lower(F.hex(F.xxhash64(F.lit("second"), canon))), 16, "0"))
 
 
+def place() -> Column:
+    """The order of rows as one comparable value: null ids are the least."""
+    return F.struct(F.col("id").isNotNull().cast("int").alias("v"), F.coalesce("id", F.lit(0)).alias("id"), F.col("tie").alias("tie"))
+
+
+def ranges(rows: DataFrame) -> Column:
+    """The range of each row, monotone in (id, tie): bounds are quantiles of a sample that a hash of (id, tie) takes, so outliers, null
+    ids and repeated ids make no range larger; rows equal in both are in one range. A range is found in two steps over sorted bounds."""
+    n = rows.count()
+    k = max(1, min(RANGES, n // RANGE_ROWS))
+    every = max(1, n // (k * SAMPLED))
+    places = [tuple(r[0]) for r in rows.where(F.pmod(F.xxhash64("id", "tie", F.lit(5)), F.lit(every)) == 0).select(place().alias("p")).distinct().collect()]
+    places.sort()
+    bounds = sorted({places[len(places) * i // k] for i in range(1, k)}) if places else []
+    if not bounds:
+        return F.lit(0).cast("long")
+    step = math.isqrt(len(bounds)) + 1
+    blocks = [bounds[i : i + step] for i in range(0, len(bounds), step)]
+    kind = "array<struct<v:int,id:bigint,tie:bigint>>"
+    told = lambda rows: [{"v": v, "id": i, "tie": t} for v, i, t in rows]
+    first = F.from_json(F.lit(json.dumps(told(b[0] for b in blocks))), kind)
+    all_ = F.from_json(F.lit(json.dumps([told(b) for b in blocks])), f"array<{kind}>")
+    below = lambda bounds: F.size(F.filter(bounds, lambda b: b <= place()))
+    block = below(first)
+    return F.when(block == 0, F.lit(0)).otherwise((block - 1) * step + below(F.element_at(all_, block))).cast("long")
+
+
 def with_next(rows: DataFrame, carried: list[str]) -> DataFrame:
     """``next_<c>`` of each carried column: the row after in descending (id, tie), the last followed by the first.
 
-    Ids fall into at most RANGES ranges. The first row of each range is dealt to the range before as well, so
-    that one shuffle by range and one window do the rest.
+    The first row of each range is dealt to the range before as well, so that one shuffle by range and one window
+    do the rest.
     """
-    stats = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count("*").alias("n")).first()
-    lo, hi, n = stats["lo"] or 0, stats["hi"] or 0, stats["n"]
-    k = max(1, min(RANGES, n // RANGE_ROWS))
-    # Monotone in id, which is all that matters; null ids are the last range.
-    rows = rows.withColumn("range", F.expr(f"coalesce(cast(floor((cast(id as double) - {float(lo)!r}D) / {float(hi - lo + 1)!r}D * {k}) as bigint), -1L)"))
-    heads = rows.groupBy("range").agg(F.max(F.struct("id", "tie")).alias("head"))
-    down = Window.orderBy(F.desc("range"))
+    rows = rows.withColumn("range", ranges(rows))
+    heads = rows.groupBy("range").agg(F.max(F.struct(place().alias("p"))).alias("head"))
+    down = Window.orderBy(F.desc("range"))  # over the ranges, RANGES at most
     top = F.max("head").over(down.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     chain = heads.select(F.col("range").alias("to"), F.coalesce(F.lead("head").over(down), top).alias("h"))
-    chain = F.broadcast(chain.select(F.col("h.id").alias("h_id"), F.col("h.tie").alias("h_tie"), "to"))
-    dealt = rows.join(chain, rows["id"].eqNullSafe(chain["h_id"]) & (rows["tie"] == chain["h_tie"]), "left").drop("h_id", "h_tie")
+    chain = F.broadcast(chain.select(F.col("h.p.v").alias("h_v"), F.col("h.p.id").alias("h_id"), F.col("h.p.tie").alias("h_tie"), "to"))
+    joined = (place()["v"] == chain["h_v"]) & (place()["id"] == chain["h_id"]) & (rows["tie"] == chain["h_tie"])
+    dealt = rows.join(chain, joined, "left").drop("h_v", "h_id", "h_tie")
     here = F.struct(F.col("range").alias("range"), F.lit(0).alias("borrowed"))
     there = F.struct(F.col("to").alias("range"), F.lit(1).alias("borrowed"))
     dealt = dealt.withColumn("place", F.explode(F.when(F.col("to").isNull(), F.array(here)).otherwise(F.array(here, there)))).drop("range", "to")
@@ -66,7 +94,12 @@ def conflicts(rows: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row of ``docs``."""
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next per row of ``docs`` (doc_id, text);
+    other columns are ignored, whatever their names.
+
+    Rows that repeat a doc_id follow each other by a hash of their texts, rows equal in both in any order (they are alike). No rows
+    give no rows; a single row is its own next document.
+    """
     scratch = Scratch(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.withColumn("tie", F.xxhash64("text"))

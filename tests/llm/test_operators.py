@@ -410,6 +410,29 @@ def test_fingerprints_ranges_one_row_and_none(spark, monkeypatch):
     assert len(got) == 52 and all(follow[f"t{i}"] == f"t{i - 1}" for i in range(1, 50)) and follow["t0"] in ("n1", "n2")
 
 
+def test_fingerprints_ranges_are_even_whatever_the_ids(spark):
+    n = 40_000
+    rows = spark.range(n).select(F.col("id").alias("i"), F.xxhash64("id").alias("tie"))
+    shapes = {
+        "outlier": F.when(F.col("i") == 7, F.lit(1 << 60)).otherwise(F.col("i")),
+        "nulls": F.when(F.col("i") % 3 == 0, F.lit(None)).otherwise(F.col("i")),
+        "one id": F.when(F.col("i") % 3 == 0, F.lit(5)).otherwise(F.col("i")),
+    }
+    for name, id_ in shapes.items():
+        df = rows.withColumn("id", id_.cast("long"))
+        sizes = sorted(r["count"] for r in df.withColumn("r", fingerprints.ranges(df)).groupBy("r").count().collect())
+        assert len(sizes) > n // fingerprints.RANGE_ROWS // 2 and sizes[-1] < 3 * sizes[len(sizes) // 2], name
+        follow = {(r["id"], r["tie"]): (r["next_id"], r["next_tie"]) for r in fingerprints.with_next(df, ["id", "tie"]).collect()}
+        order = sorted(follow, key=lambda r: (r[0] is not None, r[0] or 0, r[1]), reverse=True)
+        assert len(order) == n and all(follow[a] == b for a, b in zip(order, order[1:] + order[:1])), name
+
+
+def test_fingerprints_repeated_ids_and_clashing_columns(spark):
+    rows = [(5, "a", 1, "x"), (5, "b", 2, "x"), (5, "b", 2, "x"), (3, "c", 3, None), (None, None, 4, "y")]
+    got = fingerprints.fingerprints(frame(spark, rows, "doc_id long, text string, id int, tie string")).collect()
+    assert Counter(r["doc_id"] for r in got) == {5: 3, 3: 1, None: 1} and sum(r["near_next"] == 1.0 for r in got) == 1
+
+
 # 7
 
 PAGE = """<html><head><title>T</title></head><body><header><a href=/>Home</a></header><div class="cookie-banner">We use cookies</div><nav>menu</nav><div id="wrap7"><article><h1>Big &amp; title</h1><p>First <b>bold</b>
