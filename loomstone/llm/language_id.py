@@ -1,10 +1,11 @@
 """Operator 4: language ID by interpolated Kneser-Ney character language models.
 
-One model of order 4 per language over an alphabet of 48 symbols: 0 for anything but letters (runs count once), a-z,
-and 21 classes that other letters are hashed to. So a language has at most 48**4 n-grams whatever the corpus
-holds; that bounds the broadcast. Counts are taken over every training document in Spark, pre-aggregated in the
-tasks. The models are kept as one sorted array of n-gram hashes with a row of log-probabilities, a column per
-language; what is not in the array backs off along the lower orders.
+One model of order 4 per language over the code points of its texts: letters and combining marks of any script are symbols of
+their own, lower case; anything else is one symbol, 0, whose runs count once. Counts are taken over every training document in
+Spark, pre-aggregated in the tasks, and the models are fitted there too, with joins of n-grams, their contexts and the
+n-grams below them; what is gathered grows with the distinct n-grams of the corpus. A model is, per order, a sorted array
+of 64-bit n-gram hashes with a row of log-probabilities, a column per language, and one of context hashes with back-off
+weights. Texts are scored by searching the distinct n-grams of a batch in these arrays, and what isn't there backs off.
 
 The language with the least length-normalised cross-entropy wins (ties: the first by name). Rejection is calibrated per
 language on HELD_OUT of the training texts under models that haven't counted them: a text of n symbols is rejected
@@ -18,6 +19,7 @@ Null texts and texts without a letter are ``und``, score 0, rejected. With nothi
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import numpy as np
@@ -25,58 +27,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold_shares
+from .common import U64, Scratch, documents, fold_shares, mix
 
-ORDER, SIZE, CLASSES = 4, 48, 21
-FULL = SIZE**ORDER
+ORDER = 4
 CHUNK = 1 << 20
 MARGIN, Z, SPAN = 2.0, 8.0, 4.0
 HELD_OUT, LEAST, OWN, OTHER, WIDE = 4, 20, 0.999, 0.05, 3.0  # one in HELD_OUT
 STEP, FAR = 0.01, 4000  # bins of cross-entropy over the mean
 SEEN_AT_MOST = 64  # symbols that a score counts in full: it stays short of 0 and 1 for longer texts
+POINTS = 0x110000
+BITS = 21  # of a code point
 
 _SYMBOL: np.ndarray | None = None
 
 
 def symbols() -> np.ndarray:
-    """Symbol of each code point of the basic plane; CJK extensions beyond it are letters too."""
+    """Per code point: 0 for no symbol, 1 for a combining mark, 2 for a letter."""
     global _SYMBOL
     if _SYMBOL is None:
-        cp = np.arange(0x32400)
-        table = np.zeros(len(cp), np.uint8)
-        letter = np.zeros(len(cp), bool)
-        letter[:0x10000] = [chr(c).isalpha() for c in range(0x10000)]
-        letter[0x20000:] = True
-        table[letter] = 27 + (cp[letter] * 40503 >> 4) % CLASSES
-        table[97:123] = np.arange(1, 27)
-        _SYMBOL = table
+        _SYMBOL = np.fromiter((2 if c.isalpha() else unicodedata.category(c)[0] == "M" for c in map(chr, range(POINTS))), np.uint8, POINTS)
     return _SYMBOL
 
 
-def spell(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """n-gram codes of a list of texts, the text each belongs to, and the letters per text.
+def spell(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """n-grams of a list of texts: context (three symbols of BITS bits) and last symbol; the text each belongs to, letters per text.
 
-    Every text stands between ORDER - 1 boundary symbols, so no n-gram has letters of two texts.
+    Every text stands between ORDER - 1 zeros, so no n-gram has symbols of two texts.
     """
     gap = "\x00" * (ORDER - 1)
     joined = gap + gap.join(t.replace("\x00", " ") for t in texts) + gap
     if not joined.isascii():
         joined = unicodedata.normalize("NFC", joined)
     code = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    sym = symbols()[np.minimum(code, len(symbols()) - 1)]
-    sym[code >= len(symbols())] = 0
+    kind = symbols()[code]
+    sym = np.where(kind > 0, code, 0).astype(np.int64)
     between = code == 0
     keep = np.ones(len(sym), bool)
     keep[1:] = (sym[1:] != 0) | (sym[:-1] != 0) | between[1:]
-    sym, between = sym[keep], between[keep]
+    sym, between, letter = sym[keep], between[keep], kind[keep] == 2
     # The gap before text k ends at its (ORDER - 1)th zero.
     own = np.cumsum(between) // (ORDER - 1) - 1
-    gram = sym[: -ORDER + 1].astype(np.int32)
-    for k in range(1, ORDER):
-        gram = gram * SIZE + sym[k : len(sym) - ORDER + 1 + k]
+    context = (sym[:-3] << 2 * BITS) | (sym[1:-2] << BITS) | sym[2:-1]
     real = ~between[ORDER - 1 :]
     own, last = own[ORDER - 1 :][real], sym[ORDER - 1 :][real]
-    return gram[real], own, np.bincount(own[last > 0], minlength=len(texts))
+    return context[real], last, own, np.bincount(own[letter[ORDER - 1 :][real]], minlength=len(texts))
+
+
+def gram_hash(context: np.ndarray, last: np.ndarray) -> np.ndarray:
+    return mix(context.astype(U64) * U64(0x9E3779B97F4A7C15) + last.astype(U64) * U64(0xC2B2AE3D27D4EB4F))
 
 
 def _pieces(texts: list[str | None]):
@@ -90,72 +88,122 @@ def _pieces(texts: list[str | None]):
         lo = hi
 
 
-def _count(batches):
-    """(lang, held, gram, n) of this partition. Codes are gathered to a few million before they are counted."""
-    total: dict[tuple[str, bool], np.ndarray] = {}
-    held: dict[tuple[str, bool], list[np.ndarray]] = {}
+GRAMS = "lang string, held boolean, context long, last int, n long"
 
-    def flush(lang: tuple[str, bool]) -> None:
-        if lang not in total:
-            total[lang] = np.zeros(FULL, np.uint32)
-        total[lang] += np.bincount(np.concatenate(held.pop(lang)), minlength=FULL).astype(np.uint32)
+
+def _count(batches):
+    """Counted n-grams of this task, aggregated by a few million symbols."""
+    schema = pa.schema([("lang", pa.string()), ("held", pa.bool_()), ("context", pa.int64()), ("last", pa.int32()), ("n", pa.int64())])
+    held: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+    def flush(key):
+        parts = held.pop(key)
+        context, last = np.concatenate([c for c, _ in parts]), np.concatenate([x for _, x in parts])
+        order = np.lexsort((last, context))
+        context, last = context[order], last[order]
+        at = np.flatnonzero(np.concatenate(([True], (context[1:] != context[:-1]) | (last[1:] != last[:-1]))))
+        n = np.diff(np.concatenate((at, [len(context)])))
+        k = len(at)
+        return pa.RecordBatch.from_arrays([pa.array([key[0]] * k, pa.string()), pa.array([key[1]] * k, pa.bool_()), pa.array(context[at]), pa.array(last[at].astype(np.int32)), pa.array(n)], schema=schema)
 
     for batch in batches:
-        langs, texts = zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()), batch.column(1).to_pylist()
         by: dict[tuple[str, bool], list[str]] = {}
-        for lang, text in zip(langs, texts):
-            by.setdefault(lang, []).append(text)
-        for lang, own in by.items():
+        for lang, text, out in zip(*(c.to_pylist() for c in batch.columns)):
+            by.setdefault((lang, out), []).append(text)
+        for key, own in by.items():
             for _, _, part in _pieces(own):
-                held.setdefault(lang, []).append(spell(part)[0])
-                if sum(map(len, held[lang])) > 1 << 22:
-                    flush(lang)
-    for lang in list(held):
-        flush(lang)
-    schema = pa.schema([("lang", pa.string()), ("held", pa.bool_()), ("gram", pa.int32()), ("n", pa.int64())])
-    for (lang, out), n in total.items():
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array([out] * len(at), pa.bool_()), pa.array(at.astype(np.int32)), pa.array(n[at].astype(np.int64))], schema=schema)
+                context, last, _, _ = spell(part)
+                if len(last):
+                    held.setdefault(key, []).append((context, last))
+                if key in held and sum(len(x) for _, x in held[key]) > 1 << 22:
+                    yield flush(key)
+    for key in list(held):
+        yield flush(key)
+
+
+def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Interpolated Kneser-Ney from counted 4-grams (lang, context, last, n): tables (lang, k, context, last, p) of the n-grams of
+    all orders k seen and (lang, k, context, back) of their contexts. Lower orders count the n-grams above that they end."""
+    tables = {ORDER: grams.select("lang", "context", "last", "n")}
+    for k in range(ORDER - 1, 0, -1):
+        shorter = F.col("context").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("context")
+        tables[k] = tables[k + 1].select("lang", shorter, "last").groupBy("lang", "context", "last").agg(F.count("*").alias("n"))
+    below = tables[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("below"))  # one more for symbols never seen
+    grown, backs = [], []
+    for k in range(1, ORDER + 1):
+        t = tables[k]
+        ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
+        discount = t.groupBy("lang").agg(F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("d"))
+        context = t.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(F.broadcast(discount), "lang")
+        context = context.select("lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("back"))
+        t = t.join(context, ["lang", "context"]).withColumn("tail", F.col("context").bitwiseAND(F.lit((1 << BITS * max(0, k - 2)) - 1)))
+        t = t.join(F.broadcast(below), "lang") if k == 1 else t.join(below, ["lang", "tail", "last"])
+        t = t.withColumn("p", F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("below"))
+        grown.append(t.select("lang", F.lit(k).alias("k"), "context", "last", "n", "p"))
+        backs.append(context.select("lang", F.lit(k).alias("k"), "context", "back"))
+        below = t.select("lang", F.col("context").alias("tail"), "last", F.col("p").alias("below"))
+    union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
+    return union(grown), union(backs)
 
 
 class Model:
-    """Sorted hash array of n-grams (all orders) with a row of log-probabilities or back-off weights."""
-
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
-        self.langs = sorted(counts)
-        at = np.unique(np.concatenate([np.zeros(0, np.int64), *(counts[k][0] for k in self.langs)])).astype(np.int64)
-        at = at[np.argsort(hashed(at), kind="stable")]
-        size = SIZE ** (ORDER - 1), len(self.langs)
-        self.hashes, self.rows = hashed(at), np.zeros((len(at), len(self.langs)), np.float32)
-        self.tri, self.back = np.zeros(size, np.float32), np.zeros(size, np.float32)
-        self.mean, self.deviation = np.zeros(len(self.langs)), np.zeros(len(self.langs))
+    """Per order, sorted hashes of n-grams with rows of log-probabilities and sorted contexts with rows of log back-off weights; NaN
+    where a language has none."""
+
+    def __init__(self, grams: pa.Table, backs: pa.Table):
+        self.langs = sorted(set(grams.column("lang").to_pylist()))
+        number = {lang: k for k, lang in enumerate(self.langs)}
+        column = lambda t, name, kind: t.column(name).to_numpy().astype(kind)
+        of = lambda t: np.fromiter((number[x] for x in t.column("lang").to_pylist()), np.int64, t.num_rows)
+        lang, k, context, last, n, p = of(grams), column(grams, "k", int), column(grams, "context", np.int64), column(grams, "last", np.int64), column(grams, "n", float), column(grams, "p", float)
+        b_lang, b_k, b_context, back = of(backs), column(backs, "k", int), column(backs, "context", np.int64), column(backs, "back", float)
+        self.floor = -np.log(np.bincount(lang[k == 1], minlength=len(self.langs)) + 1.0)
+        self.grams = {j: self._array(gram_hash(context[k == j], last[k == j]), lang[k == j], np.log(p[k == j])) for j in range(1, ORDER + 1)}
+        self.backs = {j: self._array(b_context[b_k == j].astype(U64), b_lang[b_k == j], np.log(back[b_k == j])) for j in range(1, ORDER + 1)}
+        whole = k == ORDER
+        total = np.bincount(lang[whole], weights=n[whole], minlength=len(self.langs))
+        h = -np.log(p[whole])
+        self.mean = np.bincount(lang[whole], weights=n[whole] * h, minlength=len(self.langs)) / np.maximum(total, 1)
+        square = np.bincount(lang[whole], weights=n[whole] * (h - self.mean[lang[whole]]) ** 2, minlength=len(self.langs))
+        self.deviation = np.sqrt(np.maximum(square / np.maximum(total, 1), 1e-9))
         self.bound, self.spread = np.full(len(self.langs), np.nan), np.zeros(len(self.langs))
-        for k, lang in enumerate(self.langs):
-            gram, n = counts[lang]
-            p, tri, back = kneser_ney(gram, n, at)
-            self.rows[:, k], self.tri[:, k], self.back[:, k] = np.log(p), np.log(tri), np.log(back)
-            order = np.argsort(at)
-            h = -np.log(p[order[np.searchsorted(at, gram, sorter=order)]])
-            self.mean[k] = (h * n).sum() / n.sum()
-            self.deviation[k] = np.sqrt(max(((h - self.mean[k]) ** 2 * n).sum() / n.sum(), 1e-9))
-
-    def index(self) -> np.ndarray:
-        """Row of each n-gram code, -1 where it was never seen: the hash array opened for direct access."""
-        if not hasattr(self, "_index"):
-            self._index = np.full(FULL, -1, np.int32)
-            self._index[unhashed(self.hashes)] = np.arange(len(self.hashes), dtype=np.int32)
-        return self._index
+
+    def _array(self, h: np.ndarray, lang: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hashes, at = np.unique(h, return_inverse=True)
+        rows = np.full((len(hashes), len(self.langs)), np.nan, np.float32)
+        rows[at, lang] = value
+        return hashes, rows
+
+    @staticmethod
+    def _find(array: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
+        """Rows of the hashes ``h``, NaN where there is none."""
+        hashes, rows = array
+        out = np.full((len(h), rows.shape[1]), np.nan, np.float32)
+        if len(hashes):
+            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            hit = np.flatnonzero(hashes[at] == h)
+            out[hit] = rows[at[hit]]
+        return out
+
+    def log_p(self, context: np.ndarray, last: np.ndarray, k: int = ORDER) -> np.ndarray:
+        """Log-probabilities (n-gram x language): found, or the back-off weight of the context and the order below."""
+        if k == 0:
+            return np.broadcast_to(self.floor.astype(np.float32), (len(last), len(self.langs)))
+        out = self._find(self.grams[k], gram_hash(context, last))
+        miss = np.flatnonzero(np.isnan(out).any(1))
+        if len(miss):
+            back = np.nan_to_num(self._find(self.backs[k], context[miss].astype(U64)), nan=0.0)  # an unseen context passes all on
+            lower = self.log_p(context[miss] & ((1 << BITS * max(0, k - 2)) - 1), last[miss], k - 1)
+            out[miss] = np.where(np.isnan(out[miss]), back + lower, out[miss])
+        return out
 
     def score(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Cross-entropy (text x language), symbols and letters per text."""
-        gram, own, letters = spell(texts)
-        at = self.index()[gram]
-        logp = self.rows[at]
-        if (miss := np.flatnonzero(at < 0)).size:
-            g = gram[miss]
-            logp[miss] = self.back[g // SIZE] + self.tri[g % SIZE ** (ORDER - 1)]
+        context, last, own, letters = spell(texts)
+        _, first, at = np.unique(gram_hash(context, last), return_index=True, return_inverse=True)
+        logp = self.log_p(context[first], last[first])
         n = np.bincount(own, minlength=len(texts))
-        total = np.stack([np.bincount(own, weights=logp[:, k], minlength=len(texts)) for k in range(len(self.langs))], 1)
+        total = np.stack([np.bincount(own, weights=logp[:, k][at], minlength=len(texts)) for k in range(len(self.langs))], 1)
         return -total / np.maximum(n, 1)[:, None], n, letters
 
     def rejects(self, h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -181,48 +229,6 @@ def quantile(x: np.ndarray, count: np.ndarray, q: float) -> float:
     return float(x[order[np.searchsorted(total, q * total[-1])]])
 
 
-def hashed(gram: np.ndarray) -> np.ndarray:
-    """A bijective 32-bit hash of n-gram codes."""
-    return gram.astype(np.uint32) * np.uint32(2654435761)
-
-
-def unhashed(h: np.ndarray) -> np.ndarray:
-    return (h * np.uint32(pow(2654435761, -1, 1 << 32))).astype(np.int64)
-
-
-def kneser_ney(gram: np.ndarray, n: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Interpolated Kneser-Ney from the distinct n-grams and their counts: the probabilities at the codes ``at``, those of
-    order 3, and the back-off weight of each context of three symbols. Only the orders below are dense."""
-
-    def discount(c):
-        n1, n2 = (c == 1).sum(), (c == 2).sum()
-        return n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-
-    def weights(total, types, d):
-        return np.where(total > 0, d * types / np.maximum(total, 1), 1.0)
-
-    def interpolate(c, below):
-        d, total = discount(c), c.sum(-1, keepdims=True)
-        back = weights(total, (c > 0).sum(-1, keepdims=True), d)
-        return np.where(total > 0, np.maximum(c - d, 0) / np.maximum(total, 1), 0.0) + back * below
-
-    low = SIZE ** (ORDER - 1)
-    # Continuation counts: in how many contexts a shorter n-gram ends a seen one.
-    c3 = np.bincount(gram % low, minlength=low).astype(np.float64).reshape((SIZE,) * 3)
-    c2 = (c3 > 0).sum(0).astype(np.float64)
-    c1 = (c2 > 0).sum(0).astype(np.float64)
-    tri = interpolate(c3, interpolate(c2, interpolate(c1, 1.0 / SIZE)[None, :])[None]).reshape(-1)
-    d = discount(n)
-    total, types = np.bincount(gram // SIZE, weights=n, minlength=low), np.bincount(gram // SIZE, minlength=low)
-    back = weights(total, types, d)
-    order = np.argsort(gram)
-    place = np.minimum(np.searchsorted(gram, at, sorter=order), len(gram) - 1)
-    own = np.where(gram[order[place]] == at, n[order[place]], 0.0)
-    context = at // SIZE
-    p = np.maximum(own - d, 0) / np.maximum(total[context], 1) + back[context] * tri[at % low]
-    return p, tri, back
-
-
 def _excess(model):
     """Histogram of this partition's held-out texts that fall to their own language: cross-entropy over the language's mean, and
     over that of the language they fall to without it (``own`` is false), by powers of two of the symbols."""
@@ -250,18 +256,21 @@ def _excess(model):
     return run
 
 
+def fitted(grams: DataFrame) -> Model:
+    found, backs = kneser_ney(grams)
+    return Model(found.toArrow(), backs.toArrow())
+
+
 def train(docs: DataFrame) -> Model:
     """Models of every non-null lang of ``docs`` (lang, text), counted over all rows, and their calibration."""
+    spark = docs.sparkSession
+    scratch = Scratch(spark)
     rows = docs.where("lang is not null and text is not null").select("lang", "text", (F.pmod(F.xxhash64("text"), F.lit(HELD_OUT)) == 0).alias("held"))
-    counted = rows.mapInArrow(_count, "lang string, held boolean, gram int, n long").groupBy("lang", "held", "gram").agg(F.sum("n").alias("n")).toPandas()
-
-    def model(part) -> Model:
-        sums = part.groupby(["lang", "gram"], sort=True)["n"].sum().reset_index()
-        return Model({lang: (own["gram"].to_numpy(np.int64), own["n"].to_numpy(np.float64)) for lang, own in sums.groupby("lang", sort=True)})
-
-    whole, rest = model(counted), model(counted[~counted["held"].astype(bool)])
+    counted = scratch.keep(rows.mapInArrow(_count, GRAMS).groupBy("lang", "held", "context", "last").agg(F.sum("n").alias("n")), "grams")
+    whole = fitted(counted.groupBy("lang", "context", "last").agg(F.sum("n").alias("n")))
+    rest = fitted(counted.where("not held"))
     if rest.langs:
-        shared = docs.sparkSession.sparkContext.broadcast(rest)
+        shared = spark.sparkContext.broadcast(rest)
         out = rows.where("held").select("lang", "text").mapInArrow(_excess(shared), "k int, own boolean, size int, bin int, n long")
         out = out.groupBy("k", "own", "size", "bin").agg(F.sum("n").alias("n")).toPandas()
         for k, lang in enumerate(rest.langs):
@@ -297,9 +306,11 @@ def _predict(model):
 
 
 def language_id(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, cross_entropy, rejected per row of ``docs`` (doc_id, text, lang).
+    """doc_id, held_out, lang_pred, score, cross_entropy, rejected per row of ``docs`` (doc_id, text, lang); other columns are ignored,
+    whatever their names.
 
-    Learns from rows whose crc32(doc_id as text) mod 3 is not 1; lang and doc_id serve nothing else.
+    Learns from rows whose crc32(doc_id as text) mod 3 is not 1 (a null doc_id counts as the empty text); lang and doc_id serve
+    nothing else. Equal texts get equal results, repeated rows a row each, no rows give none.
     """
     rows = fold_shares(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), 3, "share")
     model = docs.sparkSession.sparkContext.broadcast(train(rows.where("share <> 1")))

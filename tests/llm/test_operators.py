@@ -322,14 +322,67 @@ def test_classifiers_without_labels_and_with_edges(spark):
 # 4
 
 
-def test_language_models_are_normalised():
-    rng = np.random.default_rng(6)
-    gram = np.unique(rng.integers(0, language_id.FULL, 5000))
-    p, tri, back = language_id.kneser_ney(gram, rng.integers(1, 9, len(gram)).astype(float), np.arange(language_id.FULL))
-    assert np.allclose(p.reshape(-1, language_id.SIZE).sum(1), 1)
-    at = int(gram[0] // language_id.SIZE) * language_id.SIZE
-    unseen = np.setdiff1d(np.arange(at, at + language_id.SIZE), gram)[0]
-    assert p[unseen] == pytest.approx(back[at // language_id.SIZE] * tri[unseen % language_id.SIZE**3])
+def naive_kneser_ney(texts):
+    """p(last | three before) over all symbols, by the recursion itself on dictionaries of tuples."""
+    tables = {4: Counter()}
+    for t in texts:
+        s = " " * 3 + re.sub(r"[^a-zäб]+", " ", t) + " "
+        s = re.sub(r" +", " ", s.strip())
+        s = "   " + s
+        tables[4].update(tuple(s[i : i + 4]) for i in range(len(s) - 3))
+    for k in (3, 2, 1):
+        tables[k] = Counter(g[1:] for g in tables[k + 1])
+    d = {}
+    for k, t in tables.items():
+        n1, n2 = (sum(v == x for v in t.values()) for x in (1, 2))
+        d[k] = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
+
+    def p(gram):
+        k = len(gram)
+        if k == 0:
+            return 1 / (len(tables[1]) + 1)
+        seen = [v for g, v in tables[k].items() if g[:-1] == gram[:-1]]
+        if not seen:
+            return p(gram[1:])
+        return max(tables[k][gram] - d[k], 0) / sum(seen) + d[k] * len(seen) / sum(seen) * p(gram[1:])
+
+    return p, sorted({g[0] for g in tables[1]})
+
+
+def test_language_models_equal_a_naive_one(spark):
+    rng = random.Random(23)
+    texts = ["".join(rng.choices("abäб ", weights=[5, 4, 2, 1, 3], k=60)).strip() for _ in range(8)]
+    texts = [re.sub(" +", " ", t) for t in texts]
+    rows = [("x", False, int(c), int(x), 1) for c, x in zip(*language_id.spell(texts)[:2])]
+    grams = frame(spark, rows, language_id.GRAMS).groupBy("lang", "context", "last").agg(F.sum("n").alias("n"))
+    model = language_id.fitted(grams)
+    p, alphabet = naive_kneser_ney(texts)
+    code = lambda c: 0 if c == " " else ord(c)
+    for gram in itertools.product(" abäбz", repeat=4):
+        context = (code(gram[0]) << 42) | (code(gram[1]) << 21) | code(gram[2])
+        got = model.log_p(np.array([context]), np.array([code(gram[3])]))[0, 0]
+        assert got == pytest.approx(math.log(p(gram)), abs=1e-4), gram
+    for context in itertools.product(" ab", repeat=3):  # with the symbol for what was never seen they are distributions
+        assert sum(p((*context, c)) for c in [*alphabet, "z"]) == pytest.approx(1)
+    score, n, letters = model.score([texts[0], ""])
+    s = "   " + texts[0]
+    assert n.tolist() == [len(s) - 3, 0] and score[0, 0] == pytest.approx(-sum(math.log(p(tuple(s[i : i + 4]))) for i in range(len(s) - 3)) / (len(s) - 3), abs=1e-4)
+
+
+def test_language_id_knows_the_letters_of_all_planes_and_ties(spark):
+    deseret = "\U00010428\U00010429 \U0001042a\U0001042b " * 9
+    rows = [(i, deseret[i % 3 :], "ds", "s", 0) for i in range(30)] + [(100 + i, "の日本語 テキスト" * (1 + i % 4), "ja", "s", 0) for i in range(30)] + [(200 + i, "नमस्ते दुनिया " * (1 + i % 4), "hi", "s", 0) for i in range(30)]
+    rows += [(300, deseret, None, None, None), (None, "日本語", "ja", None, None), (301, "\U000323b5\U0003fffe 123", "xx", "s", 0), (302, "の日本", None, "s", 1), (302, "の日本", None, "s", 1)]
+    df = frame(spark, rows).withColumns({"held": F.lit("x"), "context": F.lit(1), "share": F.lit(None).cast("int")})
+    got = language_id.language_id(df).collect()
+    by = {r["doc_id"]: r for r in got}
+    assert len(got) == len(rows) and by[300]["lang_pred"] == "ds" and by[302]["lang_pred"] == "ja" and by[None]["lang_pred"] == "ja"
+    assert by[301]["lang_pred"] == "und" and by[301]["score"] == 0
+    assert all(by[i]["lang_pred"] == lang for k, lang in ((0, "ds"), (100, "ja"), (200, "hi")) for i in range(k, k + 30))
+    # Two languages learned from the same texts: the first by name.
+    same = frame(spark, [(k, f"word of text {k // 2}", "ba"[k % 2], "s", 0) for k in range(60)]).withColumn("doc_id", F.lit(1).cast("long"))
+    assert {r["lang_pred"] for r in language_id.language_id(same).collect()} <= {"a", "und"}
+    assert language_id.language_id(frame(spark, [])).count() == 0
 
 
 def test_language_id_held_out_and_edges(spark):
