@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import U64, Scratch, chunks, components, documents, mix, utf8
+from .common import U64, Scratch, chunks, components, documents, flush_shuffles, mix, utf8
 
 WORDS, NUM, DEN = 5, 80, 100
 CHUNK = 1 << 20
@@ -472,7 +472,10 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, parts: int) -
     members = pairs.join(blocks, "hub").select("hub", F.expr("cast(pmod(xxhash64(node, 11), nb) as int)").alias("salt"), F.lit(1).alias("own"), "node")
     hubs = blocks.select("hub", F.explode(F.expr("sequence(0, nb - 1)")).alias("salt"), F.lit(0).alias("own"), F.col("hub").alias("node"))
     rows = members.unionByName(hubs).join(texts, "node").select("hub", "salt", "own", "node", "d1", "text")
-    return scratch.keep(rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "own", "node").mapInArrow(_star, "a long, b long"), "links")
+    out = scratch.keep(rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "own", "node").mapInArrow(_star, "a long, b long"), "links")
+    scratch.drop(texts)
+    flush_shuffles(scratch.spark)
+    return out
 
 
 def jaccard_rows(docs: DataFrame) -> DataFrame:
@@ -505,6 +508,7 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     tiles = tiles.select("t.key", "t.band", "t.hub")
     members = scratch.keep(tiled.join(tiles, ["key", "band"]), "members")
     scratch.drop(tiled)
+    flush_shuffles(spark)
     sigs = rows.join(classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("node", "n", "sig").dropDuplicates(["node"])
     sigs = scratch.keep(sigs.join(members.select("node").distinct(), "node", "left_semi"), "sigs")
 
@@ -517,9 +521,9 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     pairs = pairs.join(sigs.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub").where(f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)")
     pairs = pairs.join(sigs.select("node", "sig"), "node").select("hub", "node", "n", "sig", "hub_n", "hub_sig").mapInArrow(_bounded, "hub long, node long")
     pairs = scratch.keep(pairs, "pairs")
-    texts = texts_of(pairs)
+    flush_shuffles(spark)
     one = scratch.keep(pairs.groupBy("node").agg(F.min_by("hub", F.xxhash64("hub", F.lit(3))).alias("hub")).select("hub", "node"), "pairs")
-    links = verified(scratch, one, texts, parts)
+    links = verified(scratch, one, texts_of(one), parts)
     comps = scratch.keep(components(scratch, links), "comps")
 
     def of(name: str) -> DataFrame:
@@ -528,7 +532,7 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     rest = pairs.join(one, ["hub", "node"], "left_anti").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
     rest = scratch.keep(rest.where("coalesce(node_comp, node) <> coalesce(hub_comp, hub)").select("hub", "node"), "pairs")
     if not rest.isEmpty():
-        links = scratch.keep(links.union(verified(scratch, rest, texts, parts)), "links")
+        links = scratch.keep(links.union(verified(scratch, rest, texts_of(rest), parts)), "links")
         comps = scratch.keep(components(scratch, links), "comps")
 
     told = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
@@ -544,6 +548,8 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
         placed = in_blocks(left, "nb").join(sigs, "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
         found = placed.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles(most), "a long, b long, key long, band int")
         found = scratch.keep(found, "found")
+        scratch.drop(left)
+        flush_shuffles(spark)
         open_tiles = found.select("key", "band").distinct()
         found = found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node")).distinct()
         found = scratch.keep(found.join(told, ["hub", "node"], "left_anti"), "pairs")

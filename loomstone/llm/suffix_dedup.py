@@ -3,22 +3,24 @@
 A byte goes when a 100-byte string that also starts earlier in the corpus covers it (earlier: smaller
 doc_id, or same document and smaller start); matches never cross documents.
 
-1. Parse. A rolling hash over 16 bytes is computed at every position. The position with the least hash (the
-   leftmost on ties) inside a 100-byte window is the window's trigger; every window has one, and equal windows
-   have it at the same place. Runs of windows with one trigger make a phrase: the trigger with the text
-   around it that those windows reach.
-2. Dictionary and parse. Phrases are keyed by their trigger and digest. Of equal phrases only the first in corpus
-   order goes on: all windows of the others are repeats. A trigger with a single phrase has no other repeats.
-3. For triggers with several phrases, the dictionary's right contexts and reversed left contexts are sorted (the
-   suffix arrays of the dictionary around its triggers, with common-prefix lengths of neighbours). A
-   window with l bytes left of the trigger is the pair (class of the left context at depth l, class of the
-   right context at depth 100 - l); the parse order tells which member of a pair comes first.
-4. A trigger with more than HOT phrases isn't sorted in one task: its windows are digested and grouped by
-   digest instead, an ordinary pre-aggregated minimum.
-
-Texts longer than SEGMENT bytes are parsed in segments that overlap by a window, so memory is bounded.
+1. Shards. A rolling hash over 16 bytes is computed at every position. The position with the least hash (the leftmost on
+   ties) inside a 100-byte window is the window's anchor; equal windows have it at the same place, so they
+   meet where anchors meet. Runs of windows with one anchor make a passage. Of equal passages only the first in corpus order
+   goes on: all windows of the others are repeats. An anchor with a single passage has no other repeats.
+2. Parse. The passages that are left, shard by shard, are cut into phrases where a rolling hash over 8 bytes is 0 modulo 8;
+   a phrase holds the triggers at both of its ends, so no suffix of a phrase longer than a trigger is a prefix of another.
+3. The suffix array of the dictionary (distinct phrases) and the suffix array of the parse (phrases by their dictionary
+   ranks), both by prefix doubling, combine into the order of all positions: by the rank of the rest of the phrase,
+   then by the rank of the parse after it. Positions whose common prefix with the one before is 100 bytes or more start
+   equal windows; all but the first of them in corpus order are repeats.
+4. Hot anchors. A task that finds an anchor with several passages sends these by anchor and passage to different buckets,
+   and a mark to the anchor's own. The shard of an anchor with more than HOT passages is split into parts; every part is parsed and sorted
+   as above, and the first windows of its classes meet by digest, a pre-aggregated minimum. No task holds an anchor.
+
+Texts longer than SEGMENT bytes are read in segments that overlap by a window, so memory is bounded.
 Null texts are empty. Rows that repeat a doc_id follow each other in the order of a hash of their texts; rows
-equal in doc_id and text count once and get the same result. A null doc_id sorts first.
+equal in doc_id and text count once and get the same result. A null doc_id sorts first. No rows give no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -37,8 +39,12 @@ from .ngram_jaccard import grouped
 WINDOW, GRAM = 100, 16
 REACH = WINDOW - GRAM + 1
 CHUNK, SEGMENT = 1 << 20, 1 << 21
-HOT = 20_000
+HOT = 2_000  # passages of an anchor that are sorted in one part
+PART = 8_000  # passages that are sorted together
+ENTRIES = 300_000  # passages that a task gathers before it sends them
+TRIGGER, EVERY = 8, 8  # bytes of a phrase's trigger; one position in EVERY is one
 NO_ID = -(1 << 63)
+SMALL = 1_000_000  # hot anchors (8 bytes each) that are broadcast; above, the join shuffles
 
 
 def triggers(buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -122,7 +128,8 @@ def spans_by_doc(did, th, s, e):
     return out
 
 
-_ENTRY = np.dtype([("trig", "<u8"), ("phrase", "<u8"), ("did", "<i8"), ("th", "<i8"), ("at", "<i4"), ("lo", "<u1"), ("hi", "<u1")])
+_ENTRY = np.dtype([("trig", "<u8"), ("phrase", "<u8"), ("did", "<i8"), ("th", "<i8"), ("at", "<i4"), ("lo", "<u1"), ("hi", "<u1"), ("open", "<u1")])
+MARK = 255  # in ``hi``: no passage, but the anchor has several
 _SPANS = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
 
 
@@ -144,13 +151,22 @@ def unpack(blocks: list[bytes]) -> np.ndarray:
 
 
 def _first_of_phrase(e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Entries sorted by (trigger, phrase, corpus order) and which of them are the first of their phrase."""
+    """Entries sorted by (anchor, passage, corpus order) and which of them are the first of their passage."""
     e = e[np.lexsort((e["at"], e["th"], e["did"], e["phrase"], e["trig"]))]
     first = np.ones(len(e), bool)
     first[1:] = (e["trig"][1:] != e["trig"][:-1]) | (e["phrase"][1:] != e["phrase"][:-1])
     return e, first
 
 
+def _several(e: np.ndarray) -> np.ndarray:
+    """Which entries, sorted by anchor and one for each passage, share their anchor."""
+    out = np.zeros(len(e), bool)
+    same = e["trig"][1:] == e["trig"][:-1]
+    out[1:] |= same
+    out[:-1] |= same
+    return out
+
+
 def _repeat_rows(e: np.ndarray):
     at = e["at"].astype(np.int64)
     return spans_by_doc(e["did"], e["th"], at - e["lo"], at - e["hi"] + WINDOW)
@@ -159,11 +175,38 @@ def _repeat_rows(e: np.ndarray):
 def _parse(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("did", pa.int64()), ("th", pa.int64()), ("spans", pa.binary())])
 
+    def flush(held):
+        e, first = _first_of_phrase(np.concatenate(held))
+        spans = _repeat_rows(e[~first])
+        e = e[first]
+        several = _several(e)
+        e["open"] = several
+        marks = np.zeros(len(np.unique(e["trig"][several])), _ENTRY)
+        marks["trig"], marks["hi"] = np.unique(e["trig"][several]), MARK
+        where = np.concatenate([np.where(several, mix(e["trig"] ^ e["phrase"]), e["trig"]), marks["trig"]])
+        e = np.concatenate([e, marks])
+        home = (where % U64(buckets)).astype(np.int32)
+        order = np.argsort(home, kind="stable")
+        e, home = e[order], home[order]
+        cut = np.flatnonzero(home[1:] != home[:-1]) + 1
+        runs = list(zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(e)])).tolist())) if len(e) else []
+        k = len(spans)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array([*(int(home[a]) for a, _ in runs), *(abs(x[0] * 31 + x[1]) % buckets for x in spans)], pa.int32()),
+                pa.array([*(pack(e[a:b]) for a, b in runs), *[None] * k], pa.binary()),
+                pa.array([*[None] * len(runs), *(x[0] for x in spans)], pa.int64()),
+                pa.array([*[None] * len(runs), *(x[1] for x in spans)], pa.int64()),
+                pa.array([*[None] * len(runs), *(x[2] for x in spans)], pa.binary()),
+            ],
+            schema=schema,
+        )
+
     def run(batches):
+        held, n = [], 0
         for batch in batches:
             did, th = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             buf, offs = utf8(batch.column(2))
-            held = []
             for lo, hi, start, end in pieces(offs):
                 part = buf[start:end]
                 at, first, last, trig = triggers(part, np.minimum(offs[lo + 1 : hi + 1], end) - start)
@@ -176,54 +219,35 @@ def _parse(buckets: int):
                 e["trig"], e["did"], e["th"] = trig, did[row], th[row]
                 e["at"], e["lo"], e["hi"] = at + start - offs[row], at - first, at - last
                 held.append(e)
-            if not held:
-                continue
-            e, first = _first_of_phrase(np.concatenate(held))
-            spans = _repeat_rows(e[~first])
-            e = e[first]
-            home = (e["trig"] % U64(buckets)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            e, home = e[order], home[order]
-            cut = np.flatnonzero(home[1:] != home[:-1]) + 1
-            runs = list(zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(e)])).tolist())) if len(e) else []
-            k = len(spans)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*(int(home[a]) for a, _ in runs), *(abs(x[0] * 31 + x[1]) % buckets for x in spans)], pa.int32()),
-                    pa.array([*(pack(e[a:b]) for a, b in runs), *[None] * k], pa.binary()),
-                    pa.array([*[None] * len(runs), *(x[0] for x in spans)], pa.int64()),
-                    pa.array([*[None] * len(runs), *(x[1] for x in spans)], pa.int64()),
-                    pa.array([*[None] * len(runs), *(x[2] for x in spans)], pa.binary()),
-                ],
-                schema=schema,
-            )
+                n += len(e)
+                if n > ENTRIES:
+                    yield flush(held)
+                    held, n = [], 0
+        if held:
+            yield flush(held)
 
     return run
 
 
 _OPEN = pa.schema([("did", pa.int64()), ("th", pa.int64()), ("spans", pa.binary()), ("open", pa.binary())])
-#: A phrase whose windows must be compared: trigger, position, reach to either side, phrases of the trigger.
-_NEED = np.dtype([("trig", "<u8"), ("at", "<i4"), ("lo", "<u1"), ("hi", "<u1"), ("hot", "<u1")])
+#: A passage whose windows must be compared: anchor, position, reach to either side.
+_NEED = np.dtype([("trig", "<u8"), ("at", "<i4"), ("lo", "<u1"), ("hi", "<u1")])
 
 
 def _dictionary(batches):
-    """Per bucket: spans of repeated phrases; phrases that share their trigger with others stay open."""
+    """Per bucket: spans of repeated passages; passages that share their anchor with others stay open."""
     for t in grouped(batches, 1):
         rows = [(d, h, s, None) for d, h, s in zip(t.column("did").to_pylist(), t.column("th").to_pylist(), t.column("spans").to_pylist()) if s is not None]
         parts = [x for x in t.column("entries").to_pylist() if x]
         if parts:
             e, first = _first_of_phrase(unpack(parts))
-            rows += [(*x, None) for x in _repeat_rows(e[~first])]
+            rows += [(*x, None) for x in _repeat_rows(e[~first & (e["hi"] != MARK)])]
             e = e[first]
-            _, at, n = np.unique(e["trig"], return_inverse=True, return_counts=True)
-            shared = n[at] > 1
-            e, n = e[shared], n[at][shared]
+            e = e[(_several(e) | (e["open"] > 0)) & (e["hi"] != MARK)]
+            e = e[np.lexsort((e["at"], e["th"], e["did"]))]
             need = np.zeros(len(e), _NEED)
-            for k in ("trig", "at", "lo", "hi"):
+            for k in _NEED.names:
                 need[k] = e[k]
-            need["hot"] = n > HOT
-            order = np.lexsort((e["at"], e["th"], e["did"]))
-            e, need = e[order], need[order]
             cut = np.flatnonzero((e["did"][1:] != e["did"][:-1]) | (e["th"][1:] != e["th"][:-1])) + 1
             for a, b in zip(np.concatenate(([0], cut)).tolist(), np.concatenate((cut, [len(e)])).tolist()):
                 if b > a:
@@ -232,11 +256,11 @@ def _dictionary(batches):
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_OPEN)], schema=_OPEN)
 
 
-_CONTEXT = pa.schema([("trig", pa.int64()), ("hot", pa.bool_()), ("did", pa.int64()), ("th", pa.int64()), ("at", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), ("text", pa.binary())])
+_CONTEXT = pa.schema([("trig", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("start", pa.int64()), ("text", pa.binary())])
 
 
 def _contexts(batches):
-    """The text around the open triggers of each document."""
+    """The open passages of each document: anchor, place, and text."""
     for batch in batches:
         did, th = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         buf, offs = utf8(batch.column(2))
@@ -247,7 +271,7 @@ def _contexts(batches):
             at, lo, hi = need["at"].astype(np.int64), need["lo"].astype(np.int64), need["hi"].astype(np.int64)
             text = [bytes(view[a:b]) for a, b in zip((at - lo).tolist(), (at - hi + WINDOW).tolist())]
             k = len(need)
-            for c, v in zip(cols, (need["trig"].view(np.int64).tolist() if k else [], (need["hot"] > 0).tolist(), [did[i]] * k, [th[i]] * k, at.tolist(), lo.tolist(), hi.tolist(), text)):
+            for c, v in zip(cols, (need["trig"].view(np.int64).tolist() if k else [], [did[i]] * k, [th[i]] * k, (at - lo).tolist(), text)):
                 c += v
             if len(cols[0]) > 5_000:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CONTEXT)], schema=_CONTEXT)
@@ -255,98 +279,157 @@ def _contexts(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _CONTEXT)], schema=_CONTEXT)
 
 
-def _sorted_contexts(rows: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A suffix array of contexts (rows of equal width) within groups, and the common prefix with the row before."""
-    order = np.lexsort((np.ascontiguousarray(rows).view(f"S{rows.shape[1]}")[:, 0], group))
-    r, g = rows[order], group[order]
-    lcp = np.zeros(len(order), np.int16)
-    diff = r[1:] != r[:-1]
-    lcp[1:] = np.where(diff.any(1), diff.argmax(1), rows.shape[1])
-    lcp[1:][g[1:] != g[:-1]] = -1
-    lcp[0] = -1
-    return order, lcp
-
-
-def repeats(group, did, th, at, lo, hi, texts):
-    """Spans of the windows that have an equal earlier one. Context i is the text from at-lo to at-hi+100."""
-    n = len(group)
-    left, right = np.zeros((n, REACH - 1), np.uint8), np.zeros((n, WINDOW), np.uint8)
-    size = np.array([len(t) for t in texts])
-    flat = np.frombuffer(b"".join(texts), np.uint8)
-    start = np.concatenate(([0], np.cumsum(size)))[:-1]
-    mid = start + lo
-    for k in range(REACH - 1):
-        has = lo > k
-        left[has, k] = flat[(mid - 1 - k)[has]] ^ 0xA5  # no zero bytes at the end of a fixed-width string
-    for k in range(WINDOW):
-        has = mid + k < start + size
-        right[has, k] = flat[(mid + k)[has]] ^ 0xA5
-    sa_l, lcp_l = _sorted_contexts(left, group)
-    sa_r, lcp_r = _sorted_contexts(right, group)
-    when = np.empty(n, np.int64)
-    when[np.lexsort((at, th, did))] = np.arange(n)
-    out_i, out_s = [], []
-    left_class, right_class = np.empty(n, np.int64), np.empty(n, np.int64)
-    for back in range(int(hi.min()), int(lo.max()) + 1):
-        use = np.flatnonzero((hi <= back) & (back <= lo))
-        if len(use) < 2:
-            continue
-        left_class[sa_l] = np.cumsum(lcp_l < back)
-        right_class[sa_r] = np.cumsum(lcp_r < WINDOW - back)
-        key = left_class[use] * (n + 1) + right_class[use]
-        order = np.lexsort((when[use], key))
-        k = key[order]
-        again = use[order[1:][k[1:] == k[:-1]]]
-        out_i.append(again)
-        out_s.append(at[again] - back)
-    if not out_i:
-        return []
-    i, s = np.concatenate(out_i), np.concatenate(out_s)
-    return spans_by_doc(did[i], th[i], s, s + WINDOW)
+def dense(key: np.ndarray) -> np.ndarray:
+    """Ranks from 1; equal keys have equal ranks."""
+    return np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+
+
+def doubled(rank: np.ndarray, ends: np.ndarray, step: int, enough: int) -> np.ndarray:
+    """Prefix doubling: ranks by the first ``step`` symbols become ranks by ``enough`` or more, up to the end of each one's string."""
+    place = np.arange(len(rank))
+    while step < enough:
+        after = np.where(place + step < ends, rank[np.minimum(place + step, len(rank) - 1)], 0)
+        now = dense(rank * (int(rank.max()) + 1) + after)
+        if now.max() == len(now):
+            return now
+        rank, step = now, 2 * step
+    return rank
+
+
+def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Prefix-free parsing of ``texts``: all positions that start a window, in the order of their suffixes (as text and
+    offset), and whether the window equals that of the position before."""
+    size = np.array([len(t) for t in texts], np.int64)
+    gap = b"\0" * TRIGGER
+    raw = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
+    begin = TRIGGER + np.concatenate(([0], np.cumsum(size + TRIGGER)[:-1]))
+    symbol = raw.astype(np.int64) + 1
+    for k in range(TRIGGER):  # what stands between texts is a symbol of its own, 0
+        symbol[begin - 1 - k] = 0
+        symbol[len(raw) - 1 - k] = 0
+    h, step, power = symbol.astype(U64), 1, U64(0x9E3779B97F4A7C15)
+    with np.errstate(over="ignore"):
+        while step < TRIGGER:
+            h = h[:-step] * power + h[step:]
+            power = power * power
+            step *= 2
+    cut = mix(h) % U64(EVERY) == 0
+    cut[begin - TRIGGER] = cut[-1] = True
+    cuts = np.flatnonzero(cut)
+    # The dictionary: distinct phrases, triggers at both ends.
+    first, last = cuts[:-1], cuts[1:] + TRIGGER
+    view = memoryview(symbol.astype(np.int16)).cast("B")
+    digest = np.array([xxhash.xxh3_64_intdigest(view[2 * a : 2 * b]) for a, b in zip(first.tolist(), last.tolist())], U64)
+    _, sample, phrase = np.unique(digest, return_index=True, return_inverse=True)
+    length = (last - first)[sample]
+    base = np.concatenate(([0], np.cumsum(length)))
+    book = symbol[np.repeat(first[sample] - base[:-1], length) + np.arange(base[-1])]
+    ends = np.repeat(base[1:], length)
+    # Its suffix array, from 6 symbols on.
+    packed = np.zeros(len(book), np.int64)
+    for k in range(6):
+        packed = (packed << 9) | np.where(np.arange(len(book)) + k < ends, np.concatenate((book[k:], np.zeros(min(k, len(book)), np.int64))), 0)
+    rank = doubled(dense(packed), ends, 6, int(length.max()))
+    # The parse and its suffix array: phrases by rank, as many as a window can reach into.
+    parse = rank[base[:-1]][phrase]
+    reach, k = np.concatenate((cuts, np.full(WINDOW, cuts[-1] + WINDOW))), 1
+    while k < WINDOW and (reach[k : k + len(parse)] - cuts[:-1]).min() < WINDOW:
+        k *= 2
+    order = np.concatenate((doubled(parse, np.full(len(parse), len(parse)), 1, k), [0]))
+    # Combined: the rest of the phrase, then the parse after it.
+    count = np.maximum(size - WINDOW + 1, 0)
+    text = np.repeat(np.arange(len(texts)), count)
+    offset = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
+    at = begin[text] + offset
+    j = np.searchsorted(cuts, at, "right") - 1
+    place = np.argsort(rank[base[phrase[j]] + at - cuts[j]] * (int(order.max()) + 1) + order[j + 1], kind="stable")
+    at, text, offset = at[place], text[place], offset[place]
+    same = np.zeros(len(at), bool)
+    if len(at):
+        words = np.ndarray((len(raw) - 7,), "<u8", raw, 0, (1,))
+        same[1:] = True
+        for k in (*range(0, WINDOW - 8, 8), WINDOW - 8):
+            w = words[at + k]
+            same[1:] &= w[1:] == w[:-1]
+    return text, offset, same
+
+
+def repeats(did, th, start, texts):
+    """(text, offset) of windows that equal an earlier one, and of the first of each class, with whether it has others."""
+    text, offset, same = corpus_order(texts)
+    group = np.cumsum(~same)
+    several = same.copy()
+    several[:-1] |= same[1:]
+    lone_text, lone_offset = text[~several], offset[~several]
+    text, offset, group = text[several], offset[several], group[several]
+    by = np.lexsort(((start[text] + offset), th[text], did[text], group))
+    text, offset, group = text[by], offset[by], group[by]
+    again = np.zeros(len(text), bool)
+    again[1:] = group[1:] == group[:-1]
+    firsts = np.concatenate((lone_text, text[~again])), np.concatenate((lone_offset, offset[~again]))
+    return (text[again], offset[again]), firsts
 
 
 def _spans_batch(rows):
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(_SPANS)], schema=_SPANS)
 
 
+def _arrays(tables: list[pa.Table]):
+    t = pa.concat_tables(tables).combine_chunks()
+    return (*(t.column(c).to_numpy().astype(np.int64) for c in ("did", "th", "start")), t.column("text").to_pylist())
+
+
 def _compare(batches):
-    """Sorted by trigger: spans of repeated windows. Several triggers are compared together; none is split."""
+    """Sorted by anchor: spans of repeated windows. Several anchors are sorted together; none is split."""
 
     def flush(tables):
-        t = pa.concat_tables(tables).combine_chunks()
-        _, group = np.unique(t.column("trig").to_numpy(), return_inverse=True)
-        num = lambda c: t.column(c).to_numpy().astype(np.int64)
-        return _spans_batch(repeats(group, num("did"), num("th"), num("at"), num("lo"), num("hi"), t.column("text").to_pylist()))
+        did, th, start, texts = _arrays(tables)
+        (i, k), _ = repeats(did, th, start, texts)
+        return _spans_batch(spans_by_doc(did[i], th[i], start[i] + k, start[i] + k + WINDOW) if len(i) else [])
 
     held, n = [], 0
     for t in grouped(batches, 1):
         if t.num_rows > 1:
             held.append(t)
             n += t.num_rows
-        if n > 20_000:
+        if n > PART:
             yield flush(held)
             held, n = [], 0
     if held:
         yield flush(held)
 
 
-_HOT = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("s", pa.int64())])
+_HOT = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("did", pa.int64()), ("th", pa.int64()), ("s", pa.int64()), ("spans", pa.binary())])
 
 
 def _windows(batches):
-    """All windows of hot contexts by 128-bit digest."""
+    """Parts of hot anchors: spans of windows repeated in the part, and the first of each class by 128-bit digest."""
+
+    def flush(tables):
+        did, th, start, texts = _arrays(tables)
+        (i, k), (fi, fk) = repeats(did, th, start, texts)
+        spans = spans_by_doc(did[i], th[i], start[i] + k, start[i] + k + WINDOW) if len(i) else []
+        d = np.frombuffer(b"".join(xxhash.xxh3_128_digest(texts[x][y : y + WINDOW]) for x, y in zip(fi.tolist(), fk.tolist())), np.int64).reshape(-1, 2)
+        n, m = len(fi), len(spans)
+        column = lambda a, b, kind: pa.array([*a, *b], kind)
+        return pa.RecordBatch.from_arrays(
+            [
+                column(d[:, 0].tolist(), [None] * m, pa.int64()), column(d[:, 1].tolist(), [None] * m, pa.int64()), column(did[fi].tolist(), (x[0] for x in spans), pa.int64()),
+                column(th[fi].tolist(), (x[1] for x in spans), pa.int64()), column((start[fi] + fk).tolist(), [None] * m, pa.int64()), column([None] * n, (x[2] for x in spans), pa.binary()),
+            ],
+            schema=_HOT,
+        )
+
+    held, n = [], 0
     for batch in batches:
-        c = {f.name: batch.column(k) for k, f in enumerate(batch.schema)}
-        digest, own, start = [], [], []
-        at, lo, hi = (c[k].to_numpy().astype(np.int64) for k in ("at", "lo", "hi"))
-        for i, text in enumerate(c["text"].to_pylist()):
-            view, k = memoryview(text), int(lo[i] - hi[i]) + 1
-            digest += [xxhash.xxh3_128_digest(view[x : x + WINDOW]) for x in range(k)]
-            own += [i] * k
-            start += range(int(at[i] - lo[i]), int(at[i] - hi[i]) + 1)
-        d = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-        did, th = c["did"].to_numpy()[own] if own else np.zeros(0, np.int64), c["th"].to_numpy()[own] if own else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(d[:, 0]), pa.array(d[:, 1]), pa.array(did), pa.array(th), pa.array(start, pa.int64())], schema=_HOT)
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            n += batch.num_rows
+        if n > PART // 2:
+            yield flush(held)
+            held, n = [], 0
+    if held:
+        yield flush(held)
 
 
 def _pack(batches):
@@ -378,14 +461,23 @@ def repeated_spans(docs: DataFrame, repeated: bool) -> DataFrame:
     told = scratch.keep(told, "phrases")
     flush_shuffles(spark)
     need = told.where("open is not null").groupBy("did", "th").agg(F.collect_list("open").alias("open"))
-    around = rows.join(need, ["did", "th"]).mapInArrow(_contexts, "trig long, hot boolean, did long, th long, at long, lo int, hi int, text binary")
-    around = scratch.keep(around, "contexts")
+    schema = "trig long, did long, th long, start long, text binary"
+    around = scratch.keep(rows.join(need, ["did", "th"]).mapInArrow(_contexts, schema), "contexts")
     flush_shuffles(spark)
-    cold = around.where("not hot").repartition(parts, "trig").sortWithinPartitions("trig").mapInArrow(_compare, "did long, th long, spans binary")
-    seen = around.where("hot").mapInArrow(_windows, "w1 long, w2 long, did long, th long, s long")
-    first = seen.groupBy("w1", "w2").agg(F.min(F.struct("did", "th", "s")).alias("f"), F.count("*").alias("c")).where("c > 1")
-    hot = seen.join(first, ["w1", "w2"]).where("struct(did, th, s) > f").select("did", "th", "s").mapInArrow(_pack, "did long, th long, spans binary")
-    spans = told.where("spans is not null").select("did", "th", "spans").unionByName(cold).unionByName(hot)
+    hot = scratch.keep(around.groupBy("trig").agg(F.count("*").alias("c")).where(F.col("c") > HOT).select("trig"), "hot")
+    n_hot = hot.count()
+    cold, seen = around, None
+    if n_hot:
+        hot = F.broadcast(hot) if n_hot <= SMALL else hot
+        cold, seen = around.join(hot, "trig", "left_anti"), around.join(hot, "trig", "left_semi")
+    spans = told.where("spans is not null").select("did", "th", "spans")
+    spans = spans.unionByName(cold.repartition(parts, "trig").sortWithinPartitions("trig").mapInArrow(_compare, "did long, th long, spans binary"))
+    if seen is not None:
+        seen = scratch.keep(seen.mapInArrow(_windows, "w1 long, w2 long, did long, th long, s long, spans binary"), "windows")
+        met = seen.where("spans is null")
+        first = met.groupBy("w1", "w2").agg(F.min(F.struct("did", "th", "s")).alias("f"), F.count("*").alias("c")).where("c > 1")
+        again = met.join(first, ["w1", "w2"]).where("struct(did, th, s) > f").select("did", "th", "s").mapInArrow(_pack, "did long, th long, spans binary")
+        spans = spans.unionByName(again).unionByName(seen.where("spans is not null").select("did", "th", "spans"))
     return spans.groupBy("did", "th").agg(F.collect_list("spans").alias("lists"))
 
 

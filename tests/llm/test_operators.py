@@ -666,7 +666,7 @@ def repeat_texts(rng):
     return texts
 
 
-@pytest.mark.parametrize("hot", [20_000, 1])
+@pytest.mark.parametrize("hot", [2_000, 1])
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
     texts = repeat_texts(random.Random(11))
@@ -677,6 +677,29 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, hot):
     assert got == brute_spans(rows)
 
 
+def test_prefix_free_order_is_that_of_the_suffixes(monkeypatch):
+    rng = random.Random(32)
+    for every in (1, 3, 8, 64):  # every position a trigger, or almost none
+        monkeypatch.setattr(suffix_dedup, "EVERY", every)
+        texts = [t.encode() for t in repeat_texts(rng) if t][:40] + [b"a" * 300, b"\x00" * 250, b"\xff\x00" * 90, b"", b"x" * 99]
+        text, offset, same = suffix_dedup.corpus_order(texts)
+        want = sorted(texts[i][k : k + 100] for i in range(len(texts)) for k in range(len(texts[i]) - 99))
+        got = [texts[i][k : k + 100] for i, k in zip(text.tolist(), offset.tolist())]
+        assert got == want and same.tolist() == [False] * (len(got) > 0) + [a == b for a, b in zip(got, got[1:])]
+
+
+def test_suffix_dedup_one_hot_anchor(spark, monkeypatch):
+    """A passage in every document, with other text around it: its anchors are hot in tasks and in shards."""
+    monkeypatch.setattr(suffix_dedup, "HOT", 20)
+    monkeypatch.setattr(suffix_dedup, "PART", 60)
+    monkeypatch.setattr(suffix_dedup, "ENTRIES", 50)
+    rng = random.Random(33)
+    passage = words(rng, 30)
+    rows = [(i, f"{words(rng, 9)} {passage[: rng.choice([120, 130, 999])]} {words(rng, 9)}") for i in range(150)] + [(200 + i, "a" * (90 + 20 * i)) for i in range(6)]
+    got = {r["doc_id"]: tuple(r[k] for k in ("n_bytes", "n_removed", "n_spans", "kept_sha256")) for r in suffix_dedup.suffix_dedup(frame(spark, rows, "doc_id long, text string").repartition(6)).collect()}
+    assert got == brute_spans(rows)
+
+
 def test_suffix_dedup_segments(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SEGMENT", 700)
     monkeypatch.setattr(suffix_dedup, "CHUNK", 600)
