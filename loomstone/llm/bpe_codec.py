@@ -59,7 +59,8 @@ class Bpe:
         self.added = {t["content"]: t["id"] for t in model["added_tokens"]}
         self.tokens = {i: t for t, i in ids.items()} | {i: t for t, i in self.added.items()}
         self.special = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        self.memo: dict[str, tuple[bytes, str]] = {}
+        self.pieces = [self.tokens.get(i) for i in range(max(self.tokens, default=-1) + 1)]
+        self.memo: dict[str, bytes] = {}
 
     def word(self, word: str) -> list[int]:
         """Ids of one normalised word."""
@@ -103,29 +104,30 @@ class Bpe:
                     heapq.heappush(heap, (got[0], x, got[1], parts[x], parts[y]))
         return [p for p, live in zip(parts, alive) if live]
 
-    def _known(self, word: str) -> tuple[bytes, str]:
-        ids = self.word(word)
+    def _known(self, word: str) -> bytes:
         if len(self.memo) >= MEMO:
             self.memo.clear()
-        got = self.memo[word] = (np.array(ids, "<u4").tobytes(), " ".join(self.tokens[i] for i in ids))
+        got = self.memo[word] = np.array(self.word(word), "<u4").tobytes()
         return got
 
-    def encode(self, text: str) -> tuple[bytes, str]:
-        """Ids as little-endian 32-bit integers, and the decoded text."""
-        out: list[tuple[bytes, str]] = []
+    def encode(self, text: str) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        out: list[bytes] = []
         memo = self.memo
-        for part in self.special.split(text) if self.special and "<|" in text else (text,):
+        for part in self.special.split(text) if self.special else (text,):
             if part in self.added:
-                out.append((np.array([self.added[part]], "<u4").tobytes(), part))
+                out.append(np.array([self.added[part]], "<u4").tobytes())
             elif part:
                 # Lower case goes character by character: a final sigma isn't special.
                 part = unicodedata.normalize("NFC", part)
                 words = _WORDS.findall((part.replace("Σ", "σ") if "Σ" in part else part).lower())
                 out += [memo.get(w) or self._known(w) for w in words]
-        return b"".join([x[0] for x in out]), " ".join([x[1] for x in out if x[0]])
+        return b"".join(out)
 
     def decode(self, ids) -> str:
-        return " ".join(self.tokens[int(i)] for i in ids if int(i) in self.tokens)
+        """The tokens of ``ids``, joined by one space; ids that the vocabulary doesn't have are left out."""
+        pieces, n = self.pieces, len(self.pieces)
+        return " ".join([t for t in map(pieces.__getitem__, [i for i in ids if i < n]) if t is not None])
 
 
 _LOADED: dict[int, Bpe] = {}
@@ -148,7 +150,8 @@ def _encode(model, with_ids: bool):
         for batch in batches:
             n, ids_hex, text_hex, ids, decoded = [], [], [], [], []
             for text in batch.column(1):
-                raw, back = bpe.encode(text.as_py() or "")
+                raw = bpe.encode(text.as_py() or "")
+                back = bpe.decode(np.frombuffer(raw, "<u4").tolist())
                 n.append(len(raw) // 4)
                 ids_hex.append(hashlib.sha256(raw).hexdigest())
                 text_hex.append(hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
@@ -164,7 +167,10 @@ def _encode(model, with_ids: bool):
 
 
 def bpe_codec(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded per row (the last two null unless with_ids)."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, ids, decoded per row (the last two null unless with_ids) of ``docs`` (doc_id,
+    text); other columns are ignored, whatever their names. Null texts are empty, null ids and repeated rows are rows like
+    others, no rows give none.
+    """
     with open(path or vocabulary_path(), encoding="utf-8") as f:
         model = docs.sparkSession.sparkContext.broadcast(f.read())
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -218,7 +218,9 @@ def _score(model):
 
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, held_out, score, predicted, good_share per row of ``docs`` (doc_id, text). Null texts count as empty.
+    """doc_id, held_out, score, predicted, good_share per row of ``docs`` (doc_id, text); other columns are ignored, whatever their
+    names. Null texts count as empty; equal texts get equal scores, repeated rows a row each; a null doc_id is scored like any other
+    and never learned from. No rows give none.
 
     Labels come from rows with crc32(doc_id as text) mod 5 other than 0; without any, every score is 0.5.
     """

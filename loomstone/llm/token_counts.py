@@ -142,7 +142,8 @@ def _counts(vocabulary):
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id, n_words, n_tokens per row of ``docs``; other columns are ignored."""
+    """doc_id, n_words, n_tokens per row of ``docs`` (doc_id, text); other columns are ignored, whatever their names. Null texts
+    have no words, null ids and repeated rows are rows like others, no rows give none."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(pieces(path or vocabulary_path()))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return rows.mapInArrow(_counts(vocabulary), "doc_id long, n_words long, n_tokens long")

@@ -432,6 +432,25 @@ def test_token_counts_rows(spark):
     assert len(rows) == len(EDGE_TEXTS) and rows[0]["n_tokens"] == 0 and all(r["n_tokens"] >= r["n_words"] for r in rows)
 
 
+def test_token_counts_query_equals_greedy_words(spark):
+    first, inner = token_counts.pieces(token_counts.vocabulary_path())
+    longest = max(map(len, first | inner))
+
+    def greedy(word):
+        w, at, n = word.encode("utf-8", "surrogatepass"), 0, 0
+        while at < len(w):
+            end = next((e for e in range(min(len(w), at + longest), at, -1) if w[at:e] in (inner if at else first)), None)
+            if end is None:
+                return 1
+            at, n = end, n + 1
+        return n
+
+    texts = [t for t in EDGE_TEXTS if len(t or "") < 4000] + ["Straße 12,345 naïve café — 日本語!!", *(r[0] for r in common.documents(spark, DATA).select("text").limit(40).collect())]
+    for r in token_counts.token_counts(docs_of(spark, texts)).collect():
+        found = token_counts._WORDS.findall(texts[r["doc_id"]] or "")
+        assert (r["n_words"], r["n_tokens"]) == (len(found), sum(map(greedy, found)))
+
+
 # 6
 
 
@@ -572,6 +591,47 @@ def test_html_that_is_broken_on_purpose():
     assert html_extraction.Page("<p>seen</p><!-- never closed <p>hidden").extract(None) == "seen"
 
 
+# All
+
+
+def test_null_ids_repeats_clashing_columns_long_texts_and_no_rows(spark):
+    """Every operator on rows with null ids, repeated rows, a long text and columns named like those it uses inside."""
+    long = words(random.Random(61), 60_000)
+    rows = [(None, "some text of a row without an id", "en"), (1, long, "en"), (1, long, "en"), (2, None, None), (3, "", "fr"), (4, "you idiot", "en")]
+    clash = {k: F.lit("x") for k in ("n", "y", "x", "share", "held_out", "score", "seed", "pos", "toks", "part", "chunk", "node", "key", "band", "sig", "id", "tie", "range", "place", "wide", "canon", "did", "th", "spans", "lists", "open", "trig", "html", "host", "path", "ids", "k", "size", "own")}
+    docs = frame(spark, rows, "doc_id long, text string, lang string").withColumns(clash)
+    labels = frame(spark, [(i, i % 2, i % 2) for i in range(1, 5)], "doc_id long, quality int, toxic int").withColumns({"text": F.lit("x"), "share": F.lit(1)})
+    bench = frame(spark, [(1, "some text of a row without an id"), (None, "you idiot")], "item_id long, text string").withColumns({"doc_id": F.lit(1), "n": F.lit(2)})
+    pages = frame(spark, [(None, None, None), (1, "http://a/b", f"<article><p>{long}</p></article>"), (1, "http://a/b", f"<article><p>{long}</p></article>")], "page_id long, url string, html string").withColumns({k: F.lit(1) for k in ("host", "path", "text", "salt", "votes")})
+    runs = {
+        "jaccard": lambda d: ngram_jaccard.jaccard_components(d), "decontamination": lambda d: decontamination.decontaminate(d, bench), "toxicity": lambda d: toxicity.toxicity(d, labels),
+        "language": lambda d: language_id.language_id(d), "tokens": lambda d: token_counts.token_counts(d), "fingerprints": lambda d: fingerprints.fingerprints(d),
+        "quality": lambda d: quality.quality(d, labels), "bpe": lambda d: bpe_codec.bpe_codec(d), "suffix": lambda d: suffix_dedup.suffix_dedup(d),
+    }
+    for name, run in runs.items():
+        got = run(docs).collect()
+        assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows), name
+        once = [tuple(r) for r in got if r["doc_id"] == 1]
+        assert name in ("fingerprints", "suffix") or once[0] == once[1], name
+        assert run(docs.where("false")).count() == 0, name
+    got = html_extraction.extract_pages(pages).collect()
+    assert sorted(r["n_chars"] for r in got) == [0, len(long), len(long)] and html_extraction.extract_pages(pages.where("false")).count() == 0
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Conf:
+        get = staticmethod(lambda *_: None)
+
+    class Context:
+        master, getConf = "spark://host:7077", staticmethod(lambda: Conf)
+
+    class Session:
+        conf, sparkContext = Conf, Context
+
+    with pytest.raises(RuntimeError):
+        common.shared_dir(Session)
+
+
 # 8
 
 
@@ -599,6 +659,30 @@ def test_field_marginals_equal_enumeration():
     assert np.allclose(pair.sum((1, 2)), 1) and len(pair) == 4
 
 
+def test_quality_reads_a_line_by_its_neighbours():
+    """Plain lines are good among plain lines and bad between shouted ones: only a field with neighbours can tell."""
+    rng = np.random.default_rng(51)
+    x, text, y = [], [], []
+    for k in range(400):
+        shout = k % 2
+        kinds = [1, 0, 1, 0, 1] if shout else [0, 0, 0, 0, 0]
+        for kind in kinds:
+            row = rng.normal(0, 0.1, quality.N_OWN)
+            row[0] = kind
+            x.append(row)
+            text.append(k)
+            y.append(0.0 if shout else 1.0)
+    x, text, y = np.array(x), np.array(text), np.array(y)
+    field = quality.Field(x.mean(0), np.maximum(x.std(0), 1e-6))
+    field.fit(x, text, y)
+    plain = x[:, 0] == 0
+    right = lambda p: ((p > 0.5) == (y > 0.5))[plain].mean()
+    assert right(field.marginals(field.unary(x, text), text)[0]) > 0.99
+    alone = field.unary(x, text) - quality.with_neighbours(np.clip((x - field.mean) / field.scale, -5, 5), text)[:, quality.N_OWN : 3 * quality.N_OWN] @ field.w[quality.N_OWN : 3 * quality.N_OWN]
+    field.t[:] = 0
+    assert right(field.marginals(alone, text)[0]) < 0.8
+
+
 def test_quality_learns_from_all_lines():
     rng = random.Random(12)
     texts = [("\n".join(f"A line number {i} of {words(rng, 8)}." for i in range(60)) + "\n" + "BUY!!! NOW | 777 !!!\n" * (40 * (k % 2))) for k in range(8)]
