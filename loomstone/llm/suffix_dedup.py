@@ -3,7 +3,7 @@
 A byte goes when a 100-byte string that also starts earlier in the corpus covers it (earlier: smaller
 doc_id, or same document and smaller start); matches never cross documents.
 
-1. Shards. A rolling hash over 16 bytes is computed at every position. The position with the least hash (the leftmost on
+1. Shards. A rolling hash over 32 bytes is computed at every position. The position with the least hash (the leftmost on
    ties) inside a 100-byte window is the window's anchor; equal windows have it at the same place, so they
    meet where anchors meet. Runs of windows with one anchor make a passage. Of equal passages only the first in corpus order
    goes on: all windows of the others are repeats. An anchor with a single passage has no other repeats.
@@ -36,10 +36,10 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, documents, flush_shuffles, mix, utf8
 from .ngram_jaccard import grouped
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 REACH = WINDOW - GRAM + 1
 CHUNK, SEGMENT = 1 << 20, 1 << 21
-HOT = 2_000  # passages of an anchor that are sorted in one part
+HOT = 20_000  # passages of an anchor that are sorted in one part
 PART = 8_000  # passages that are sorted together
 ENTRIES = 300_000  # passages that a task gathers before it sends them
 TRIGGER, EVERY = 8, 8  # bytes of a phrase's trigger; one position in EVERY is one
@@ -325,11 +325,11 @@ def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     base = np.concatenate(([0], np.cumsum(length)))
     book = symbol[np.repeat(first[sample] - base[:-1], length) + np.arange(base[-1])]
     ends = np.repeat(base[1:], length)
-    # Its suffix array, from 6 symbols on.
+    # Its suffix array, from 7 symbols on.
     packed = np.zeros(len(book), np.int64)
-    for k in range(6):
+    for k in range(7):
         packed = (packed << 9) | np.where(np.arange(len(book)) + k < ends, np.concatenate((book[k:], np.zeros(min(k, len(book)), np.int64))), 0)
-    rank = doubled(dense(packed), ends, 6, int(length.max()))
+    rank = doubled(dense(packed), ends, 7, int(length.max()))
     # The parse and its suffix array: phrases by rank, as many as a window can reach into.
     parse = rank[base[:-1]][phrase]
     reach, k = np.concatenate((cuts, np.full(WINDOW, cuts[-1] + WINDOW))), 1
