@@ -37,6 +37,7 @@ WORDS, NUM, DEN = 5, 80, 100
 CHUNK = 1 << 20
 HEAVY_ROWS = 1 << 20  # bound of the broadcast table of frequent shingles (16 bytes each)
 HEAVY_LOCAL, HEAVY_LEAST = 4, 48
+SMALL = 500_000  # rows of 24 bytes that are broadcast; above, the join shuffles
 TILE_ROWS = 1024  # rows of a block of a tile, members of a block of a hub
 ENTRIES = 1_000_000  # pairs (shingle, class) gathered before they are packed
 PASSES = (1, 16, 0)  # pairs of two components that a pass over open tiles yields; the last yields all
@@ -44,7 +45,7 @@ FIND, VERIFY = 0, 1  # two hash functions of words
 #: Two primes and a base for each: a word's hash is its polynomial modulo both (62 bits), finalised with its length.
 MODULI = (2147483647, 2147483629)
 BASES = ((1103515245, 1540483477), (1812433253, 668265263))
-FAR = 1 << 22  # bytes after which sums are reduced, so that they stay below 2**64
+BLOCK = 1 << 18  # bytes of words that are hashed at a time
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -72,17 +73,23 @@ _RESIDUES = [[Residues(b, p) for b, p in zip(bases, MODULI)] for bases in BASES]
 
 
 def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    low = _LOWER[buf].astype(U64) + U64(1)
-    out = np.zeros(len(starts), U64)
-    for r in _RESIDUES[seed]:
-        up, down = r.upto(len(buf) + 1)
-        prime, total = U64(r.prime), np.zeros(len(buf) + 1, U64)
-        for at in range(0, len(buf), FAR):
-            part = total[at + 1 : at + FAR + 1]
-            np.cumsum(low[at : at + FAR] * up[at : min(at + FAR, len(buf))], out=part)
-            part += total[at] % prime
-        h = (total[ends] % prime + prime - total[starts] % prime) % prime * down[starts] % prime
-        out = (out << U64(31)) ^ h
+    """Hashes of the words at ``starts`` to ``ends``, block by block: memory grows with BLOCK or the longest word."""
+    out, lo = np.zeros(len(starts), U64), 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, "right")))
+        a, b = int(starts[lo]), int(ends[hi - 1])
+        s, e = starts[lo:hi] - a, ends[lo:hi] - a
+        low, h = _LOWER[buf[a:b]].astype(U64) + U64(1), np.zeros(hi - lo, U64)
+        for r in _RESIDUES[seed]:
+            up, down = r.upto(b - a + 1)
+            prime, total = U64(r.prime), np.zeros(b - a + 1, U64)
+            for at in range(0, b - a, 1 << 22):  # sums stay below 2**64
+                part = total[at + 1 : at + (1 << 22) + 1]
+                np.cumsum(low[at : at + (1 << 22)] * up[at : min(at + (1 << 22), b - a)], out=part)
+                part += total[at] % prime
+            h = (h << U64(31)) ^ ((total[e] % prime + prime - total[s] % prime) % prime * down[s] % prime)
+        out[lo:hi] = h
+        lo = hi
     return mix(out ^ (ends - starts).astype(U64) * U64(0xA24BAED4963EE407))
 
 
@@ -230,6 +237,13 @@ def fold(bits: np.ndarray, words: int) -> np.ndarray:
     return bits
 
 
+def _halved(batches):
+    """Signatures folded to half their bits (2 to 4 a shingle), for tiles: a class is in many."""
+    for batch in batches:
+        sig = [fold(np.frombuffer(b, U64)[None], max(1, len(b) // 16)).tobytes() for b in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sig, pa.binary())], names=["node", "n", "sig"])
+
+
 class Members:
     """Rows of a tile or block: sizes and signatures, kept by width, compared one against many."""
 
@@ -473,7 +487,7 @@ def verified(scratch: Scratch, pairs: DataFrame, texts: DataFrame, parts: int) -
     hubs = blocks.select("hub", F.explode(F.expr("sequence(0, nb - 1)")).alias("salt"), F.lit(0).alias("own"), F.col("hub").alias("node"))
     rows = members.unionByName(hubs).join(texts, "node").select("hub", "salt", "own", "node", "d1", "text")
     out = scratch.keep(rows.repartition(parts, "hub", "salt").sortWithinPartitions("hub", "salt", "own", "node").mapInArrow(_star, "a long, b long"), "links")
-    scratch.drop(texts)
+    del rows, members, hubs, blocks
     flush_shuffles(scratch.spark)
     return out
 
@@ -508,22 +522,25 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     tiles = tiles.select("t.key", "t.band", "t.hub")
     members = scratch.keep(tiled.join(tiles, ["key", "band"]), "members")
     scratch.drop(tiled)
+    del tiled, tiles, shared, met, dealt, hub
     flush_shuffles(spark)
     sigs = rows.join(classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("node", "n", "sig").dropDuplicates(["node"])
     sigs = scratch.keep(sigs.join(members.select("node").distinct(), "node", "left_semi"), "sigs")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select("node").union(pairs.select("hub")).distinct()
-        known = classes.select("node", "rep", "d1").join(nodes, "node", "left_semi")
-        return scratch.keep(docs.join(known, docs["doc_id"] == known["rep"]).select("node", "d1", "text"), "texts")
+        known = scratch.keep(classes.select("node", "rep", "d1").join(nodes, "node", "left_semi"), "nodes")
+        known = F.broadcast(known) if known.count() <= SMALL else known
+        return scratch.keep(docs.join(known, docs["doc_id"] == F.col("rep")).select("node", "d1", "text"), "texts")
 
     pairs = members.where("node <> hub").select("hub", "node").distinct().join(sigs.select("node", "n"), "node")
     pairs = pairs.join(sigs.select(F.col("node").alias("hub"), F.col("n").alias("hub_n"), F.col("sig").alias("hub_sig")), "hub").where(f"{DEN} * least(n, hub_n) >= {NUM} * greatest(n, hub_n)")
     pairs = pairs.join(sigs.select("node", "sig"), "node").select("hub", "node", "n", "sig", "hub_n", "hub_sig").mapInArrow(_bounded, "hub long, node long")
     pairs = scratch.keep(pairs, "pairs")
+    texts = texts_of(pairs)
     flush_shuffles(spark)
     one = scratch.keep(pairs.groupBy("node").agg(F.min_by("hub", F.xxhash64("hub", F.lit(3))).alias("hub")).select("hub", "node"), "pairs")
-    links = verified(scratch, one, texts_of(one), parts)
+    links = verified(scratch, one, texts, parts)
     comps = scratch.keep(components(scratch, links), "comps")
 
     def of(name: str) -> DataFrame:
@@ -532,11 +549,13 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     rest = pairs.join(one, ["hub", "node"], "left_anti").join(of("node"), "node", "left").join(of("hub"), "hub", "left")
     rest = scratch.keep(rest.where("coalesce(node_comp, node) <> coalesce(hub_comp, hub)").select("hub", "node"), "pairs")
     if not rest.isEmpty():
-        links = scratch.keep(links.union(verified(scratch, rest, texts_of(rest), parts)), "links")
+        links = scratch.keep(links.union(verified(scratch, rest, texts, parts)), "links")
         comps = scratch.keep(components(scratch, links), "comps")
 
+    scratch.drop(texts)
     told = pairs.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node"))
     open_tiles = None
+    slim = scratch.keep(sigs.mapInArrow(_halved, "node long, n long, sig binary"), "slim")
     for most in PASSES:
         open_ = members if open_tiles is None else members.join(open_tiles, ["key", "band"])
         open_ = open_.drop("hub").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -545,10 +564,11 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
         left = scratch.keep(open_.join(tiles, ["key", "band"]), "left")
         if left.isEmpty():
             break
-        placed = in_blocks(left, "nb").join(sigs, "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
+        placed = in_blocks(left, "nb").join(slim, "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
         found = placed.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles(most), "a long, b long, key long, band int")
         found = scratch.keep(found, "found")
         scratch.drop(left)
+        del left, placed, tiles
         flush_shuffles(spark)
         open_tiles = found.select("key", "band").distinct()
         found = found.select(F.least("a", "b").alias("hub"), F.greatest("a", "b").alias("node")).distinct()
