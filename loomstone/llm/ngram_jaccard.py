@@ -526,6 +526,8 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     flush_shuffles(spark)
     sigs = rows.join(classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("node", "n", "sig").dropDuplicates(["node"])
     sigs = scratch.keep(sigs.join(members.select("node").distinct(), "node", "left_semi"), "sigs")
+    whole, rows = rows, scratch.keep(rows.select("doc_id", "th", "n", "d1", "d2"), "rows")
+    scratch.drop(whole)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select("node").union(pairs.select("hub")).distinct()
@@ -575,7 +577,9 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
         found = scratch.keep(found.join(told, ["hub", "node"], "left_anti"), "pairs")
         if found.isEmpty():
             continue
-        links = scratch.keep(links.union(verified(scratch, found, texts_of(found), parts)), "links")
+        texts = texts_of(found)
+        links = scratch.keep(links.union(verified(scratch, found, texts, parts)), "links")
+        scratch.drop(texts)
         comps = scratch.keep(components(scratch, links), "comps")
         told = told.union(found)
     named = classes.join(comps, "node", "left").select("d1", "d2", "n", "rep", F.coalesce("comp", "node").alias("component"))
