@@ -516,13 +516,15 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     tiled = shared.join(classes.select("d1", "node", "band"), "d1").select("key", "node", sides.alias("t")).select("key", "t.band", "t.role", "node")
     tiled = scratch.keep(tiled, "dealt")
     scratch.drop(dealt)
+    del shared, met, dealt
+    flush_shuffles(spark)
     hub = F.min(F.when(F.col("role") == 1, F.struct(F.xxhash64("node", F.lit(3)).alias("h"), F.col("node")))).alias("hub")
     tiles = tiled.groupBy("key", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "role")).alias("x"), F.sum(F.xxhash64("role", "node").cast("decimal(38,0)")).alias("s"), hub)
     tiles = tiles.where("c > 1 and hub is not null").groupBy("c", "x", "s").agg(F.min(F.struct("key", "band", F.col("hub.node").alias("hub"))).alias("t"))
     tiles = tiles.select("t.key", "t.band", "t.hub")
     members = scratch.keep(tiled.join(tiles, ["key", "band"]), "members")
     scratch.drop(tiled)
-    del tiled, tiles, shared, met, dealt, hub
+    del tiled, tiles, hub
     flush_shuffles(spark)
     sigs = rows.join(classes.select("node", F.col("rep").alias("doc_id"), "d1", "d2"), ["doc_id", "d1", "d2"]).select("node", "n", "sig").dropDuplicates(["node"])
     sigs = scratch.keep(sigs.join(members.select("node").distinct(), "node", "left_semi"), "sigs")
