@@ -30,12 +30,13 @@ from pyspark.sql import functions as F
 from .common import U64, Scratch, documents, fold_shares, mix
 
 ORDER = 4
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 MARGIN, Z, SPAN = 2.0, 8.0, 4.0
 HELD_OUT, LEAST, OWN, OTHER, WIDE = 4, 20, 0.999, 0.05, 3.0  # one in HELD_OUT
 STEP, FAR = 0.01, 4000  # bins of cross-entropy over the mean
 SEEN_AT_MOST = 64  # symbols that a score counts in full: it stays short of 0 and 1 for longer texts
 POINTS = 0x110000
+GATHERED = 1 << 21  # symbols of all languages that a task holds before it counts them
 BITS = 21  # of a code point
 
 _SYMBOL: np.ndarray | None = None
@@ -92,9 +93,10 @@ GRAMS = "lang string, held boolean, context long, last int, n long"
 
 
 def _count(batches):
-    """Counted n-grams of this task, aggregated by a few million symbols."""
+    """Counted n-grams of this task, aggregated by GATHERED symbols."""
     schema = pa.schema([("lang", pa.string()), ("held", pa.bool_()), ("context", pa.int64()), ("last", pa.int32()), ("n", pa.int64())])
     held: dict[tuple[str, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+    size = 0
 
     def flush(key):
         parts = held.pop(key)
@@ -115,8 +117,11 @@ def _count(batches):
                 context, last, _, _ = spell(part)
                 if len(last):
                     held.setdefault(key, []).append((context, last))
-                if key in held and sum(len(x) for _, x in held[key]) > 1 << 22:
-                    yield flush(key)
+                    size += len(last)
+                if size > GATHERED:
+                    for k in list(held):
+                        yield flush(k)
+                    size = 0
     for key in list(held):
         yield flush(key)
 
