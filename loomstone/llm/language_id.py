@@ -24,6 +24,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,11 +129,12 @@ def _count(batches):
 
 def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Interpolated Kneser-Ney from counted 4-grams (lang, context, last, n): tables (lang, k, context, last, p) of the n-grams of
-    all orders k seen and (lang, k, context, back) of their contexts. Lower orders count the n-grams above that they end."""
-    tables = {ORDER: grams.select("lang", "context", "last", "n")}
+    all orders k seen and (lang, k, context, back) of their contexts. Lower orders count the n-grams above that they end. Every step is a kept table, so plans stay small."""
+    scratch = Scratch(grams.sparkSession)
+    tables = {ORDER: scratch.keep(grams.select("lang", "context", "last", "n"), "n")}
     for k in range(ORDER - 1, 0, -1):
         shorter = F.col("context").bitwiseAND(F.lit((1 << BITS * (k - 1)) - 1)).alias("context")
-        tables[k] = tables[k + 1].select("lang", shorter, "last").groupBy("lang", "context", "last").agg(F.count("*").alias("n"))
+        tables[k] = scratch.keep(tables[k + 1].select("lang", shorter, "last").groupBy("lang", "context", "last").agg(F.count("*").alias("n")), "n")
     below = tables[1].groupBy("lang").agg((1 / (F.count("*") + 1)).alias("below"))  # one more for symbols never seen
     grown, backs = [], []
     for k in range(1, ORDER + 1):
@@ -140,26 +142,33 @@ def kneser_ney(grams: DataFrame) -> tuple[DataFrame, DataFrame]:
         ones, twos = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)
         discount = t.groupBy("lang").agg(F.when((ones > 0) & (twos > 0), ones / (ones + 2 * twos)).otherwise(0.5).alias("d"))
         context = t.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.count("*").alias("types")).join(F.broadcast(discount), "lang")
-        context = context.select("lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("back"))
+        context = scratch.keep(context.select("lang", "context", "total", "d", (F.col("d") * F.col("types") / F.col("total")).alias("back")), "contexts")
         t = t.join(context, ["lang", "context"]).withColumn("tail", F.col("context").bitwiseAND(F.lit((1 << BITS * max(0, k - 2)) - 1)))
         t = t.join(F.broadcast(below), "lang") if k == 1 else t.join(below, ["lang", "tail", "last"])
         t = t.withColumn("p", F.greatest(F.col("n") - F.col("d"), F.lit(0.0)) / F.col("total") + F.col("back") * F.col("below"))
-        grown.append(t.select("lang", F.lit(k).alias("k"), "context", "last", "n", "p"))
+        t = scratch.keep(t.select("lang", F.lit(k).alias("k"), "context", "last", "n", "p"), "p")
+        grown.append(t)
         backs.append(context.select("lang", F.lit(k).alias("k"), "context", "back"))
         below = t.select("lang", F.col("context").alias("tail"), "last", F.col("p").alias("below"))
     union = lambda parts: functools.reduce(DataFrame.unionByName, parts)
     return union(grown), union(backs)
 
 
+def codes(column: pa.ChunkedArray, number: dict[str, int]) -> np.ndarray:
+    """The numbers of the strings of a column."""
+    told = pc.index_in(column, pa.array(list(number), pa.string()))
+    return np.concatenate([np.zeros(0, np.int64), *(np.fromiter(number.values(), np.int64)[c.to_numpy()] for c in told.chunks)])
+
+
 class Model:
     """Per order, sorted hashes of n-grams with rows of log-probabilities and sorted contexts with rows of log back-off weights; NaN
     where a language has none."""
 
     def __init__(self, grams: pa.Table, backs: pa.Table):
-        self.langs = sorted(set(grams.column("lang").to_pylist()))
+        self.langs = sorted(pc.unique(grams.column("lang")).to_pylist())
         number = {lang: k for k, lang in enumerate(self.langs)}
         column = lambda t, name, kind: t.column(name).to_numpy().astype(kind)
-        of = lambda t: np.fromiter((number[x] for x in t.column("lang").to_pylist()), np.int64, t.num_rows)
+        of = lambda t: codes(t.column("lang"), number)
         lang, k, context, last, n, p = of(grams), column(grams, "k", int), column(grams, "context", np.int64), column(grams, "last", np.int64), column(grams, "n", float), column(grams, "p", float)
         b_lang, b_k, b_context, back = of(backs), column(backs, "k", int), column(backs, "context", np.int64), column(backs, "back", float)
         self.floor = -np.log(np.bincount(lang[k == 1], minlength=len(self.langs)) + 1.0)
