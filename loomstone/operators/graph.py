@@ -12,8 +12,11 @@ from loomstone.functions import text as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder executors and driver share; a local one only where none is named."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints/loomstone"
+    """The folder executors and driver share; where none is named, a local one in local mode and an error on a cluster."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return root or "/tmp/checkpoints/loomstone"
 
 
 def cut(df: DataFrame) -> DataFrame:
