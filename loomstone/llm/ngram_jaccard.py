@@ -510,6 +510,10 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
 
     buckets = max(32, 2 * rows.rdd.getNumPartitions(), parts)
     dealt = scratch.keep(ids.select("d1", "keys").mapInArrow(_deal_keys(buckets), "bucket int, key long, d1 long, packed binary"), "keys")
+    # Prefixes aren't read any more; the largest column goes before the pairs are shuffled.
+    whole, rows = rows, scratch.keep(rows.select("doc_id", "th", "n", "d1", "d2", "sig"), "rows")
+    scratch.drop(whole)
+    del ids, whole
     met = dealt.where("packed is not null").select("bucket", "packed").repartition(max(parts, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key long, d1 long")
     shared = dealt.where("packed is null").select("key", "d1").unionByName(met).distinct()
     sides = F.explode(F.expr("array(named_struct('band', band, 'role', 1), named_struct('band', band + 1, 'role', 0))"))
