@@ -12,6 +12,7 @@ from loomstone.operators import graph as G
 from loomstone.sources.adapters import symmetric_first
 
 from .registry import query
+from .retrieval import CLAIMS, claim_hits
 
 R6 = T.rounded
 
@@ -25,7 +26,15 @@ def adjacency_of(v):
 
 
 def seeds(v):
-    return v.active.where("id % 10 = 0").select("id")
+    return v.active.select("id")
+
+
+def found(v):
+    """Where an expansion starts: the best hits of the belief search."""
+    return G.cut(claim_hits(v).orderBy("rank", "id").limit(C.CONTEXT_SEEDS).select("id"))
+
+
+FOUND = f"(SELECT id FROM {CLAIMS} ORDER BY rank, id LIMIT {C.CONTEXT_SEEDS})"
 
 
 @query("edge_support", "SELECT src, dst, rel, n, round(weight, 6) AS weight FROM support")
@@ -70,30 +79,30 @@ def neighbours(v):
     return adjacency_of(v).groupBy(F.col("src").alias("id")).agg(F.countDistinct("dst").alias("n"), R6(F.max("weight")).alias("strongest"))
 
 
-@query("khop", """WITH RECURSIVE r(id, depth) AS (SELECT id, 0::BIGINT FROM beliefs WHERE status = 'active' AND id % 10 = 0 UNION SELECT a.dst, r.depth + 1 FROM r JOIN adj a ON a.src = r.id WHERE r.depth < 3)
+@query("khop", f"""WITH RECURSIVE r(id, depth) AS (SELECT id, 0::BIGINT FROM {FOUND} UNION SELECT a.dst, r.depth + 1 FROM r JOIN adj a ON a.src = r.id WHERE r.depth < 3)
     SELECT id, min(depth) AS depth FROM r GROUP BY 1""")
 def khop(v):
-    return G.khop(adjacency_of(v), seeds(v), 3)
+    return G.khop(adjacency_of(v), found(v), 3)
 
 
-@query("graph_expansion", """WITH RECURSIVE r(id, depth) AS (SELECT id, 0::BIGINT FROM beliefs WHERE status = 'active' AND id % 10 = 0 UNION SELECT a.dst, r.depth + 1 FROM r JOIN adj a ON a.src = r.id WHERE r.depth < 2)
-    SELECT id, min(depth) AS depth, coalesce((SELECT min(rel) FROM adj WHERE adj.dst = r.id AND adj.src % 10 = 0 AND adj.src <> r.id), 'reached') AS rel FROM r GROUP BY id HAVING min(depth) > 0""")
+@query("graph_expansion", f"""WITH RECURSIVE s AS MATERIALIZED (SELECT id FROM {FOUND}), r(id, depth) AS (SELECT id, 0::BIGINT FROM s UNION SELECT a.dst, r.depth + 1 FROM r JOIN adj a ON a.src = r.id WHERE r.depth < 2),
+    near AS (SELECT dst, min(rel) AS rel FROM adj WHERE src IN (SELECT id FROM s) GROUP BY 1) SELECT id, min(depth) AS depth, coalesce(any_value(rel), 'reached') AS rel FROM r LEFT JOIN near ON dst = id GROUP BY id HAVING min(depth) > 0""")
 def graph_expansion(v):
-    """Nodes within two hops that are no seeds; label: a direct relation (the first by name), else reached."""
-    adj, own = adjacency_of(v), seeds(v)
+    """Nodes within two hops that are no hits; label: a direct relation (the first by name), else reached."""
+    adj, own = adjacency_of(v), found(v)
     far = G.khop(adj, own, 2).where("depth > 0")
-    label = adj.join(own.withColumnRenamed("id", "src"), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("rel").alias("rel"))
+    label = adj.join(F.broadcast(own.withColumnRenamed("id", "src")), "src", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.min("rel").alias("rel"))
     return far.join(label, "id", "left").select("id", "depth", F.coalesce("rel", F.lit("reached")).alias("rel"))
 
 
-@query("best_path", """WITH RECURSIVE r(seed, id, score, hops) AS (SELECT id, id, 1.0::DOUBLE, 0 FROM beliefs WHERE status = 'active' AND id % 10 = 0
+@query("best_path", """WITH RECURSIVE r(seed, id, score, hops) AS (SELECT id, id, 1.0::DOUBLE, 0 FROM beliefs WHERE status = 'active'
     UNION ALL SELECT r.seed, a.dst, r.score * greatest(a.weight, 1e-9), r.hops + 1 FROM r JOIN adj a ON a.src = r.id WHERE r.hops < 3) SELECT seed, id, round(max(score), 6) AS score FROM r GROUP BY 1, 2""")
 def best_path(v):
     """The greatest product of weights over at most three hops."""
     return G.best_paths(adjacency_of(v), seeds(v), 3).select("seed", "id", R6(F.col("score")).alias("score"))
 
 
-@query("simple_paths", """WITH RECURSIVE r(node, path, hops) AS (SELECT id, [id], 0::BIGINT FROM beliefs WHERE status = 'active' AND id % 10 = 0
+@query("simple_paths", """WITH RECURSIVE r(node, path, hops) AS (SELECT id, [id], 0::BIGINT FROM beliefs WHERE status = 'active'
     UNION ALL SELECT a.dst, list_append(r.path, a.dst), r.hops + 1 FROM r JOIN (SELECT DISTINCT src, dst FROM adj) a ON a.src = r.node WHERE r.hops < 3 AND NOT list_contains(r.path, a.dst))
     SELECT array_to_string(path, '>') AS path, hops FROM r WHERE hops > 0""")
 def simple_paths(v):
@@ -164,11 +173,10 @@ def relate_account(v):
     return rows.groupBy("src").agg(F.count_if(F.col("place") <= 2).alias("kept"), F.count_if(F.col("place") > 2).alias("dropped"))
 
 
-@query("mermaid_edges", """SELECT c AS component, string_agg('n' || src || ' -->|' || rel || '| n' || dst, chr(10) ORDER BY src, dst, rel) AS body FROM edges JOIN
-    (SELECT id, min(c) AS c FROM (""" + COMPONENTS.replace("WITH RECURSIVE", "WITH RECURSIVE") + """ SELECT id, c FROM r) GROUP BY 1) ON id = src GROUP BY 1""")
+@query("mermaid_edges", """SELECT c AS component, src, dst, rel, 'n' || src || ' -->|' || rel || '| n' || dst AS line FROM edges JOIN
+    (SELECT id, min(c) AS c FROM (""" + COMPONENTS + """ SELECT id, c FROM r) GROUP BY 1) ON id = src""")
 def mermaid_edges(v):
-    """One flowchart body a component; a component's lines are gathered, not the graph's."""
+    """Flowchart lines with their component; a body is its lines in the order of src, dst, rel, so no component is gathered."""
     comp = G.components(v.beliefs.select("id"), v.edges).select(F.col("id").alias("src"), "component")
-    line = F.concat(F.lit("n"), F.col("src").cast("string"), F.lit(" -->|"), "rel", F.lit("| n"), F.col("dst").cast("string")).alias("l")
-    rows = v.edges.join(comp, "src").groupBy("component").agg(F.array_sort(F.collect_list(F.struct("src", "dst", "rel", line))).alias("r"))
-    return rows.select("component", F.expr("array_join(transform(r, x -> x.l), '\n')").alias("body"))
+    line = F.concat(F.lit("n"), F.col("src").cast("string"), F.lit(" -->|"), "rel", F.lit("| n"), F.col("dst").cast("string")).alias("line")
+    return v.edges.join(comp, "src").select("component", "src", "dst", "rel", line)

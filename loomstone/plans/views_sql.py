@@ -21,11 +21,11 @@ VIEWS: dict[str, str] = {
         'p' || (user_id % 4) AS project, event_type AS note, strftime(ts, {ISO}) AS created, event_id FROM events, n_beliefs""",
     "outcomes": f"""SELECT event_id AS id, (event_id * 7919 + user_id * 104729) % n AS belief_id,
         CASE event_type WHEN 'view' THEN 'stale' WHEN 'purchase' THEN 'confirmed' ELSE 'contradicted' END AS event, 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,
-        strftime(ts, {ISO}) AS created FROM events, n_beliefs WHERE event_type IN ('view', 'purchase', 'error') AND event_id % 3 = 0""",
+        strftime(ts, {ISO}) AS created FROM events, n_beliefs WHERE event_type IN ('view', 'purchase', 'error')""",
     "walks": f"""SELECT lag(b) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS src, b AS dst, event_id, event_type, 'u' || user_id || '-' || strftime(ts, '%Y-%m-%d') AS session_id,
         strftime(ts, {ISO}) AS created FROM (SELECT *, (event_id * 7919 + user_id * 104729) % n AS b FROM events, n_beliefs)""",
     "raw_edges": """SELECT src, dst, CASE event_type WHEN 'view' THEN 'depends_on' WHEN 'signup' THEN 'specializes' WHEN 'error' THEN 'explains' WHEN 'click' THEN 'contradicts' ELSE 'applies_when' END AS rel,
-        session_id, created, event_id FROM walks WHERE event_id % 25 = 0 AND src <> dst""",
+        session_id, created, event_id FROM walks WHERE src <> dst""",
     "assertions": """SELECT CASE WHEN rel = 'contradicts' THEN least(src, dst) ELSE src END AS src, CASE WHEN rel = 'contradicts' THEN greatest(src, dst) ELSE dst END AS dst, rel, session_id,
         min(created) AS created FROM raw_edges GROUP BY ALL""",
     "edges": "SELECT src, dst, rel, min(session_id) AS session_id, min(created) AS created FROM assertions GROUP BY src, dst, rel",

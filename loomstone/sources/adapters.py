@@ -77,13 +77,13 @@ class Views:
 
     @cached_property
     def outcomes(self) -> DataFrame:
-        rows = self._events.where("event_type in ('view', 'purchase', 'error') and event_id % 3 = 0")
+        rows = self._events.where("event_type in ('view', 'purchase', 'error')")
         return rows.selectExpr("event_id id", "belief_id", "case event_type when 'view' then 'stale' when 'purchase' then 'confirmed' else 'contradicted' end event", "session_id", f"{iso('ts')} created")
 
     @cached_property
     def assertions(self) -> DataFrame:
         w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-        rows = self._events.withColumn("from", F.lag("belief_id").over(w)).where("event_id % 25 = 0 and from <> belief_id")
+        rows = self._events.withColumn("from", F.lag("belief_id").over(w)).where("from <> belief_id")
         rel = "case event_type when 'view' then 'depends_on' when 'signup' then 'specializes' when 'error' then 'explains' when 'click' then 'contradicts' else 'applies_when' end"
         rows = rows.selectExpr("from src", "belief_id dst", f"{rel} rel", "session_id", f"{iso('ts')} created")
         return symmetric_first(rows).groupBy("src", "dst", "rel", "session_id").agg(F.min("created").alias("created"))
