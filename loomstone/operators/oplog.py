@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import cut
+
 
 def canonical(prefix: str = "") -> Column:
     """The total order of operations: logical clock, machine, machine sequence; never the wall clock."""
@@ -64,9 +66,18 @@ def replace_conflicts(ops: DataFrame, key: list[str]) -> DataFrame:
     return ops.groupBy(*key, "lamport").agg(F.countDistinct("machine_id").alias("n_machines"), F.min("payload").alias("a_text"), F.max("payload").alias("b_text")).where("n_machines > 1")
 
 
-def deferred(ops: DataFrame, known: DataFrame) -> DataFrame:
-    """Operations that refer to a uid (column ref) that no accepted operation or belief has made known (column uid)."""
-    return ops.join(known.select(F.col("uid").alias("ref")).distinct(), "ref", "left_anti")
+def deferred(ops: DataFrame, known: DataFrame, most: int = 1000) -> DataFrame:
+    """Operations that still wait when no more can be applied: one is applied when its ``ref`` is known, and makes its ``uid`` known.
+
+    Each round joins with what the round before made known; null refs wait for ever."""
+    waiting, front = cut(ops), known.select(F.col("uid").alias("ref")).distinct()
+    for _ in range(most):
+        ready = cut(waiting.join(front, "ref", "left_semi").select("uid"))
+        if ready.isEmpty():
+            return waiting
+        waiting = cut(waiting.join(front, "ref", "left_anti").select(*ops.columns))
+        front = ready.select(F.col("uid").alias("ref")).distinct()
+    raise RuntimeError(f"operations did not settle in {most} rounds")
 
 
 def append(log: DataFrame, new: DataFrame, machine: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -62,14 +63,21 @@ def replay(ops: DataFrame) -> DataFrame:
     Adds of a text that is there change nothing; a replacement takes the place of its key's entry or is added."""
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries: list[tuple[int, str]] = []
+        entries: list[str] = []
+        place: dict[int, int] = {}  # first entry of each key; a null key has none
+        there: Counter[str] = Counter()
         for r in pdf.sort_values(["lamport", "machine_id", "machine_seq"]).itertuples():
-            at = next((i for i, (k, _) in enumerate(entries) if k == r.k), None)
+            at, low = place.get(r.k), r.entry.lower()
             if r.op == "replace" and at is not None:
-                entries[at] = (r.k, r.entry)
-            elif not any(e.lower() == r.entry.lower() for _, e in entries):
-                entries.append((r.k, r.entry))
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]] * len(entries), "place": range(len(entries)), "entry": [e for _, e in entries]})
+                there[entries[at].lower()] -= 1
+                entries[at] = r.entry
+                there[low] += 1
+            elif not there[low]:
+                if not pd.isna(r.k):
+                    place.setdefault(r.k, len(entries))
+                entries.append(r.entry)
+                there[low] += 1
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]] * len(entries), "place": range(len(entries)), "entry": entries})
 
     return ops.select("bucket", "lamport", "machine_id", "machine_seq", "k", "op", "entry").groupBy("bucket").applyInPandas(fold, "bucket string, place long, entry string")
 

@@ -114,10 +114,13 @@ def belief_replay(v):
     return first.join(more, "k").join(gone, "k", "left").withColumn("status", F.when(F.col("superseded_by").isNull(), "active").otherwise("superseded"))
 
 
-@query("deferred_ops", "SELECT op_id FROM log WHERE class = 'belief' AND op = 'supersede' AND k NOT IN (SELECT k FROM accepted WHERE class = 'belief' AND op = 'insert')")
+@query("deferred_ops", """WITH RECURSIVE s AS (SELECT op_id, event_id AS uid, event_id - 7 AS ref FROM accepted WHERE class = 'belief' AND op = 'supersede'),
+    k(uid) AS (SELECT event_id FROM accepted WHERE class = 'belief' AND op = 'insert' UNION SELECT s.uid FROM s JOIN k ON s.ref = k.uid) SELECT op_id FROM s WHERE ref NOT IN (SELECT uid FROM k)""")
 def deferred_ops(v):
-    known = v.accepted.where("class = 'belief' and op = 'insert'").select(F.col("k").alias("uid"))
-    return O.deferred(v.log.where("class = 'belief' and op = 'supersede'").withColumn("ref", F.col("k")), known).select("op_id")
+    """Every supersede refers to the operation seven events earlier, an insert or a supersede that may wait itself."""
+    own = v.accepted.where("class = 'belief'")
+    ops = own.where("op = 'supersede'").selectExpr("op_id", "event_id uid", "event_id - 7 ref")
+    return O.deferred(ops, own.where("op = 'insert'").selectExpr("event_id uid")).select("op_id")
 
 
 @query("replace_conflicts", "SELECT k, lamport, count(DISTINCT machine_id) AS n_machines, min(payload) AS a_text, max(payload) AS b_text FROM (SELECT * REPLACE (lamport // 200 AS lamport) FROM accepted WHERE class = 'memory') GROUP BY 1, 2 HAVING count(DISTINCT machine_id) > 1")

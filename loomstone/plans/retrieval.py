@@ -18,6 +18,7 @@ from .registry import query
 
 R6 = T.rounded
 TERMS = ["the", "and", "thtion"]
+SCOPE = "src1"  # the curated file of the asker
 
 
 def duck_bm25(source: str, key: str, content: str, terms: list[str], where: str = "TRUE") -> str:
@@ -263,16 +264,19 @@ def skill_candidates(v):
 
 @query("ask_pack", f"""SELECT 'belief' AS tier, id::VARCHAR AS ref, round(rank, 6) AS rank FROM (SELECT id, rank FROM {CLAIMS} ORDER BY rank, id LIMIT 12) UNION ALL
     SELECT 'session', session_id, round(min(rank), 6) FROM {MSG} GROUP BY 2 UNION ALL
+    SELECT 'memory', doc_id || ':' || pos, NULL::DOUBLE FROM entries WHERE bucket = '{SCOPE}' UNION ALL
     SELECT DISTINCT 'structure', dst::VARCHAR, NULL::DOUBLE FROM adj WHERE src IN (SELECT id FROM {CLAIMS} ORDER BY rank, id LIMIT 12) AND dst NOT IN (SELECT id FROM {CLAIMS} ORDER BY rank, id LIMIT 12)""")
 def ask_pack(v):
-    """Beliefs, sessions and what the graph adds to them, by tier."""
+    """Beliefs, sessions, the curated entries of the asker's scope (whole, not matched) and what the graph adds, by tier."""
     top = G.cut(claim_hits(v).orderBy("rank", "id").limit(12))
     adj = G.adjacency(G.active_edges(G.edge_support(v.assertions), v.active))
     near = adj.join(F.broadcast(top.select(F.col("id").alias("src"))), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(top, "id", "left_anti")
     beliefs = top.select(F.lit("belief").alias("tier"), F.col("id").cast("string").alias("ref"), R6(F.col("rank")).alias("rank"))
     sessions = scored(v).groupBy("session_id").agg(R6(F.min("rank")).alias("rank")).select(F.lit("session").alias("tier"), F.col("session_id").alias("ref"), "rank")
     structure = near.select(F.lit("structure").alias("tier"), F.col("id").cast("string").alias("ref"), F.lit(None).cast("double").alias("rank"))
-    return beliefs.unionByName(sessions).unionByName(structure)
+    curated = v.entries.where(F.col("bucket") == SCOPE)
+    memory = curated.select(F.lit("memory").alias("tier"), F.concat_ws(":", "doc_id", "pos").alias("ref"), F.lit(None).cast("double").alias("rank"))
+    return beliefs.unionByName(sessions).unionByName(memory).unionByName(structure)
 
 
 @query("context_candidates", f"""WITH seeds AS (SELECT id FROM {CLAIMS} ORDER BY rank, id LIMIT 12), post AS (SELECT id, length(claim) AS len, coalesce(total, 0) >= 3 AS calibrated, CASE WHEN coalesce(total, 0) >= 3

@@ -281,3 +281,30 @@ def test_literal_scan_follows_only_where_no_row_has_all_terms(spark):
     found = lambda r: [tuple(x) for x in session_search(SimpleNamespace(msg=frame(spark, r, schema))).select("session_id", "rowid", F.col("rank").isNull()).collect()]
     assert found(rows) == [("s1", 1, True)]
     assert found([*rows, ("s3", 1, "p1", "thtion and the")]) == [("s3", 1, False)]
+
+
+def test_deferred_operations_apply_once_what_they_wait_for_does(spark):
+    from loomstone.operators.oplog import deferred
+
+    ops = frame(spark, [("c", 4, 3), ("b", 3, 2), ("a", 2, 1), ("x", 9, 8), ("y", 8, 9), ("n", 10, None)], "op_id string, uid long, ref long")
+    known = frame(spark, [(1,), (1,)], "uid long")
+    assert sorted(r["op_id"] for r in deferred(ops, known).collect()) == ["n", "x", "y"]
+    assert deferred(ops, known.where("uid = 0")).count() == 6
+
+
+def test_replay_equals_a_scan_of_all_entries(spark):
+    import random
+
+    from loomstone.operators.signing import replay
+
+    draw = random.Random(5)
+    ops = [("b", i, "m", i, draw.choice([None, *range(6)]), draw.choice(["put", "replace"]), draw.choice(["one", "One", "two", "three", "four", "five"])) for i in range(80)]
+    want: list[tuple] = []
+    for _, _, _, _, k, op, entry in ops:
+        at = next((i for i, (key, _) in enumerate(want) if k is not None and key == k), None)
+        if op == "replace" and at is not None:
+            want[at] = (k, entry)
+        elif not any(e.lower() == entry.lower() for _, e in want):
+            want.append((k, entry))
+    got = replay(frame(spark, ops, "bucket string, lamport long, machine_id string, machine_seq long, k long, op string, entry string"))
+    assert [r["entry"] for r in got.orderBy("place").collect()] == [e for _, e in want]
