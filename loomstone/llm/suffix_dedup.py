@@ -280,16 +280,25 @@ def _contexts(batches):
 
 
 def dense(key: np.ndarray) -> np.ndarray:
-    """Ranks from 1; equal keys have equal ranks."""
-    return np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+    """Ranks from 1, of four bytes each; equal keys have equal ranks."""
+    order = np.argsort(key)
+    key = key[order]
+    rank = np.ones(len(key), np.int32)
+    rank[1:] += np.cumsum(key[1:] != key[:-1], dtype=np.int32)
+    out = np.empty_like(rank)
+    out[order] = rank
+    return out
 
 
 def doubled(rank: np.ndarray, ends: np.ndarray, step: int, enough: int) -> np.ndarray:
     """Prefix doubling: ranks by the first ``step`` symbols become ranks by ``enough`` or more, up to the end of each one's string."""
-    place = np.arange(len(rank))
+    left = (ends - np.arange(len(rank))).astype(np.int32)
     while step < enough:
-        after = np.where(place + step < ends, rank[np.minimum(place + step, len(rank) - 1)], 0)
-        now = dense(rank * (int(rank.max()) + 1) + after)
+        key = rank.astype(np.int64)
+        key *= int(rank.max()) + 1
+        key[:-step] += np.where(left[:-step] > step, rank[step:], 0)
+        now = dense(key)
+        del key
         if now.max() == len(now):
             return now
         rank, step = now, 2 * step
@@ -303,7 +312,7 @@ def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     gap = b"\0" * TRIGGER
     raw = np.frombuffer(gap + gap.join(texts) + gap, np.uint8)
     begin = TRIGGER + np.concatenate(([0], np.cumsum(size + TRIGGER)[:-1]))
-    symbol = raw.astype(np.int64) + 1
+    symbol = raw.astype(np.int16) + np.int16(1)
     for k in range(TRIGGER):  # what stands between texts is a symbol of its own, 0
         symbol[begin - 1 - k] = 0
         symbol[len(raw) - 1 - k] = 0
@@ -314,22 +323,28 @@ def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
             power = power * power
             step *= 2
     cut = mix(h) % U64(EVERY) == 0
+    del h
     cut[begin - TRIGGER] = cut[-1] = True
     cuts = np.flatnonzero(cut)
     # The dictionary: distinct phrases, triggers at both ends.
     first, last = cuts[:-1], cuts[1:] + TRIGGER
-    view = memoryview(symbol.astype(np.int16)).cast("B")
+    view = memoryview(symbol).cast("B")
     digest = np.array([xxhash.xxh3_64_intdigest(view[2 * a : 2 * b]) for a, b in zip(first.tolist(), last.tolist())], U64)
     _, sample, phrase = np.unique(digest, return_index=True, return_inverse=True)
     length = (last - first)[sample]
     base = np.concatenate(([0], np.cumsum(length)))
     book = symbol[np.repeat(first[sample] - base[:-1], length) + np.arange(base[-1])]
-    ends = np.repeat(base[1:], length)
+    ends = np.repeat(base[1:].astype(np.int32), length)
+    left = ends - np.arange(len(book), dtype=np.int32)
     # Its suffix array, from 7 symbols on.
     packed = np.zeros(len(book), np.int64)
     for k in range(7):
-        packed = (packed << 9) | np.where(np.arange(len(book)) + k < ends, np.concatenate((book[k:], np.zeros(min(k, len(book)), np.int64))), 0)
-    rank = doubled(dense(packed), ends, 7, int(length.max()))
+        packed <<= 9
+        packed[: len(book) - k] |= np.where(left[: len(book) - k] > k, book[k:], np.int16(0))
+    rank = dense(packed)
+    del packed, left, book
+    rank = doubled(rank, ends, 7, int(length.max()))
+    del ends
     # The parse and its suffix array: phrases by rank, as many as a window can reach into.
     parse = rank[base[:-1]][phrase]
     reach, k = np.concatenate((cuts, np.full(WINDOW, cuts[-1] + WINDOW))), 1
@@ -342,7 +357,11 @@ def corpus_order(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     offset = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
     at = begin[text] + offset
     j = np.searchsorted(cuts, at, "right") - 1
-    place = np.argsort(rank[base[phrase[j]] + at - cuts[j]] * (int(order.max()) + 1) + order[j + 1], kind="stable")
+    key = rank[base[phrase[j]] + at - cuts[j]].astype(np.int64)
+    key *= int(order.max()) + 1
+    key += order[j + 1]
+    place = np.argsort(key, kind="stable")
+    del key, j
     at, text, offset = at[place], text[place], offset[place]
     same = np.zeros(len(at), bool)
     if len(at):
@@ -389,12 +408,13 @@ def _compare(batches):
 
     held, n = [], 0
     for t in grouped(batches, 1):
-        if t.num_rows > 1:
-            held.append(t)
-            n += t.num_rows
-        if n > PART:
+        if t.num_rows < 2:
+            continue
+        if held and n + t.num_rows > PART:
             yield flush(held)
             held, n = [], 0
+        held.append(t)
+        n += t.num_rows
     if held:
         yield flush(held)
 
