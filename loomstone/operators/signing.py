@@ -57,6 +57,28 @@ def read_bundle(bundle: DataFrame) -> DataFrame:
     return checked.select(F.explode(F.split("body", "\n")).alias("l")).select(F.from_json("l", schema).alias("o")).select("o.*")
 
 
+#: Hexadecimal digits that tell the ranges of each level of a digest: a million ranges of rows, 256 of ranges, one.
+LEVELS = (5, 2, 0)
+
+
+def rows_digest(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(n, sha256) of the multiset of rows, whatever their order and partitions; one row, also for an empty table.
+
+    A row is the JSON array of its columns as text (null stays null) behind its length in bytes. Equal rows are counted
+    before the shuffle; the SHA-256 of rows are sorted and digested by range of hash, ranges by range of ranges,
+    so a task gathers a millionth of the distinct rows or 4096 digests.
+    """
+    body = F.to_json(F.array(*(F.col(c).cast("string") for c in columns)))
+    rows = df.select(F.sha2(F.concat(F.octet_length(body).cast("string"), F.lit(":"), body), 256).alias("path"))
+    rows = rows.groupBy("path").agg(F.count("*").alias("n")).withColumn("line", F.concat("path", F.lit(":"), F.col("n").cast("string")))
+    for digits in LEVELS:
+        lines = F.array_join(F.array_sort(F.collect_list("line")), "\n")
+        rows = rows.groupBy(*([F.substring("path", 1, digits).alias("path")] if digits else [])).agg(F.sum("n").alias("n"), F.sha2(lines, 256).alias("sha256"))
+        if digits:
+            rows = rows.withColumn("line", F.concat("path", F.lit(":"), "sha256"))
+    return rows.select(F.coalesce("n", F.lit(0)).alias("n"), "sha256")
+
+
 def replay(ops: DataFrame) -> DataFrame:
     """(bucket, place, entry) after adds ('put') and replacements ('replace' of key k) in canonical order.
 

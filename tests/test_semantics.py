@@ -308,3 +308,33 @@ def test_replay_equals_a_scan_of_all_entries(spark):
             want.append((k, entry))
     got = replay(frame(spark, ops, "bucket string, lamport long, machine_id string, machine_seq long, k long, op string, entry string"))
     assert [r["entry"] for r in got.orderBy("place").collect()] == [e for _, e in want]
+
+
+def test_digest_of_rows_ignores_order_and_counts_repeats(spark):
+    import hashlib
+    import json
+
+    def naive(rows):
+        sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        level, n = {}, 0
+        for r in rows:
+            body = json.dumps(list(r), separators=(",", ":"), ensure_ascii=False)
+            path = sha(f"{len(body.encode())}:{body}")
+            level[path] = level.get(path, 0) + 1
+            n += 1
+        for digits in (5, 2, 0):
+            up = {}
+            for path, d in level.items():
+                up.setdefault(path[:digits], []).append(f"{path}:{d}")
+            level = {k: sha("\n".join(sorted(v))) for k, v in up.items()}
+        return n, level.get("", sha(""))
+
+    def run(rows, parts=1):
+        return tuple(K.rows_digest(spark.createDataFrame(rows, "a string, b string").repartition(parts), ["a", "b"]).first())
+
+    rows = [(f"x{i % 40}", None if i % 7 == 0 else "null" if i % 7 == 1 else "d\u00e9j\u00e0 \"v\"") for i in range(300)]
+    assert run(rows) == run(rows[::-1], 4) == naive(rows)
+    assert run([("a", "b")]) != run([("a", "b")] * 2) == naive([("a", "b")] * 2)
+    assert run([("ab", "c")]) != run([("a", "bc")])
+    assert run([("a", None)]) != run([("a", "null")])
+    assert run([]) == naive([])
