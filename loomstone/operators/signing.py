@@ -8,7 +8,7 @@ import json
 from collections import Counter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .oplog import canonical
@@ -40,21 +40,46 @@ def verified(ops: DataFrame, key: bytes) -> DataFrame:
     return ops.withColumn("valid", F.coalesce(F.col("mac") == _macs(key), F.lit(False)))
 
 
-def write_bundle(ops: DataFrame, parts: int = 16) -> DataFrame:
-    """Rows (part, n, sha256, body): operations as JSON lines in canonical order; parts are hash ranges of op_id, so none holds the log."""
-    line = F.to_json(F.struct("op_id", "machine_id", "machine_seq", "lamport", "class", "op", "project_key", "payload"))
+def _or_fail(holds, message: str):
+    """A condition that stops the query where it doesn't hold."""
+    return F.when(holds, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
+def write_bundle(ops: DataFrame, key: bytes, parts: int = 16) -> DataFrame:
+    """Rows (part, parts, n, sha256, body): signed operations as JSON lines in canonical order; parts are hash ranges of op_id, so
+    none holds the log. An operation whose MAC isn't the one under ``key`` stops the export."""
+    ops = verified(ops, key).where(_or_fail(F.col("valid"), "an operation isn't signed by this key; no bundle is written"))
+    line = F.to_json(F.struct("op_id", "machine_id", "machine_seq", "lamport", "class", "op", "project_key", "payload", "mac"))
     rows = ops.select(F.expr(f"pmod(xxhash64(op_id), {parts})").alias("part"), F.struct(canonical().alias("o"), line.alias("line")).alias("x"))
     rows = rows.groupBy("part").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    rows = rows.select("part", F.size("xs").alias("n"), F.expr("array_join(transform(xs, x -> x.line), '\n')").alias("body"))
+    rows = rows.select("part", F.lit(parts).alias("parts"), F.size("xs").alias("n"), F.expr("array_join(transform(xs, x -> x.line), '\n')").alias("body"))
     return rows.withColumn("sha256", F.sha2("body", 256))
 
 
-def read_bundle(bundle: DataFrame) -> DataFrame:
-    """Operations of the parts whose digest and count hold; a broken part makes the whole read fail."""
+def read_bundle(bundle: DataFrame, key: bytes) -> DataFrame:
+    """Operations of a bundle; the read fails if a part's digest or count is wrong, an operation repeats, stands in a part that isn't
+    its own, or isn't signed by ``key``."""
     intact = (F.sha2("body", 256) == F.col("sha256")) & (F.size(F.split("body", "\n")) == F.col("n"))
-    checked = bundle.withColumn("body", F.when(intact, F.col("body")).otherwise(F.raise_error(F.lit("bundle part is damaged"))))
-    schema = "op_id string, machine_id string, machine_seq long, lamport long, class string, op string, project_key string, payload string"
-    return checked.select(F.explode(F.split("body", "\n")).alias("l")).select(F.from_json("l", schema).alias("o")).select("o.*")
+    schema = "op_id string, machine_id string, machine_seq long, lamport long, class string, op string, project_key string, payload string, mac string"
+    text = F.concat(F.lit("["), F.array_join(F.split("body", "\n"), ","), F.lit("]"))
+    lines = bundle.where(_or_fail(intact, "bundle part is damaged")).select("part", "parts", "n", F.from_json(text, f"array<struct<{schema}>>").alias("os"))
+    own = F.expr("size(array_distinct(os.op_id)) = n and forall(os, o -> o.op_id is not null and pmod(xxhash64(o.op_id), parts) = part)")
+    ops = lines.where(_or_fail(F.coalesce(own, F.lit(False)), "bundle repeats or misplaces an operation")).select(F.explode("os").alias("o")).select("o.*")
+    return verified(ops, key).where(_or_fail(F.col("valid"), "bundle holds an operation that isn't signed by this key")).drop("valid", "mac")
+
+
+def export_bundle(ops: DataFrame, key: bytes, path: str) -> None:
+    """Write a bundle as Parquet to a new folder; an existing one is never overwritten."""
+    write_bundle(ops, key).write.mode("error").parquet(path)
+
+
+def import_bundle(spark: SparkSession, path: str, key: bytes) -> DataFrame:
+    """Operations of the bundle at ``path``, handed out only after the whole of it has been validated."""
+    bundle = spark.read.parquet(path)
+    if not bundle.groupBy("part").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        raise ValueError("bundle repeats a part")
+    read_bundle(bundle, key).agg(F.count("*")).first()
+    return read_bundle(bundle, key)
 
 
 #: Hexadecimal digits that tell the ranges of each level of a digest: a million ranges of rows, 256 of ranges, one.

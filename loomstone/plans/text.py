@@ -143,8 +143,8 @@ def memory_replay(v):
 
 @query("bundle_roundtrip", "SELECT count(*) AS n FROM accepted")
 def bundle_roundtrip(v):
-    """Accepted operations written as a bundle in canonical order, with a digest for every part, and read back."""
-    return G.read_bundle(G.write_bundle(v.accepted)).agg(F.count("*").alias("n"))
+    """Accepted operations, signed, written as a bundle in canonical order with a digest for every part, and read back verified."""
+    return G.read_bundle(G.write_bundle(G.signed(v.accepted, b"key"), b"key"), b"key").agg(F.count("*").alias("n"))
 
 
 @query("digest", """WITH hashed AS (SELECT sha256(strlen(body) || ':' || body) AS path FROM (SELECT to_json([uid, subject, status])::VARCHAR AS body FROM beliefs)),

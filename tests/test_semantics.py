@@ -171,11 +171,32 @@ def test_mac_and_tampering(spark):
     assert K.verified(signed.withColumn("mac", F.lit(None).cast("string")), b"secret").where("valid").count() == 0
 
 
-def test_damaged_bundle_is_refused(spark):
-    bundle = K.write_bundle(frame(spark, ops_rows(), OPS))
-    assert K.read_bundle(bundle).count() == 40
+def test_bundles_that_do_not_hold_are_refused(spark, tmp_path):
+    ops, key = K.signed(frame(spark, ops_rows(), OPS), b"secret"), b"secret"
+    path = str(tmp_path / "bundle")
+    K.export_bundle(ops, key, path)
+    back = K.import_bundle(spark, path, key)
+    same = [c for c in back.columns if c != "payload"]
+    assert sorted(back.select(same).collect()) == sorted(ops.select(same).collect())
+    assert back.where("payload is not null").count() == ops.where("payload is not null").count()
+    with pytest.raises(Exception, match="already exists"):
+        K.export_bundle(ops, key, path)
+    with pytest.raises(Exception, match="no bundle is written"):
+        K.write_bundle(ops.withColumn("lamport", F.col("lamport") + 1), key).collect()
+    with pytest.raises(Exception, match="isn't signed by this key"):
+        K.import_bundle(spark, path, b"other")
+    bundle = K.write_bundle(ops, key)
     with pytest.raises(Exception, match="damaged"):
-        K.read_bundle(bundle.withColumn("body", F.concat("body", F.lit("x")))).collect()
+        K.read_bundle(bundle.withColumn("body", F.concat("body", F.lit("x"))), key).collect()
+    twice = bundle.withColumn("body", F.concat("body", F.lit("\n"), "body")).withColumn("n", F.col("n") * 2).withColumn("sha256", F.sha2("body", 256))
+    with pytest.raises(Exception, match="repeats or misplaces"):
+        K.read_bundle(twice, key).collect()
+    with pytest.raises(Exception, match="repeats or misplaces"):
+        K.read_bundle(bundle.withColumn("part", (F.col("part") + 1) % F.col("parts")), key).collect()
+    bundle.union(bundle).write.parquet(str(tmp_path / "double"))
+    with pytest.raises(ValueError, match="repeats a part"):
+        K.import_bundle(spark, str(tmp_path / "double"), key)
+    assert K.read_bundle(K.write_bundle(ops.limit(0), key), key).count() == 0
 
 
 def test_chunks_wait_for_a_gap(spark):
