@@ -152,4 +152,15 @@ def rollout_scan(v):
     return S.rollout_messages(said.unionByName(heads)).select("session_id", "rowid", "role")
 
 
+@query("header_probe", """WITH lines AS (SELECT session_id, rowid, 'T ' || content AS line FROM msg UNION ALL
+    SELECT session_id, 1000, '{"type":"session_meta","payload":{"id":"t' || session_id || '"}}' FROM sessions),
+    ends AS (SELECT session_id, line, sum(length(line) + 1) OVER (PARTITION BY session_id ORDER BY rowid) AS e FROM lines)
+    SELECT session_id, max(CASE WHEN line LIKE '{"type":"session_meta"%' AND e <= 65537 THEN 't' || session_id END) AS thread FROM ends GROUP BY 1""")
+def header_probe(v):
+    """Thread ids found in a bounded prefix of each file; the metadata stands after the messages."""
+    said = v.msg.select("session_id", "rowid", F.concat(F.lit("T "), "content").alias("line"))
+    head = F.concat(F.lit('{"type":"session_meta","payload":{"id":"t'), F.col("session_id").cast("string"), F.lit('"}}'))
+    return S.header_probe(said.unionByName(v.sessions.select("session_id", F.lit(1000).cast("long").alias("rowid"), head.alias("line"))))
+
+
 __all__ = ["Window", "first_object"]

@@ -5,7 +5,7 @@ Columns: session_id (one per file), rowid (line number) and line. Malformed line
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstone.functions.scrub import scrub
@@ -74,6 +74,30 @@ def sessions(parsed: DataFrame) -> DataFrame:
     )
 
 
+PROBE = 64 * 1024  # characters of a file that the header probe looks at
+
+
+def header_probe(lines: DataFrame, most: int = PROBE) -> DataFrame:
+    """(session_id, thread): the id in the first metadata record that lies whole within the first ``most`` characters of each file.
+
+    An empty id gives way to ``session_id`` of the same record. Null where there is no such record or its id is no text.
+    Lengths are summed in a window over the file; only lines within the prefix are parsed.
+    """
+    size = F.coalesce(F.char_length("line"), F.lit(0)) + 1
+    ahead = lines.select("session_id", "rowid", "line", F.sum(size).over(Window.partitionBy("session_id").orderBy("rowid")).alias("end"))
+    record = F.when((F.col("end") <= most + 1) & F.col("line").contains("session_meta"), F.try_parse_json("line"))
+    rows = ahead.select("session_id", "rowid", record.alias("v")).withColumn("type", F.try_variant_get("v", "$.type", "string"))
+
+    def text(field):
+        kind = F.schema_of_variant(F.try_variant_get("v", f"$.payload.{field}", "variant"))
+        value = F.try_variant_get("v", f"$.payload.{field}", "string")
+        return F.when(kind == "STRING", value), F.coalesce(kind.isin("VOID") | value.isin("", "0", "false", "[]", "{}"), F.lit(True))
+
+    (first, empty), (second, _) = text("id"), text("session_id")
+    rows = rows.select("session_id", F.when(F.col("type") == "session_meta", F.struct("rowid", F.when(empty, second).otherwise(first).alias("thread"))).alias("m"))
+    return rows.groupBy("session_id").agg(F.min("m").alias("m")).select("session_id", F.nullif("m.thread", F.lit("")).alias("thread"))
+
+
 def rollout_messages(lines: DataFrame) -> DataFrame:
     """The second dialect: metadata may stand anywhere in a file and is mandatory; sub-agent sessions are dropped."""
     rows = lines.where(F.ltrim("line").startswith("{")).withColumn("d", F.from_json("line", ROLLOUT)).where("d.type is not null")

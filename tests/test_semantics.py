@@ -359,3 +359,19 @@ def test_digest_of_rows_ignores_order_and_counts_repeats(spark):
     assert run([("ab", "c")]) != run([("a", "bc")])
     assert run([("a", None)]) != run([("a", "null")])
     assert run([]) == naive([])
+
+
+def test_header_probe_stays_in_its_prefix(spark):
+    from loomstone.sources.transcripts import header_probe
+
+    meta = lambda body: '{"type":"session_meta","payload":' + body + "}"
+    head = meta('{"id":"a"}')
+    files = {
+        "found": ["junk", "", head, meta('{"id":"b"}')], "just": ["x" * (99 - len(head)), head], "over": ["x" * (100 - len(head)), head],
+        "second": [meta('{"id":"","session_id":"c"}')], "number": [meta('{"id":5,"session_id":"c"}')], "zero": [meta('{"id":0,"session_id":"c"}')],
+        "list": [meta("[1]"), head], "none": ['{"type":"other"}', "[]"], "cut": [head[:-1], meta('{"session_id":"d"}')], "empty": [meta('{"id":"","session_id":""}')],
+    }
+    rows = [(k, i, x) for k, v in files.items() for i, x in enumerate(v)] + [("null", 0, None)]
+    got = dict(header_probe(spark.createDataFrame(rows, "session_id string, rowid long, line string"), 100).collect())
+    assert {k: v for k, v in got.items() if v is not None} == {"found": "a", "just": "a", "second": "c", "zero": "c", "cut": "d"}
+    assert set(got) == {*files, "null"}
