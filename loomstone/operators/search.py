@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,6 +23,23 @@ def is_code_token(text: str) -> bool:
     return bool(re.search(r"_|\w\.\w|[a-z][A-Z]", text))
 
 
+def typed(docs: DataFrame, key: list[str], content: str, queries: list[str]) -> DataFrame:
+    """(q, key, tier): tier 0 where all phrases of the query stand in the row, 1 where a query that looks like code only stands there
+    literally. A query without words hits nothing. The rows are read once, for all queries."""
+    words = F.concat(F.lit(" "), F.array_join(T.search_terms(F.col(content)), " "), F.lit(" "))
+    rows = docs.select(*key, F.lower(content).alias("_text"), words.alias("_words"))
+
+    def tier(q):
+        phrases = [F.col("_words").contains(" " + " ".join(p) + " ") for p in query_phrases(q)]
+        out = F.when(reduce(lambda a, b: a & b, phrases), F.lit(0)) if phrases else F.lit(None).cast("int")
+        return out.when(F.col("_text").contains(q.lower()), F.lit(1)) if phrases and is_code_token(q) else out
+
+    if not queries:
+        return rows.select(F.lit("").alias("q"), *key, F.lit(0).alias("tier")).limit(0)
+    hits = F.array(*(F.struct(F.lit(q).alias("q"), tier(q).alias("tier")) for q in queries))
+    return rows.select(*key, F.explode(F.filter(hits, lambda h: h.tier.isNotNull())).alias("h")).select("h.q", *key, "h.tier")
+
+
 def stemmed(docs: DataFrame, content: str) -> DataFrame:
     """The content as stemmed terms without diacritics, joined by spaces: an index over it finds other word forms."""
     return docs.withColumn(content, stems(F.col(content)))

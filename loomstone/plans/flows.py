@@ -161,6 +161,3 @@ def header_probe(v):
     said = v.msg.select("session_id", "rowid", F.concat(F.lit("T "), "content").alias("line"))
     head = F.concat(F.lit('{"type":"session_meta","payload":{"id":"t'), F.col("session_id").cast("string"), F.lit('"}}'))
     return S.header_probe(said.unionByName(v.sessions.select("session_id", F.lit(1000).cast("long").alias("rowid"), head.alias("line"))))
-
-
-__all__ = ["Window", "first_object"]

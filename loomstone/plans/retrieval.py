@@ -74,7 +74,8 @@ def search_code(v):
     return first.unionByName(rest.select("session_id", "rowid", F.lit(1).alias("tier"), F.lit(None).cast("double").alias("rank")))
 
 
-@query("session_search", f"SELECT session_id, rowid, round(rank, 6) AS rank FROM {MSG} WHERE n_hit = 3")
+@query("session_search", f"""WITH whole AS (SELECT session_id, rowid, round(rank, 6) AS rank FROM {MSG} WHERE n_hit = 3)
+    SELECT * FROM whole UNION ALL SELECT session_id, rowid, NULL FROM msg WHERE contains(lower(content), '{" ".join(TERMS)}') AND NOT EXISTS (SELECT 1 FROM whole)""")
 def session_search(v):
     """All terms; only where no row has them, rows that hold the query literally, without a rank."""
     full = scored(v).where("n_hit = 3").select("session_id", "rowid", R6(F.col("rank")).alias("rank"), F.lit(3).alias("n_hit"))
@@ -82,6 +83,26 @@ def session_search(v):
     return S.and_or(full.unionByName(literal), 3).select("session_id", "rowid", "rank")
 
 
+TYPED = ["the thtion", "of-the and", "thtion.the", "no_such_word"]  # query strings as a user types them
+
+
+def typed_sql() -> str:
+    """A message is hit if it holds every phrase; where the query looks like code, rows that hold it literally come after."""
+    parts = []
+    for q in TYPED:
+        full = " AND ".join(f"contains(w, ' {' '.join(p)} ')" for p in S.query_phrases(q))
+        tier = f"CASE WHEN {full} THEN 0 WHEN {S.is_code_token(q)} AND contains(lower(content), '{q.lower()}') THEN 1 END"
+        parts.append(f"SELECT '{q}' AS q, session_id, rowid, {tier} AS tier FROM words")
+    words = "SELECT session_id, rowid, content, ' ' || array_to_string(regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+'), ' ') || ' ' AS w FROM msg"
+    return f"WITH words AS ({words}) SELECT * FROM ({' UNION ALL '.join(parts)}) WHERE tier IS NOT NULL"
+
+
+@query("search_typed", typed_sql())
+def search_typed(v):
+    """Several query strings, compiled to phrases, over one scan of the messages; code-like ones also match literally, as a later tier."""
+    return S.typed(v.msg, ["session_id", "rowid"], "content", TYPED)
+
+
 @query("phrase_search", "SELECT a.session_id, a.rowid, count(*) AS n FROM msg_tokens a JOIN msg_tokens b ON a.session_id = b.session_id AND a.rowid = b.rowid AND b.pos = a.pos + 1 WHERE a.term = 'of' AND b.term = 'the' GROUP BY ALL")
 def phrase_search(v):
     return S.phrase(S.postings(v.msg, ["session_id", "rowid"], "content"), ["session_id", "rowid"], ["of", "the"])

@@ -375,3 +375,15 @@ def test_header_probe_stays_in_its_prefix(spark):
     got = dict(header_probe(spark.createDataFrame(rows, "session_id string, rowid long, line string"), 100).collect())
     assert {k: v for k, v in got.items() if v is not None} == {"found": "a", "just": "a", "second": "c", "zero": "c", "cut": "d"}
     assert set(got) == {*files, "null"}
+
+
+def test_typed_queries_are_phrases_and_code_is_also_literal(spark):
+    from loomstone.operators.search import typed
+
+    texts = ["call load_file now", "file load", "reload_files", "Load the file", None, "", "load-file"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {}
+    for r in typed(rows, ["k"], "t", ["load_file", "load file", "--", "Load"]).collect():
+        got.setdefault(r["q"], {})[r["k"]] = r["tier"]
+    assert got == {"load_file": {0: 0, 6: 0, 2: 1}, "load file": {0: 0, 1: 0, 3: 0, 6: 0}, "Load": {0: 0, 1: 0, 3: 0, 6: 0}}
+    assert typed(rows, ["k"], "t", []).count() == 0
