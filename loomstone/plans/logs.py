@@ -307,7 +307,7 @@ STAND_IN = r"(?:\bthe a|\bund der\b|^ou |\bque la\b)"
 @query("mine_corrections", f"SELECT session_id, rowid, regexp_matches(content, '(?i){CORRECTION.replace(chr(39), chr(39) * 2)}') AS correction, regexp_matches(content, '(?i){STAND_IN}') AS stand_in FROM msg WHERE role = 'user'")
 def mine_corrections(v):
     rows = v.msg.where("role = 'user'")
-    return rows.select("session_id", "rowid", F.col("content").rlike("(?i)" + CORRECTION).alias("correction"), F.col("content").rlike("(?i)" + STAND_IN).alias("stand_in"))
+    return rows.select("session_id", "rowid", T.matches(F.col("content"), CORRECTION).alias("correction"), T.matches(F.col("content"), STAND_IN).alias("stand_in"))
 
 
 @query("mine_daily", f"SELECT substr(ts, 1, 10) AS day, count(DISTINCT session_id) AS sessions, count(*) AS user_msgs, count(*) FILTER (regexp_matches(content, '(?i){STAND_IN}')) AS corrections FROM msg WHERE role = 'user' GROUP BY 1")

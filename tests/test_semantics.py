@@ -387,3 +387,32 @@ def test_typed_queries_are_phrases_and_code_is_also_literal(spark):
         got.setdefault(r["q"], {})[r["k"]] = r["tier"]
     assert got == {"load_file": {0: 0, 6: 0, 2: 1}, "load file": {0: 0, 1: 0, 3: 0, 6: 0}, "Load": {0: 0, 1: 0, 3: 0, 6: 0}}
     assert typed(rows, ["k"], "t", []).count() == 0
+
+
+#: Letters beyond ASCII beside words, and letters that fold to ASCII ones: Java's regular expressions differ from SQL's there.
+ODD_MESSAGES = ["éque la vie", "que laé", "xque la", "über und deré", "ou oui", "é ou", "ſtop. now", "stop, now", "i ſaid", "as I SAID so", "you dıdnt read", "DON'T DO THAT", "éno, no", "no, that", "", None, "UND DER", "der und der", "aK the a", "undo thiſ"]
+
+
+@pytest.fixture
+def messages(spark, tmp_path):
+    """Views over a folder with odd messages, and their SQL."""
+    import duckdb
+
+    from loomstone.plans import ORACLE, QUERIES
+
+    rows = [(i // 5, i % 5, "user" if i % 9 else "system", t) for i, t in enumerate(ODD_MESSAGES * 2)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+
+    def both(name):
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+        got, res = QUERIES[name](spark, str(tmp_path)), con.execute(ORACLE[name])
+        names = [d[0] for d in res.description]
+        return sorted(map(tuple, got.select(*names).collect())), sorted(res.fetchall())
+
+    return both
+
+
+def test_corrections_among_letters_beyond_ascii(messages):
+    got, want = messages("mine_corrections")
+    assert got == want and {r[2:] for r in want} == {(False, False), (False, True), (True, False)}
