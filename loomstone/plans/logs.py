@@ -313,7 +313,7 @@ def mine_corrections(v):
 @query("mine_daily", f"SELECT substr(ts, 1, 10) AS day, count(DISTINCT session_id) AS sessions, count(*) AS user_msgs, count(*) FILTER (regexp_matches(content, '(?i){STAND_IN}')) AS corrections FROM msg WHERE role = 'user' GROUP BY 1")
 def mine_daily(v):
     rows = v.msg.where("role = 'user'").groupBy(F.substring("ts", 1, 10).alias("day"))
-    return rows.agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("user_msgs"), F.count_if(F.col("content").rlike("(?i)" + STAND_IN)).alias("corrections"))
+    return rows.agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("user_msgs"), F.count_if(T.matches(F.col("content"), STAND_IN)).alias("corrections"))
 
 
 @query("mine_zscore", f"""WITH p AS (SELECT count(*) FILTER (post = 0)::DOUBLE AS n1, count(*) FILTER (post = 1)::DOUBLE AS n2, count(*) FILTER (post = 0 AND c)::DOUBLE AS c1, count(*) FILTER (post = 1 AND c)::DOUBLE AS c2

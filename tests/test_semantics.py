@@ -416,3 +416,8 @@ def messages(spark, tmp_path):
 def test_corrections_among_letters_beyond_ascii(messages):
     got, want = messages("mine_corrections")
     assert got == want and {r[2:] for r in want} == {(False, False), (False, True), (True, False)}
+
+
+def test_daily_corrections_among_letters_beyond_ascii(messages):
+    got, want = messages("mine_daily")
+    assert got == want
