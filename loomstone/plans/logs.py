@@ -321,7 +321,7 @@ def mine_daily(v):
     SELECT n1, n2, c1, c2, round(CASE WHEN n1 > 0 AND n2 > 0 AND (c1 + c2) > 0 THEN (c1 / n1 - c2 / n2) / sqrt((c1 + c2) / (n1 + n2) * (1 - (c1 + c2) / (n1 + n2)) * (1 / n1 + 1 / n2)) ELSE 0 END, 6) AS z FROM p""")
 def mine_zscore(v):
     """Two-proportion z-score of the correction rate before and after a boundary."""
-    rows = v.msg.where("role = 'user'").select((F.col("ts") >= "2024-01-01T10:00:00Z").alias("post"), F.col("content").rlike("(?i)" + STAND_IN).alias("c"))
+    rows = v.msg.where("role = 'user'").select((F.col("ts") >= "2024-01-01T10:00:00Z").alias("post"), T.matches(F.col("content"), STAND_IN).alias("c"))
     d = lambda cond: F.count_if(cond).cast("double")
     n = rows.agg(d(~F.col("post")).alias("n1"), d(F.col("post")).alias("n2"), d(~F.col("post") & F.col("c")).alias("c1"), d(F.col("post") & F.col("c")).alias("c2"))
     z = "case when n1 > 0 and n2 > 0 and c1 + c2 > 0 then (c1 / n1 - c2 / n2) / sqrt((c1 + c2) / (n1 + n2) * (1 - (c1 + c2) / (n1 + n2)) * (1 / n1 + 1 / n2)) else 0D end"

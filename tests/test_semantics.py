@@ -421,3 +421,8 @@ def test_corrections_among_letters_beyond_ascii(messages):
 def test_daily_corrections_among_letters_beyond_ascii(messages):
     got, want = messages("mine_daily")
     assert got == want
+
+
+def test_zscore_among_letters_beyond_ascii(messages):
+    got, want = messages("mine_zscore")
+    assert got == want
