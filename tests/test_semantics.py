@@ -426,3 +426,24 @@ def test_daily_corrections_among_letters_beyond_ascii(messages):
 def test_zscore_among_letters_beyond_ascii(messages):
     got, want = messages("mine_zscore")
     assert got == want
+
+
+def shuffled(spark) -> int:
+    """Rows written to shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_jaccard_candidates_are_not_shuffled(spark):
+    random.seed(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "x" if i % 3 else "y", random.sample(words, 10)) for i in range(900)]
+    rows += [(900 + i, "x", words[:8]) for i in range(4)] + [(950, None, words[:8]), (951, None, words[:8]), (952, "x", [])]
+    want = {(a, b, round(len(s & t) / len(s | t), 6)) for a, x, p in rows for b, y, q in rows if a < b and x == y and x and p and q for s, t in [(set(p), set(q))] if len(s & t) / len(s | t) >= 0.5}
+    before = shuffled(spark)
+    got = M.jaccard_pairs(frame(spark, rows, "id long, block string, toks array<string>"), 0.5).collect()
+    assert sorted((r["a"], r["b"], round(r["score"], 6)) for r in got) == sorted(want) and len(want) > 15
+    # 33,379 rows where pairs that share a token of a prefix are shuffled.
+    assert (n := shuffled(spark) - before) < 15_000, n
