@@ -447,3 +447,25 @@ def test_jaccard_candidates_are_not_shuffled(spark):
     assert sorted((r["a"], r["b"], round(r["score"], 6)) for r in got) == sorted(want) and len(want) > 15
     # 33,379 rows where pairs that share a token of a prefix are shuffled.
     assert (n := shuffled(spark) - before) < 15_000, n
+
+
+def test_dream_candidates_look_no_further_than_needed(spark, tmp_path, monkeypatch):
+    from loomstone.plans import QUERIES
+
+    asked, real = [], M.jaccard_pairs
+    monkeypatch.setattr(M, "jaccard_pairs", lambda rows, threshold: asked.append(threshold) or real(rows, threshold))
+    text = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    docs = [(i * 5, text if i < n else f"alpha beta gamma delta epsilon zeta own{i}", "en") for n in (8,) for i in range(10)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = [(r["a"], r["b"], r["score"]) for r in QUERIES["dream_candidates"](spark, str(tmp_path)).collect()]
+    # Every sum of two ids is a multiple of five, so all pairs are reviewed, and all thresholds are tried.
+    assert got == [] and asked == [0.9, 0.65, 0.4]
+    asked.clear()
+    docs = [(i * 10 + (i % 2) * 6, text if i < 8 else f"alpha beta gamma delta epsilon zeta own{i}", "en") for i in range(10)]
+    docs = [(d if d % 5 == 0 else d // 5 * 5 + 1, t, x) for d, t, x in docs] + [(1000 + 10 * i + 2, text, "en") for i in range(6)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "more/documents.parquet"))
+    got = [(r["a"], r["b"], r["score"]) for r in QUERIES["dream_candidates"](spark, str(tmp_path / "more")).collect()]
+    same = [d for d, t, _ in docs if t == text]
+    kind = lambda d: {0: "user", 1: "user-model"}.get(d % 5, "project:en")
+    want = sorted((a, b, 1.0) for a in same for b in same if a < b and kind(a) == kind(b) and (a + b) % 5)[:12]
+    assert got == want and len(want) == 12 and asked == [0.9]
