@@ -572,7 +572,7 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
         left = scratch.keep(open_.join(tiles, ["key", "band"]), "left")
         if left.isEmpty():
             break
-        placed = in_blocks(left, "nb").join(slim, "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
+        placed = in_blocks(left, "nb").join(slim if most == 1 else sigs, "node").select("key", "band", "i", "j", "role", "blk", "node", "comp", "n", "sig")
         found = placed.repartition(parts, "key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_tiles(most), "a long, b long, key long, band int")
         found = scratch.keep(found, "found")
         scratch.drop(left)
