@@ -469,3 +469,29 @@ def test_dream_candidates_look_no_further_than_needed(spark, tmp_path, monkeypat
     kind = lambda d: {0: "user", 1: "user-model"}.get(d % 5, "project:en")
     want = sorted((a, b, 1.0) for a in same for b in same if a < b and kind(a) == kind(b) and (a + b) % 5)[:12]
     assert got == want and len(want) == 12 and asked == [0.9]
+
+
+def test_clusters_join_only_rows_outside_the_large_component(spark, monkeypatch):
+    random.seed(6)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(i, "x" if i % 3 else "y", random.sample(words, 8)) for i in range(200)]
+    rows += [(200 + i, "x", [f"u{i // 3}a", f"u{i // 3}b", f"own{i}", f"o{i}"]) for i in range(12)] + [(300, "x", []), (301, "y", ["lone"])]
+    rows += [(310, "x", [f"p{i}" for i in range(10)]), (311, "x", [f"p{i}" for i in range(7, 17)]), (312, "x", [f"p{i}" for i in range(15, 25)])]
+    df = frame(spark, rows, "id long, block string, toks array<string>")
+    sizes, real = [], M.covering_pairs
+    monkeypatch.setattr(M, "covering_pairs", lambda left, right, threshold: sizes.append(min(left.count(), right.count())) or real(left, right, threshold))
+    root = {i: i for i, *_ in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, x, p in rows:
+        for b, y, q in rows:
+            if a < b and x == y and p and q and len({*p} & {*q}) / min(len(p), len(q)) >= 0.3:
+                u, v = sorted((find(a), find(b)))
+                root[v] = u
+    got = dict(G.components(df, M.cluster_links(df, 0.3)).collect())
+    assert got == {i: find(i) for i, *_ in rows}
+    assert len(sizes) == 2 and max(sizes) < 150 < len(rows)
