@@ -92,23 +92,18 @@ def extract_json(v):
 def dream_resolution(v):
     """Candidate pairs resolved best first; a row that was merged or superseded is not touched again.
 
-    Depends on order inside a component of candidate pairs only, so each component is folded by itself."""
-    pairs = G.cut(M.overlapping_pairs(claims(v), 0.60))
-    comp = G.components(pairs.select(F.col("a").alias("id")).union(pairs.select("b")), pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        gone, out = set(), []
-        for r in pdf.sort_values(["score", "a", "b"], ascending=[False, True, True]).itertuples():
-            if r.a in gone or r.b in gone:
-                continue
-            action = "merge" if r.score >= 0.95 else "supersede_b" if r.score >= 0.8 else "keep"
-            if action != "keep":
-                gone.add(r.b)
-            out.append((r.a, r.b, action))
-        return pd.DataFrame(out, columns=["a", "b", "action"])
-
-    rows = pairs.join(comp.select(F.col("id").alias("a"), "component"), "a")
-    return rows.groupBy("component").applyInPandas(fold, "a long, b long, action string")
+    Of rows with equal tokens only the least takes part: the others are merged with it, or with what it is merged with at a score of
+    1, before any of them has its turn. Pairs to be kept come last, so they are those of rows that are left by then."""
+    sets = M.classes(claims(v))
+    pairs = G.cut(M.overlapping_classes(sets.select("id", "block", "toks"), 0.60))
+    fell = M.losers(pairs.where("score >= 0.8"))
+    lost = fell.select("a", "b", F.when(F.col("score") >= 0.95, "merge").otherwise("supersede_b").alias("action"))
+    copies = sets.where("size(ids) > 1").select("id", F.explode("ids").alias("b")).where("b <> id")
+    copies = copies.join(fell.where("score = 1").select(F.col("b").alias("id"), "a"), "id", "left").select(F.coalesce("a", "id").alias("a"), "b", F.lit("merge").alias("action"))
+    kept = pairs.where("score < 0.8")
+    for c in "ab":
+        kept = kept.join(fell.select(F.col("b").alias(c)), c, "left_anti")
+    return lost.unionByName(copies).unionByName(kept.select("a", "b", F.lit("keep").alias("action")))
 
 
 @query("draw_selection")

@@ -471,6 +471,49 @@ def test_dream_candidates_look_no_further_than_needed(spark, tmp_path, monkeypat
     assert got == want and len(want) == 12 and asked == [0.9]
 
 
+def resolved(rows):
+    """Brute force of the resolution: rows of (id, block, tokens)."""
+    pairs = [(max(len(s & t) / len(s), len(s & t) / len(t)), a, b) for a, x, p in rows for b, y, q in rows if a < b and x == y and x and p and q for s, t in [(set(p), set(q))]]
+    gone, out = set(), set()
+    for score, a, b in sorted((p for p in pairs if p[0] >= 0.6), key=lambda p: (-p[0], p[1], p[2])):
+        if a not in gone and b not in gone:
+            action = "merge" if score >= 0.95 else "supersede_b" if score >= 0.8 else "keep"
+            out.add((a, b, action))
+            gone |= {b} if action != "keep" else set()
+    return out
+
+
+def test_dream_resolution_shuffles_rows_and_no_candidates(spark, tmp_path):
+    from loomstone.plans import QUERIES
+
+    random.seed(8)
+    words = [f"w{i:02}" for i in range(40)]
+    docs = [(i, " ".join(random.sample(words, random.choice((1, 4, 9, 10, 11)))), "en") for i in range(500)]
+    docs += [(500 + i, docs[i % 40][1] if i % 3 else " ".join(["own", *docs[i][1].split()[1:]]), None if i % 7 == 0 else "en") for i in range(100)] + [(600, "", "en"), (601, None, "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    kind = lambda d, lang: {0: "user", 1: "user-model"}.get(d % 5, lang and f"project:{lang}")
+    want = resolved([(d, kind(d, lang), (t or "").split()) for d, t, lang in docs if d % 10 < 7])
+    before = shuffled(spark)
+    got = [tuple(r) for r in QUERIES["dream_resolution"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want) and {x for *_, x in want} == {"merge", "supersede_b", "keep"}
+    # 16,957 rows where pairs that share a token of a prefix are shuffled.
+    assert (n := shuffled(spark) - before) < 5_000, n
+
+
+def test_losers_in_rounds_and_in_one_fold(spark):
+    random.seed(9)
+    pairs = sorted({tuple(sorted(random.sample(range(60), 2))) for _ in range(300)} | {(i, i + 1) for i in range(100, 112)})
+    pairs = [(a, b, random.choice((0.8, 0.9, 1.0)) if a < 100 else 1.0) for a, b in pairs]
+    gone, want = set(), []
+    for score, a, b in sorted((-score, a, b) for a, b, score in pairs):
+        if a not in gone and b not in gone:
+            gone.add(b)
+            want.append((a, b, -score))
+    df = frame(spark, pairs, "a long, b long, score double")
+    for most in (0, 40, 1000):
+        assert sorted(tuple(r) for r in M.losers(df, most).select("a", "b", "score").collect()) == sorted(want)
+
+
 def test_clusters_join_only_rows_outside_the_large_component(spark, monkeypatch):
     random.seed(6)
     words = [f"w{i}" for i in range(30)]
