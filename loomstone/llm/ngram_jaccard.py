@@ -8,9 +8,11 @@ signatures: bit counts bound the overlap from above before sorted arrays are int
    in one fixed order share one. Nothing is lost by it. The order takes shingles found often last (a bounded table
    that changes the work, not the result) and the others by hash. Shingles in the prefix of one class alone lead nowhere and
    are dropped before anything else moves: packed pairs (shingle, class) meet in buckets; a shingle that a task
-   finds in several classes is known to be shared and sends its bucket no more than a mark.
-3. A class joins the tile (shared shingle, size band). Sets that link have sizes within a factor of 1.25, so they meet in
-   one band or in neighbouring ones. Of tiles with the same members one is kept.
+   finds in several classes is known to be shared and sends its bucket no more than a mark. Pairs are packed short: 44 bits of
+   the shingle, sorted, as differences, and a tag of 40 bits for the class. Shingles that coincide so only add candidates;
+   classes that share a tag meet under a shingle of their own.
+3. Of shared shingles with the same classes one is kept. A class joins the tile (shared shingle, size band). Sets that link have
+   sizes within a factor of 1.25, so they meet in one band or in neighbouring ones. Of tiles with the same members one is kept.
 4. Every member meets one member of its tile, the hub. Bit counts come first and move signatures only; of the pairs that
    pass, texts move for the exact intersection: first one hub for each class, then the other hubs of classes that
    aren't in one component with them yet. Hubs with many members are copied to blocks of them, so what moves is in proportion
@@ -27,6 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,6 +43,9 @@ HEAVY_LOCAL, HEAVY_LEAST = 4, 48
 SMALL = 500_000  # rows of 24 bytes that are broadcast; above, the join shuffles
 TILE_ROWS = 1024  # rows of a block of a tile, members of a block of a hub
 ENTRIES = 1_000_000  # pairs (shingle, class) gathered before they are packed
+BUCKET = 250_000  # pairs of a bucket, about
+KEY_SHIFT = 20  # the upper 44 bits of a shingle are dealt
+TAG = (1 << 40) - 1  # bits of a class's tag; the lowest is always set, 0 is a mark
 PASSES = (1, 16, 0)  # pairs of two components that a pass over open tiles yields; the last yields all
 FIND, VERIFY = 0, 1  # two hash functions of words
 #: Two primes and a base for each: a word's hash is its polynomial modulo both (62 bits), finalised with its length.
@@ -140,9 +146,9 @@ def _sets(batch: pa.RecordBatch, seed: int = FIND):
 
 
 def _frequent(batches):
-    """Shingles found in several different sets of this partition, with their counts."""
+    """Shingles found in several different sets of this partition, with their counts; at last, without a shingle, how many all prefixes hold."""
     schema = pa.schema([("h", pa.int64()), ("c", pa.int64())])
-    seen, held, size = set(), [], 0
+    seen, held, size, pairs = set(), [], 0, 0
 
     def flush():
         h, c = np.unique(np.concatenate(held), return_counts=True)
@@ -156,23 +162,28 @@ def _frequent(batches):
                 seen.add(d)
                 held.append(s)
                 size += len(s)
+                pairs += prefix_size(len(s))
             if size > 2_000_000:
                 yield flush()
                 seen, held, size = set(), [], 0
     if held:
         yield flush()
+    yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([pairs], pa.int64())], schema=schema)
 
 
-def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """At most HEAVY_ROWS frequent shingles and their ranks; only the order of prefixes depends on it."""
+def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """At most HEAVY_ROWS frequent shingles and their ranks, and about how many shingles all prefixes hold; only the order of
+    prefixes and the number of buckets depend on them."""
     rows = (
-        docs.select("text").mapInArrow(_frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where(F.col("c") >= HEAVY_LEAST)
-        .orderBy(F.desc("c"), "h").limit(HEAVY_ROWS).toPandas()
+        docs.select("text").mapInArrow(_frequent, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).where((F.col("c") >= HEAVY_LEAST) | F.col("h").isNull())
+        .orderBy(F.col("h").isNotNull(), F.desc("c"), "h").limit(HEAVY_ROWS + 1).toArrow()
     )
-    h = rows["h"].to_numpy(np.int64).view(U64)
-    rank = (1 + np.log2(np.maximum(rows["c"].to_numpy(np.float64), 1))).astype(np.uint8)
+    pairs = pc.sum(rows.filter(pc.is_null(rows["h"]))["c"]).as_py() or 0
+    rows = rows.filter(pc.is_valid(rows["h"]))
+    h, c = rows["h"].to_numpy().astype(np.int64).view(U64), rows["c"].to_numpy().astype(np.float64)
+    rank = (1 + np.log2(np.maximum(c, 1))).astype(np.uint8)
     order = np.argsort(h)
-    return h[order], rank[order]
+    return h[order], rank[order], pairs
 
 
 def band(n):
@@ -193,9 +204,13 @@ def signature(s: np.ndarray) -> bytes:
     return bits.tobytes()
 
 
+def prefix_size(n: int) -> int:
+    return n * (DEN - NUM) // DEN + 1
+
+
 def prefix(s: np.ndarray, heavy: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     """The first floor(0.2 n) + 1 shingles in the fixed order (rank, hash); rank 0 for shingles that aren't in the table."""
-    m = len(s) * (DEN - NUM) // DEN + 1
+    m = prefix_size(len(s))
     mixed = mix(s ^ U64(0x5851F42D4C957F2D))
     if len(heavy):
         at = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -204,27 +219,41 @@ def prefix(s: np.ndarray, heavy: np.ndarray, ranks: np.ndarray) -> np.ndarray:
     return s[np.argsort(mixed)[:m]]
 
 
-def _profile(heavy):
-    schema = pa.schema([("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("keys", pa.list_(pa.int64())), ("sig", pa.binary())])
+_ROWS = [("doc_id", pa.int64()), ("th", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("band", pa.int32()), ("sig", pa.binary())]
+_DEALT = [("bucket", pa.int32()), ("key", pa.int64()), ("tag", pa.int64()), ("packed", pa.binary())]
+_PROFILE = pa.schema(_ROWS + _DEALT)
+PROFILE = "doc_id long, th long, n long, d1 long, d2 long, band int, sig binary, bucket int, key long, tag long, packed binary"
+
+
+def _part(columns: list, first: int) -> pa.RecordBatch:
+    """A batch of _PROFILE of which only some columns are filled, from number ``first``."""
+    n = len(columns[0])
+    filled = {first + k: pa.array(c, _PROFILE.types[first + k]) for k, c in enumerate(columns)}
+    return pa.RecordBatch.from_arrays([filled.get(k, pa.nulls(n, t)) for k, t in enumerate(_PROFILE.types)], schema=_PROFILE)
+
+
+def _profile(heavy, buckets: int, shift: int, mask: int):
+    """Rows as they are, without their texts, and the pairs (shingle of the prefix, class) of this task, dealt to buckets."""
 
     def run(batches):
         table, ranks = heavy.value
+        pairs = Pairs(buckets, shift, mask)
         for batch in batches:
-            ids = batch.column(0)
-            n, d, keys, sig = [], [], [], []
-            for _, s in _sets(batch):
+            known = batch.column(0).is_valid().to_pylist()
+            n, d, sig = [], [], []
+            for i, s in _sets(batch):
                 n.append(len(s))
                 x = xxhash.xxh3_128_digest(s)
                 d.append(x)
-                keys.append(prefix(s, table, ranks).view(np.int64) if len(s) else np.zeros(0, np.int64))
                 sig.append(signature(s) if len(s) else b"")
+                if len(s) and known[i] and pairs.unseen(x):
+                    pairs.add(prefix(s, table, ranks), x)
             both = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-            flat = np.concatenate([*keys, np.zeros(0, np.int64)])
-            listed = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum([len(k) for k in keys]))), pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays(
-                [ids, batch.column(1), pa.array(n, pa.int64()), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(band(np.array(n, np.int64))), listed, pa.array(sig, pa.binary())],
-                schema=schema,
-            )
+            yield _part([batch.column(0), batch.column(1), n, both[:, 0], both[:, 1], band(np.array(n, np.int64)), sig], 0)
+            if pairs.size > ENTRIES:
+                yield from pairs.flush()
+        if pairs.size:
+            yield from pairs.flush()
 
     return run
 
@@ -295,76 +324,93 @@ def grouped(batches, keys: int):
         yield held
 
 
-_SHARED = pa.schema([("bucket", pa.int32()), ("key", pa.int64()), ("d1", pa.int64()), ("packed", pa.binary())])
-
-
-def _several(key: np.ndarray, d1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _several(key: np.ndarray, tag: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Distinct pairs in the order of keys, and whether the key has several of them."""
-    order = np.lexsort((d1, key))
-    key, d1 = key[order], d1[order]
+    order = np.lexsort((tag, key))
+    key, tag = key[order], tag[order]
     new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (d1[1:] != d1[:-1])
-    key, d1 = key[new], d1[new]
+    new[1:] = (key[1:] != key[:-1]) | (tag[1:] != tag[:-1])
+    key, tag = key[new], tag[new]
     twin = np.zeros(len(key), bool)
     same = key[1:] == key[:-1]
     twin[1:] |= same
     twin[:-1] |= same
-    return key, d1, twin
+    return key, tag, twin
 
 
-def _deal_keys(buckets: int):
-    """Pairs (key, class) of this task: those of keys found in several classes as they are, with one mark (class 0) for the
-    key's bucket; the others packed by bucket."""
+def planes(x: np.ndarray, width: int) -> bytes:
+    """The lower ``width`` bytes of numbers: all first ones, all second ones and so on."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
-    def run(batches):
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        seen: set[int] = set()
-
-        def flush():
-            key, d1, twin = _several(np.concatenate([k for k, _ in held]), np.concatenate([d for _, d in held]))
-            if twin.any():
-                k = key[twin].view(np.int64)
-                none = [None] * len(k)
-                yield pa.RecordBatch.from_arrays([pa.array([-1] * len(k), pa.int32()), pa.array(k), pa.array(d1[twin].view(np.int64)), pa.array(none, pa.binary())], schema=_SHARED)
-            marks = np.unique(key[twin])
-            key, d1 = np.concatenate([key[~twin], marks]), np.concatenate([d1[~twin], np.zeros(len(marks), U64)])
-            home = (key % U64(buckets)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            key, d1, home = key[order], d1[order], home[order]
-            at = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))).tolist() if len(home) else []
-            packed = [key[a:b].tobytes() + d1[a:b].tobytes() for a, b in zip(at, [*at[1:], len(home)])]
-            n = len(packed)
-            yield pa.RecordBatch.from_arrays([pa.array(home[at] if n else [], pa.int32()), pa.array([None] * n, pa.int64()), pa.array([None] * n, pa.int64()), pa.array(packed, pa.binary())], schema=_SHARED)
-
-        size = 0
-        for batch in batches:
-            d1 = batch.column(0).to_numpy().view(U64)
-            keys = batch.column(1)
-            at, flat = keys.offsets.to_numpy(), keys.values.to_numpy().view(U64)
-            for i, d in enumerate(d1.tolist()):
-                if at[i] < at[i + 1] and d not in seen:
-                    seen.add(d)
-                    held.append((flat[at[i] : at[i + 1]].copy(), np.full(at[i + 1] - at[i], d, U64)))
-                    size += int(at[i + 1] - at[i])
-            if size > ENTRIES:
-                yield from flush()
-                held, size = [], 0
-                seen.clear()
-        if held:
-            yield from flush()
 
-    return run
+def packed(key: np.ndarray, tag: np.ndarray) -> bytes:
+    """Pairs in the order of keys, the keys as differences of as many bytes as the largest needs."""
+    step = np.diff(key, prepend=U64(0))
+    width = max(1, -(-int(step.max()).bit_length() // 8))
+    return bytes([width]) + planes(step, width) + planes(tag, 5)
 
 
-def _shared_keys(batches):
+def unpacked(b: bytes) -> tuple[np.ndarray, np.ndarray]:
+    width = b[0]
+    rows = np.frombuffer(b, np.uint8, offset=1).reshape(width + 5, -1)
+    out = np.zeros((2, rows.shape[1], 8), np.uint8)
+    out[0, :, :width], out[1, :, :5] = rows[:width].T, rows[width:].T
+    key, tag = out.view("<u8")[:, :, 0].astype(U64)
+    return np.cumsum(key, dtype=U64), tag
+
+
+class Pairs:
+    """Pairs (key, tag of a class) of a task: those of keys found in several classes go as they are, with one mark (tag 0) for the
+    key's bucket; the others packed by bucket."""
+
+    def __init__(self, buckets: int, shift: int, mask: int):
+        self.buckets, self.shift, self.mask = U64(buckets), U64(shift), U64(mask)
+        self.clear()
+
+    def clear(self) -> None:
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.seen: set[bytes] = set()
+        self.size = 0
+
+    def unseen(self, digest: bytes) -> bool:
+        new = digest not in self.seen
+        self.seen.add(digest)
+        return new
+
+    def add(self, shingles: np.ndarray, digest: bytes) -> None:
+        tag = (np.frombuffer(digest, U64)[:1] & self.mask) | U64(1)
+        self.held.append((shingles >> self.shift, np.repeat(tag, len(shingles))))
+        self.size += len(shingles)
+
+    def flush(self):
+        key, tag, twin = _several(np.concatenate([k for k, _ in self.held]), np.concatenate([t for _, t in self.held]))
+        self.clear()
+        for lo in range(0, int(twin.sum()), 1 << 16):
+            k, t = (x[twin][lo : lo + (1 << 16)].view(np.int64) for x in (key, tag))
+            yield _part([np.full(len(k), -1), k, t], len(_ROWS))
+        marks = np.unique(key[twin])
+        key, tag = np.concatenate([key[~twin], marks]), np.concatenate([tag[~twin], np.zeros(len(marks), U64)])
+        home = key % self.buckets
+        order = np.lexsort((key, home))
+        key, tag, home = key[order] // self.buckets, tag[order], home[order].astype(np.int32)
+        at = np.flatnonzero(np.concatenate(([True], home[1:] != home[:-1]))).tolist()
+        none = [None] * len(at)
+        yield _part([home[at], none, none, [packed(key[a:b], tag[a:b]) for a, b in zip(at, [*at[1:], len(home)])]], len(_ROWS))
+
+
+def _shared_keys(buckets: int):
     """Per bucket: pairs whose key has several classes, here or by a mark."""
-    schema = pa.schema([("key", pa.int64()), ("d1", pa.int64())])
-    for t in grouped(batches, 1):
-        parts = [np.frombuffer(b, U64).reshape(2, -1) for b in t.column("packed").to_pylist()]
-        both = np.concatenate(parts, 1)
-        key, d1, twin = _several(both[0], both[1])
-        keep = twin & (d1 != 0)
-        yield pa.RecordBatch.from_arrays([pa.array(key[keep].view(np.int64)), pa.array(d1[keep].view(np.int64))], schema=schema)
+
+    def run(batches):
+        schema = pa.schema([("key", pa.int64()), ("tag", pa.int64())])
+        for t in grouped(batches, 1):
+            parts = [unpacked(b) for b in t.column("packed").to_pylist()]
+            key, tag, twin = _several(np.concatenate([k for k, _ in parts]), np.concatenate([t for _, t in parts]))
+            keep = twin & (tag != 0)
+            key = key[keep] * U64(buckets) + U64(t.column("bucket")[0].as_py())
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tag[keep].view(np.int64))], schema=schema)
+
+    return run
 
 
 _EDGES = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -499,32 +545,50 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     scratch = Scratch(spark)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    heavy = spark.sparkContext.broadcast(frequent_shingles(docs))
+    *table, pairs = frequent_shingles(docs)
+    buckets = max(32, 2 * parts, pairs // BUCKET)
+    heavy = spark.sparkContext.broadcast(tuple(table))
     rows = docs.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    rows = scratch.keep(rows.mapInArrow(_profile(heavy), "doc_id long, th long, n long, d1 long, d2 long, band int, keys array<long>, sig binary"), "rows")
-    ids = rows.where("n > 0 and doc_id is not null")
+    # One pass over the texts gives rows and dealt pairs; prefixes are never written.
+    dealt = scratch.keep(rows.mapInArrow(_profile(heavy, buckets, KEY_SHIFT, TAG), PROFILE), "rows")
+    rows = dealt.where("bucket is null").select("doc_id", "th", "n", "d1", "d2", "band", "sig")
     # A class is named by its least doc_id, or by a hash where ids repeat and so may name several classes.
     repeated = not rows.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
-    classes = ids.groupBy("d1", "d2", "n", "band").agg(F.min("doc_id").alias("rep"))
-    classes = scratch.keep(classes.select("*", (F.xxhash64("rep", "d1", "d2") if repeated else F.col("rep")).alias("node")), "classes")
+    classes = rows.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n", "band").agg(F.min("doc_id").alias("rep"))
+    classes = scratch.keep(classes.select("*", (F.xxhash64("rep", "d1", "d2") if repeated else F.col("rep")).alias("node"), F.expr(f"d1 & {TAG}L | 1L").alias("tag")), "classes")
+    flush_shuffles(spark)
 
-    buckets = max(32, 2 * rows.rdd.getNumPartitions(), parts)
-    dealt = scratch.keep(ids.select("d1", "keys").mapInArrow(_deal_keys(buckets), "bucket int, key long, d1 long, packed binary"), "keys")
-    # Prefixes aren't read any more; the largest column goes before the pairs are shuffled.
-    whole, rows = rows, scratch.keep(rows.select("doc_id", "th", "n", "d1", "d2", "sig"), "rows")
+    met = dealt.where("packed is not null").select("bucket", "packed").repartition(max(parts, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys(buckets), "key long, tag long")
+    shared = scratch.keep(dealt.where("bucket = -1").select("key", "tag").unionByName(met), "shared")
+    # Dealt pairs aren't read any more; they go before what they share is shuffled.
+    rows = scratch.keep(rows.drop("band"), "rows")
+    scratch.drop(dealt)
+    del met, dealt
+    flush_shuffles(spark)
+    # Classes that share a tag look like one above: they meet under a key of their own.
+    alike = classes.groupBy("tag").agg(F.count("*").alias("c")).where("c > 1").select((-F.col("tag")).alias("key"), "tag")
+    whole, shared = shared, scratch.keep(shared.distinct().unionByName(alike), "shared")
     scratch.drop(whole)
-    del ids, whole
-    met = dealt.where("packed is not null").select("bucket", "packed").repartition(max(parts, buckets // 2), "bucket").sortWithinPartitions("bucket").mapInArrow(_shared_keys, "key long, d1 long")
-    shared = dealt.where("packed is null").select("key", "d1").unionByName(met).distinct()
+    del alike, whole
+    flush_shuffles(spark)
+
+    def same(*c: str) -> list:
+        """Rows of a group as a set: equal in number and in two sums modulo 2 of hashes."""
+        return [F.count("*").alias("c"), F.bit_xor(F.xxhash64(*c)).alias("x"), F.bit_xor(F.xxhash64(F.lit(5), *c)).alias("y")]
+
+    keys = shared.groupBy("key").agg(*same("tag")).groupBy("c", "x", "y").agg(F.min("key").alias("key")).select("key")
+    keys = scratch.keep(keys, "keys")
+    flush_shuffles(spark)
+    keys = F.broadcast(keys) if keys.count() <= SMALL else keys
     sides = F.explode(F.expr("array(named_struct('band', band, 'role', 1), named_struct('band', band + 1, 'role', 0))"))
-    tiled = shared.join(classes.select("d1", "node", "band"), "d1").select("key", "node", sides.alias("t")).select("key", "t.band", "t.role", "node")
+    tiled = shared.join(keys, "key", "left_semi").join(classes.select("tag", "node", "band"), "tag").select("key", "node", sides.alias("t")).select("key", "t.band", "t.role", "node")
     tiled = scratch.keep(tiled, "dealt")
-    scratch.drop(dealt)
-    del shared, met, dealt
+    scratch.drop(shared)
+    del shared, keys
     flush_shuffles(spark)
     hub = F.min(F.when(F.col("role") == 1, F.struct(F.xxhash64("node", F.lit(3)).alias("h"), F.col("node")))).alias("hub")
-    tiles = tiled.groupBy("key", "band").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("node", "role")).alias("x"), F.sum(F.xxhash64("role", "node").cast("decimal(38,0)")).alias("s"), hub)
-    tiles = tiles.where("c > 1 and hub is not null").groupBy("c", "x", "s").agg(F.min(F.struct("key", "band", F.col("hub.node").alias("hub"))).alias("t"))
+    tiles = tiled.groupBy("key", "band").agg(*same("node", "role"), hub)
+    tiles = tiles.where("c > 1 and hub is not null").groupBy("c", "x", "y").agg(F.min(F.struct("key", "band", F.col("hub.node").alias("hub"))).alias("t"))
     tiles = tiles.select("t.key", "t.band", "t.hub")
     members = scratch.keep(tiled.join(tiles, ["key", "band"]), "members")
     scratch.drop(tiled)
@@ -534,6 +598,8 @@ def jaccard_rows(docs: DataFrame) -> DataFrame:
     sigs = scratch.keep(sigs.join(members.select("node").distinct(), "node", "left_semi"), "sigs")
     whole, rows = rows, scratch.keep(rows.select("doc_id", "th", "n", "d1", "d2"), "rows")
     scratch.drop(whole)
+    del whole
+    flush_shuffles(spark)
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select("node").union(pairs.select("hub")).distinct()

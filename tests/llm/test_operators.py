@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import json
 import math
+import os
 import random
 import re
 import unicodedata
@@ -89,6 +90,48 @@ def test_jaccard_hot_tiles_in_blocks(spark, monkeypatch):
     assert got == want
 
 
+@pytest.mark.parametrize("shift, tag", [(60, ngram_jaccard.TAG), (ngram_jaccard.KEY_SHIFT, 7), (60, 1)])
+def test_jaccard_short_keys_and_tags_that_coincide_lose_no_link(spark, monkeypatch, shift, tag):
+    rng = random.Random(12)
+    texts = [words(rng, rng.choice([3, 30])) for _ in range(20)]
+    texts += [edited(rng, t, 0.02) for t in texts] + [t + " more" for t in texts]
+    monkeypatch.setattr(ngram_jaccard, "KEY_SHIFT", shift)
+    monkeypatch.setattr(ngram_jaccard, "TAG", tag)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_jaccard.jaccard_components(docs_of(spark, texts)).collect()}
+    assert got == brute_components(list(enumerate(texts)))
+
+
+def test_jaccard_pairs_packed_and_unpacked():
+    rng = np.random.default_rng(13)
+    for key in (np.zeros(3, np.uint64), np.sort(rng.integers(0, 2**44, 5000).astype(np.uint64)), np.array([5, 2**44 - 1], np.uint64), np.array([2**64 - 1], np.uint64)):
+        tag = rng.integers(0, 2**40, len(key)).astype(np.uint64)
+        again = ngram_jaccard.unpacked(ngram_jaccard.packed(key, tag))
+        assert np.array_equal(again[0], key) and np.array_equal(again[1], tag)
+
+
+def test_jaccard_pairs_take_little_of_the_shared_folder(spark, monkeypatch):
+    """All tables kept at a time, signatures included, stay below 22 bytes for each shingle of the prefixes."""
+    rng, kept, keep, drop = random.Random(14), {}, common.Scratch.keep, common.Scratch.drop
+    texts, most = [words(rng, 1000, 10**6) for _ in range(150)], 0
+
+    def sized(self, df, name):
+        nonlocal most
+        out = keep(self, df, name)
+        path = out._scratch_path.removeprefix("file:")
+        kept[path] = sum(os.path.getsize(f"{path}/{f}") for f in os.listdir(path) if f.endswith(".parquet"))
+        most = max(most, sum(kept.values()))
+        return out
+
+    def dropped(self, df):
+        kept.pop(df._scratch_path.removeprefix("file:"), None)
+        drop(self, df)
+
+    monkeypatch.setattr(common.Scratch, "keep", sized)
+    monkeypatch.setattr(common.Scratch, "drop", dropped)
+    assert ngram_jaccard.jaccard_components(docs_of(spark, texts)).count() == len(texts)
+    assert most < 22 * sum(ngram_jaccard.prefix_size(len(t.split()) - 4) for t in texts)
+
+
 def test_jaccard_nulls_repeats_and_extra_columns(spark):
     rng = random.Random(3)
     text, other = words(rng, 30), words(rng, 30)
